@@ -101,3 +101,80 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)
+
+
+_BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = {b: np.ones(1, np.uint64) for b in (_BASE, _INVERSE)}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; short tables are kept for the next call."""
+    held = _powers[base]
+    if len(held) < n:
+        held = np.full(max(n, 1 << 16), base, np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if len(held) <= 1 << 23:
+            _powers[base] = held
+    return held[:n]
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs data[start:end]; they depend on the bytes alone."""
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64)
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_CODES[data] * _powers_of(_BASE, n), out=sums[1:])
+    back = _powers_of(_INVERSE, n + 1)[starts]
+    return mix64((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
+
+
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of words: runs of ASCII letters, digits and underscores and of non-ASCII characters."""
+    n = len(data)
+    if n == 0:
+        return (np.zeros(0, np.int64),) * 3
+    inside = _WORD_BYTE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops = inside.copy()
+    stops[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < n)]
+    begins[edges] |= inside[edges]  # a text never runs on into the next
+    stops[edges - 1] |= inside[edges - 1]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def shingle_hashes(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): for each text the hashes of its runs of `size` lower-cased words, in order.
+
+    A text with fewer words has one shingle of all of them; a text without words has none.
+    """
+    lowered = pa.array([x.lower() for x in texts(column)], pa.large_string())
+    data, offsets = utf8(lowered)
+    starts, ends, row = word_spans(data, offsets)
+    words = segment_hashes(data, starts, ends)
+    rows = len(lowered)
+    counts = np.bincount(row, minlength=rows).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+    out_at = np.concatenate([[0], np.cumsum(made)])
+    owner = np.repeat(np.arange(rows), made)
+    begin = first[:-1][owner] + np.arange(out_at[-1]) - out_at[:-1][owner]
+    out = np.zeros(len(begin), np.uint64)
+    for k in range(size):
+        at = begin + k
+        has = at < first[1:][owner]
+        term = words[np.minimum(at, len(words) - 1)] if len(words) else out
+        salt = np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)
+        out = mix64(out * np.uint64(0xFF51AFD7ED558CCD) + np.where(has, term, np.uint64(0)) + salt)
+    return out, out_at

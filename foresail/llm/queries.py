@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, quality, warc
+from . import bpe, hilbert, packing, quality, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary() -> dict[str, str]:
+    """Places of the public tokenizer files, and their pre-token pattern."""
+    import public_tokenizers as public
+
+    return {"json": public.path("byte_bpe_50k.json"), "ranks": public.path("byte_bpe_50k.tiktoken"), "pattern": public.PATTERN}
+
+
+def op2_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vocabulary()
+    return packing.piece_digests(packing.pack_documents(_read(spark, sf_dir, "documents"), v["json"], v["ranks"], v["pattern"]))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vocabulary()
+    return bpe.encode_digests(_read(spark, sf_dir, "documents"), v["ranks"], v["pattern"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(_read(spark, sf_dir, "documents"))
 
@@ -26,6 +43,7 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_quality_rules, op8_warc_derivatives, op9_hilbert_shards)
+    f.__name__: f
+    for f in (op2_hierarchical_packing, op3_byte_bpe, op6_quality_rules, op8_warc_derivatives, op9_hilbert_shards)
 }
 ORACLE_SQL: dict[str, str] = {"op8_warc_derivatives": warc.oracle()}
