@@ -88,21 +88,31 @@ def _key(text: Column) -> Column:
 
 
 def chunk_lists(texts: DataFrame) -> DataFrame:
-    """(key, stored, chunks) of (key, text): the manifest of each text, and its chunks by position."""
+    """(key, stored) of (key, text): the manifest of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
-                stored, chunks = [], []
+                stored = []
                 for raw in part.column("text").cast(pa.binary()).to_pylist():
                     held = chunked(payload_of(raw))
-                    digests = [digest(c) for c in held]
-                    stored.append(manifest(len(raw), list(map(len, held)), digests))
-                    chunks.append([{"pos": i, "digest": d} for i, d in enumerate(digests)])
-                kind = pa.list_(pa.struct([("pos", pa.int32()), ("digest", pa.binary())]))
-                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "stored": pa.array(stored, pa.binary()), "chunks": pa.array(chunks, kind)})
+                    stored.append(manifest(len(raw), list(map(len, held)), [digest(c) for c in held]))
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "stored": pa.array(stored, pa.binary())})
 
-    return texts.mapInArrow(run, "key binary, stored binary, chunks array<struct<pos: int, digest: binary>>")
+    return texts.mapInArrow(run, "key binary, stored binary")
+
+
+def chunk_refs(lists: DataFrame) -> DataFrame:
+    """(key, pos, digest): the entries of manifests (key, stored)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, i, d) for k, s in zip(batch.column("key").to_pylist(), batch.column("stored").to_pylist(), strict=True) for i, d in enumerate(parse(s)[2])]
+            kinds = {"key": pa.binary(), "pos": pa.int32(), "digest": pa.binary()}
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for (n, t), c in zip(kinds.items(), columns, strict=True)})
+
+    return lists.mapInArrow(run, "key binary, pos int, digest binary")
 
 
 def write_store(docs: DataFrame) -> DataFrame:
@@ -116,7 +126,7 @@ def write_store(docs: DataFrame) -> DataFrame:
     count for each task.  The texts move once, compressed, to the owner flags of their key.
     """
     lists = materialize(chunk_lists(docs), "chunk-lists").dropDuplicates(["key"])
-    refs = lists.select("key", F.explode("chunks").alias("c")).select("key", "c.pos", "c.digest")
+    refs = chunk_refs(lists)
     owners = refs.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
     held = owners.groupBy("owner.key").agg(
         F.collect_list(F.struct(F.col("owner.pos").alias("pos"), (F.col("n") > 1).alias("shared"))).alias("own")
