@@ -19,7 +19,7 @@ from .common import materialize, mix64, text_chunks
 MIN, AVERAGE, MAX = 1024, 2048, 16384
 #: Payloads are filled with bytes 255 to a positive multiple of this.
 UNIT = 576
-LEVEL = 9
+LEVEL = 15
 DIGEST = 16
 
 _GEAR = (mix64(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
