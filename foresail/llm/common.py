@@ -27,7 +27,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

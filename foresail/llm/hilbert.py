@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -64,15 +64,17 @@ def hilbert_keys(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     found = df.agg(*[F.percentile_approx(c, cuts_at, 1000).alias(f"c{i}") for i, c in enumerate(numbers)]).head()
     cuts = [np.array(found[i] or [], float) for i in range(len(dims))]
 
-    @F.pandas_udf("long")
-    def index(cells: pd.DataFrame) -> pd.Series:
-        out = np.zeros((len(cells), len(cuts)), np.int64)
-        for i, at in enumerate(cuts):
-            v = cells.iloc[:, i].to_numpy(float)
-            out[:, i] = np.where(np.isnan(v), 0, np.searchsorted(np.unique(at), v, side="left"))
-        return pd.Series(hilbert_index(out, bits))
-
-    return df.withColumn("hilbert", index(F.struct(*[c.alias(f"d{i}") for i, c in enumerate(numbers)])))
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, len(cuts)), np.int64)
+            for i, at in enumerate(cuts):
+                v = batch.column(f"__d{i}").to_numpy(zero_copy_only=False).astype(float)
+                out[:, i] = np.where(np.isnan(v), 0, np.searchsorted(np.unique(at), v, side="left"))
+            kept = batch.schema.names[: batch.num_columns - len(cuts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hilbert_index(out, bits))], [*kept, "hilbert"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("hilbert", T.LongType())])
+    return df.withColumns({f"__d{i}": c for i, c in enumerate(numbers)}).mapInArrow(index, schema)
 
 
 def shard_hilbert(

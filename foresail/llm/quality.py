@@ -8,7 +8,6 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,25 +196,3 @@ def keep_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
                 yield batch.filter(pa.array(cascade(held, [*ordered, short]), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
-
-
-def brute_quality(rows: list[tuple[int | None, str | None]]) -> pd.DataFrame:
-    """The base figures by plain loops, for tests."""
-    out = []
-    for doc_id, text in rows:
-        text = text or ""
-        words = re.split(r"[\x20\x09-\x0D]+", text)
-        words = [w for w in words if w]
-        seen, dup = set(), 0
-        for line in text.split("\n"):
-            if line.strip(" \t\n\r\x0b\x0c"):
-                dup += line in seen
-                seen.add(line)
-        marked = set()
-        for i in range(len(words) - 2):
-            for j in range(i + 1, len(words) - 2):
-                if words[i : i + 3] == words[j : j + 3]:
-                    marked |= {i, i + 1, i + 2, j, j + 1, j + 2}
-        failed = len(words) < 50 or 100 * len(marked) > 50 * len(words)
-        out.append((doc_id, len(words), sum(len(w) for w in words), sum(c in SYMBOLS for c in text), dup, len(marked), failed))
-    return pd.DataFrame(out, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"])
