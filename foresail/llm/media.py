@@ -266,5 +266,5 @@ def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), **{k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}})
 
     schema = "key binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    measured = materialize(read_media(store).mapInArrow(measure, schema), "media")
+    measured = read_media(store).mapInArrow(measure, schema)
     return own.select("doc_id", "key").join(measured, "key").drop("key")
