@@ -6,6 +6,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,9 @@ from .common import materialize, mix64, text_chunks
 MIN, AVERAGE, MAX = 1024, 2048, 16384
 #: Payloads are filled with bytes 255 to a positive multiple of this.
 UNIT = 576
-LEVEL = 15
+LEVEL = 9
+#: The compression dictionary is trained on this many texts at most, of each this many bytes.
+SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 1 << 16
 DIGEST = 16
 
 _GEAR = (mix64(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -115,8 +118,36 @@ def chunk_refs(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "key binary, pos int, digest binary")
 
 
-def write_store(docs: DataFrame) -> DataFrame:
-    """Stores each distinct text of docs (key, text) once and returns the store, read again from shared files.
+def train_dictionary(docs: DataFrame) -> bytes:
+    """A zstandard dictionary for the texts of docs, from a bounded sample; empty if there is too little text.
+
+    It only makes packs smaller: what they hold does not depend on it.
+    """
+    heads = docs.select(F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("x")).where(F.octet_length("x") > 64).limit(SAMPLE_TEXTS).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.x) for r in heads]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _squeezer(dictionary: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
+def _unsqueezer(dictionary: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
+@dataclass(frozen=True)
+class Store:
+    """A chunk store: its rows, and the dictionary that its packs are compressed with."""
+
+    rows: DataFrame
+    dictionary: bytes
+
+
+def write_store(docs: DataFrame) -> Store:
+    """Stores each distinct text of docs (key, text) once and returns the store, its rows read again from shared files.
 
     A row of the store is one medium: key, manifest, the positions of the chunks that it holds for all media (`own`),
     which of these others refer to (`shared`), the chunks it finds elsewhere (`foreign`), and the bytes of its own
@@ -125,6 +156,7 @@ def write_store(docs: DataFrame) -> DataFrame:
     Only digests are grouped and joined to find owners: a digest that a third of all media share meets as one partial
     count for each task.  The texts move once, compressed, to the owner flags of their key.
     """
+    dictionary = train_dictionary(docs)
     lists = materialize(chunk_lists(docs), "chunk-lists").dropDuplicates(["key"])
     refs = chunk_refs(lists)
     owners = refs.groupBy("digest").agg(F.min(F.struct("key", "pos")).alias("owner"), F.count(F.lit(1)).alias("n"))
@@ -140,7 +172,7 @@ def write_store(docs: DataFrame) -> DataFrame:
     )
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=LEVEL)
+        tool = _squeezer(dictionary)
         for batch in batches:
             for part in text_chunks(batch):
                 seen: dict[bytes, bytes] = {}
@@ -152,7 +184,7 @@ def write_store(docs: DataFrame) -> DataFrame:
     squeezed = docs.mapInArrow(squeeze, "key binary, packed binary").dropDuplicates(["key"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, back = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+        tool, back = _squeezer(dictionary), _unsqueezer(dictionary)
         for batch in batches:
             foreign, packs = [], []
             columns = [batch.column(c).to_pylist() for c in ("packed", "stored", "own")]
@@ -172,14 +204,15 @@ def write_store(docs: DataFrame) -> DataFrame:
     made = squeezed.join(flags, "key").mapInArrow(
         pack, "key binary, stored binary, own array<int>, shared array<int>, foreign array<struct<pos: int, digest: binary>>, pack binary"
     )
-    return materialize(made, "chunk-store")
+    return Store(materialize(made, "chunk-store"), dictionary)
 
 
-def shared_chunks(store: DataFrame) -> DataFrame:
+def shared_chunks(store: Store) -> DataFrame:
     """(digest, data) of the stored chunks that several places refer to."""
+    dictionary = store.dictionary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = zstandard.ZstdDecompressor()
+        back = _unsqueezer(dictionary)
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("stored", "own", "shared", "pack")]
             digests, data = [], []
@@ -193,19 +226,20 @@ def shared_chunks(store: DataFrame) -> DataFrame:
                     at += sizes[p]
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "data": pa.array(data, pa.binary())})
 
-    return store.where(F.size("shared") > 0).select("stored", "own", "shared", "pack").mapInArrow(run, "digest binary, data binary")
+    return store.rows.where(F.size("shared") > 0).select("stored", "own", "shared", "pack").mapInArrow(run, "digest binary, data binary")
 
 
-def read_media(store: DataFrame) -> DataFrame:
+def read_media(store: Store) -> DataFrame:
     """(key, stored, payload) of every medium, put together from its chunk list and verified chunk by chunk.
 
     Media whose chunks are all their own are read where they lie.  For the others the foreign chunks are joined by
     digest and gathered by key: what is gathered is part of one medium.  A chunk that differs from its digest, or is
     missing, raises an error.
     """
+    dictionary = store.dictionary
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = zstandard.ZstdDecompressor()
+        back = _unsqueezer(dictionary)
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("stored", "own", "pack", "found")]
             payloads = []
@@ -226,8 +260,8 @@ def read_media(store: DataFrame) -> DataFrame:
 
     schema = "key binary, stored binary, payload binary"
     none = F.array().cast("array<struct<pos: int, data: binary>>")
-    alone = store.where(F.size("foreign") == 0).select("key", "stored", "own", "pack", none.alias("found"))
-    others = store.where(F.size("foreign") > 0)
+    alone = store.rows.where(F.size("foreign") == 0).select("key", "stored", "own", "pack", none.alias("found"))
+    others = store.rows.where(F.size("foreign") > 0)
     refs = others.select("key", F.explode("foreign").alias("f")).select("key", "f.pos", "f.digest")
     found = refs.join(shared_chunks(store), "digest").groupBy("key").agg(F.collect_list(F.struct("pos", "data")).alias("found"))
     joined = others.select("key", "stored", "own", "pack").join(found, "key")

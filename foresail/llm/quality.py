@@ -171,7 +171,7 @@ def quality_table(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=1 << 20):
                 held = [Measures(x) for x in texts(part.column("text"))]
                 failed = [base_failed(m) for m in held]
                 verdict = iter(cascade([m for m, f in zip(held, failed, strict=True) if not f], ordered))
@@ -191,8 +191,9 @@ def keep_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                held = [Measures(x) for x in texts(batch.column(place))]
-                yield batch.filter(pa.array(cascade(held, [*ordered, short]), pa.bool_()))
+            numbered = batch.rename_columns([str(i) for i in range(batch.num_columns)])
+            for part in text_chunks(numbered, str(place), 1 << 20):
+                held = [Measures(x) for x in texts(part.column(place))]
+                yield part.filter(pa.array(cascade(held, [*ordered, short]), pa.bool_())).rename_columns(batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
