@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY = W.partitionBy("series_id")
-ORDERED = BY.orderBy("t")
+
+
+def by_series() -> WindowSpec:
+    return W.partitionBy("series_id")
+
+
+def ordered() -> WindowSpec:
+    return by_series().orderBy("t")
 
 
 def holdout_part(obs: DataFrame, h: int) -> DataFrame:
     """Adds part: the last h of each series are the test."""
-    return obs.withColumn("part", F.when(F.max("t").over(BY) - F.col("t") < h, "test").otherwise("train"))
+    return obs.withColumn("part", F.when(F.max("t").over(by_series()) - F.col("t") < h, "test").otherwise("train"))
 
 
 def tail_cap(obs: DataFrame, most: int) -> DataFrame:
-    return obs.withColumn("__n", F.max("t").over(BY)).where(F.col("t") > F.col("__n") - most).drop("__n")
+    return obs.withColumn("__n", F.max("t").over(by_series())).where(F.col("t") > F.col("__n") - most).drop("__n")
 
 
 def head_cap(obs: DataFrame, most: int) -> DataFrame:
@@ -25,22 +32,22 @@ def head_cap(obs: DataFrame, most: int) -> DataFrame:
 
 def zscore(obs: DataFrame, least: float = 0.01) -> DataFrame:
     """Adds z by the sample deviation, as it was where that is below `least`, and zp by that of the population."""
-    mean, sd, sdp = F.avg("y").over(BY), F.stddev_samp("y").over(BY), F.stddev_pop("y").over(BY)
+    mean, sd, sdp = F.avg("y").over(by_series()), F.stddev_samp("y").over(by_series()), F.stddev_pop("y").over(by_series())
     one = F.when(sdp == 0, F.when(mean == 0, 1.0).otherwise(mean)).otherwise(sdp)
     return obs.withColumn("z", F.when(sd < least, F.col("y")).otherwise(F.try_divide(F.col("y") - mean, sd))).withColumn("zp", F.try_divide(F.col("y") - mean, one))
 
 
 def difference(obs: DataFrame, lag: int = 1, column: str = "y") -> DataFrame:
-    return obs.withColumn("d", F.col(column) - F.lag(column, lag).over(ORDERED))
+    return obs.withColumn("d", F.col(column) - F.lag(column, lag).over(ordered()))
 
 
 def undifference(obs: DataFrame) -> DataFrame:
     """Adds back: the first value plus the running sum of the differences d."""
-    return obs.withColumn("back", F.first("y").over(ORDERED) + F.coalesce(F.sum("d").over(ORDERED.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
+    return obs.withColumn("back", F.first("y").over(ordered()) + F.coalesce(F.sum("d").over(ordered().rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0)))
 
 
 def log_return(obs: DataFrame) -> DataFrame:
-    before = F.lag("y").over(ORDERED)
+    before = F.lag("y").over(ordered())
     both = (F.col("y") > 0) & (before > 0)
     return obs.withColumn("r", F.when(both, F.ln(F.when(F.col("y") > 0, F.col("y"))) - F.ln(F.when(before > 0, before))))
 
@@ -56,7 +63,7 @@ def inverse_box_cox(x: Column, power: float) -> Column:
 
 def trend_line(obs: DataFrame) -> DataFrame:
     """Adds the least-squares line of each series as `line`."""
-    w = BY
+    w = by_series()
     tbar, ybar = F.avg("t").over(w), F.avg("y").over(w)
     sxy = F.avg(F.col("t") * F.col("y")).over(w) - tbar * ybar
     sxx = F.avg(F.col("t") * F.col("t")).over(w) - tbar * tbar
@@ -77,7 +84,7 @@ def remove_phase_means(obs: DataFrame, m: int) -> DataFrame:
 def lags(obs: DataFrame, count: int) -> DataFrame:
     """Adds l1 .. l<count>; rows without all of them go."""
     for k in range(1, count + 1):
-        obs = obs.withColumn(f"l{k}", F.lag("y", k).over(ORDERED))
+        obs = obs.withColumn(f"l{k}", F.lag("y", k).over(ordered()))
     return obs.where(F.col(f"l{count}").isNotNull())
 
 
@@ -101,10 +108,10 @@ def longest_run(obs: DataFrame, present: Column) -> DataFrame:
     """The longest run of rows where `present` holds, the earliest of equals."""
     runs = obs.withColumn("ok", present).withColumn("grp", F.col("t") - F.row_number().over(W.partitionBy("series_id", "ok").orderBy("t"))).where("ok")
     sizes = runs.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("series_id", "grp"))).withColumn("first", F.min("t").over(W.partitionBy("series_id", "grp")))
-    best = F.max(F.struct("size", -F.col("first"))).over(BY)
+    best = F.max(F.struct("size", -F.col("first"))).over(by_series())
     return sizes.withColumn("best", best).where((F.col("size") == F.col("best.size")) & (F.col("first") == -F.col("best.col2"))).drop("ok", "grp", "best")
 
 
 def trim_right(obs: DataFrame, present: Column) -> DataFrame:
     """Drops the rows after the last one where `present` holds."""
-    return obs.withColumn("__last", F.max(F.when(present, F.col("t"))).over(BY)).where(F.col("t") <= F.col("__last")).drop("__last")
+    return obs.withColumn("__last", F.max(F.when(present, F.col("t"))).over(by_series())).where(F.col("t") <= F.col("__last")).drop("__last")

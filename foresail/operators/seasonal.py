@@ -9,9 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.recursions import acf, deviations
+from .preparation import by_series, ordered
 
-BY = W.partitionBy("series_id")
-ORDERED = BY.orderBy("t")
 #: One-sided 95 % normal quantile of the test.
 CRITICAL = 1.645
 
@@ -19,21 +18,21 @@ CRITICAL = 1.645
 def centered_average(obs: DataFrame, m: int, name: str = "trend") -> DataFrame:
     """Adds the centred moving average of order m, or 2 x m if m is even; null where the window is not full."""
     half = m // 2
-    full = (F.col("t") > half) & (F.col("t") <= F.count(F.lit(1)).over(BY) - half)
+    full = (F.col("t") > half) & (F.col("t") <= F.count(F.lit(1)).over(by_series()) - half)
     if m % 2:
-        value = F.avg("y").over(ORDERED.rowsBetween(-half, half))
+        value = F.avg("y").over(ordered().rowsBetween(-half, half))
     else:
-        value = (F.sum("y").over(ORDERED.rowsBetween(-half, half - 1)) + F.sum("y").over(ORDERED.rowsBetween(-half + 1, half))) / (2 * m)
+        value = (F.sum("y").over(ordered().rowsBetween(-half, half - 1)) + F.sum("y").over(ordered().rowsBetween(-half + 1, half))) / (2 * m)
     return obs.withColumn(name, F.when(full, value))
 
 
 def ma3x3(obs: DataFrame, column: str = "y") -> DataFrame:
     """Adds ma: a three-term average of a three-term average, the ends taking the nearest full value."""
-    w = ORDERED.rowsBetween(-1, 1)
+    w = ordered().rowsBetween(-1, 1)
     once = obs.withColumn("__a", F.when(F.count(column).over(w) == 3, F.avg(column).over(w)))
     twice = once.withColumn("__b", F.when(F.count("__a").over(w) == 3, F.avg("__a").over(w)))
-    after = F.first("__b", True).over(ORDERED.rowsBetween(0, W.unboundedFollowing))
-    before = F.last("__b", True).over(ORDERED.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first("__b", True).over(ordered().rowsBetween(0, W.unboundedFollowing))
+    before = F.last("__b", True).over(ordered().rowsBetween(W.unboundedPreceding, 0))
     return twice.withColumn("ma", F.coalesce("__b", F.when(F.col("t") <= 2, after).otherwise(before))).drop("__a", "__b")
 
 
@@ -82,20 +81,20 @@ def trimmed_indices(obs: DataFrame, m: int) -> DataFrame:
     """
     made = centered_average(obs, m).withColumn("phase", ((F.col("t") - 1) % m).cast("long")).withColumn("le", F.try_divide("y", "trend")).where("le is not null")
     w = W.partitionBy("series_id", "phase")
-    made = made.withColumn("__hi", F.max("le").over(w)).withColumn("__lo", F.min("le").over(w)).withColumn("__k", F.count(F.lit(1)).over(BY))
+    made = made.withColumn("__hi", F.max("le").over(w)).withColumn("__lo", F.min("le").over(w)).withColumn("__k", F.count(F.lit(1)).over(by_series()))
     inside = F.avg(F.when((F.col("le") < F.col("__hi")) & (F.col("le") > F.col("__lo")), F.col("le")))
     found = made.groupBy("series_id", "phase").agg(
         F.count(F.lit(1)).alias("n_ratio"), F.when(F.max("__k") >= 3 * m, F.coalesce(inside, F.avg("le"))).otherwise(F.median("le")).alias("__p"), F.var_pop("le").alias("__v")
     )
-    return found.withColumn("index", F.try_divide("__p", F.avg("__p").over(BY))).withColumn(
+    return found.withColumn("index", F.try_divide("__p", F.avg("__p").over(by_series()))).withColumn(
         "spread", F.try_divide(F.col("__v"), (F.col("n_ratio") - 1).cast("double"))
     ).drop("__p", "__v")
 
 
 def shrink(indices: DataFrame, m: int) -> DataFrame:
     """Adds james_stein and lemon_krutchkoff to indices with their `spread`, the squared error of each phase mean."""
-    v = F.avg("spread").over(BY)
-    a = F.greatest(F.sum((F.col("index") - 1) * (F.col("index") - 1)).over(BY) / (m - 1) - v, F.lit(0.0))
+    v = F.avg("spread").over(by_series())
+    a = F.greatest(F.sum((F.col("index") - 1) * (F.col("index") - 1)).over(by_series()) / (m - 1) - v, F.lit(0.0))
     weight = F.coalesce(F.lit((m - 3) / (m - 1)) * F.try_divide(v, v + a), F.lit(0.0))
     made = indices.withColumn("v", v).withColumn("w", weight).withColumn("james_stein", F.col("w") + (1 - F.col("w")) * F.col("index"))
     pairs = made.select("series_id", F.col("phase").alias("p2"), F.col("index").alias("i2"))

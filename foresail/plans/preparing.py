@@ -189,7 +189,7 @@ def _(spark, d):
 
 @query("prep_clip_outliers", _all(f"SELECT series_id, t, round(greatest(least(y, 1 + stddev_samp(y) {_B}), 1 - stddev_samp(y) {_B}), 6) AS y FROM obs"))
 def _(spark, d):
-    sd = F.stddev_samp("y").over(P.BY)
+    sd = F.stddev_samp("y").over(P.by_series())
     return series(spark, d, MAIN).select("series_id", "t", r6(F.greatest(F.least(F.col("y"), 1 + sd), 1 - sd)).alias("y"))
 
 
@@ -226,7 +226,7 @@ def _(spark, d):
 
 @query("win_cumsum", _all(f"SELECT series_id, t, round(sum(y) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING), 6) AS total FROM obs"))
 def _(spark, d):
-    return series(spark, d, MAIN).select("series_id", "t", r6(F.sum("y").over(P.ORDERED)).alias("total"))
+    return series(spark, d, MAIN).select("series_id", "t", r6(F.sum("y").over(P.ordered())).alias("total"))
 
 
 @query(
@@ -247,7 +247,7 @@ SELECT series_id, CAST(k AS BIGINT) AS level, CAST(floor((n - t) / k) AS BIGINT)
     ),
 )
 def _(spark, d):
-    obs = series(spark, d, MAIN).withColumn("n", F.max("t").over(P.BY)).withColumn("level", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3, 4, 6, 12)])))
+    obs = series(spark, d, MAIN).withColumn("n", F.max("t").over(P.by_series())).withColumn("level", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3, 4, 6, 12)])))
     kept = obs.where(F.col("n") - F.col("t") < F.floor(F.col("n") / F.col("level")) * F.col("level"))
     return kept.groupBy("series_id", "level", F.floor((F.col("n") - F.col("t")) / F.col("level")).alias("back")).agg(r6(F.sum("y")).alias("y"))
 
@@ -367,7 +367,7 @@ def _(spark, d):
 @query("join_lag_self", _all(f"SELECT series_id, t, round(y, 6) AS y, round(lag(y, 12) {_O}, 6) AS before FROM obs QUALIFY before IS NOT NULL"))
 def _(spark, d):
     obs = series(spark, d, MAIN)
-    return obs.withColumn("before", F.lag("y", 12).over(P.ORDERED)).where("before is not null").select("series_id", "t", r6("y").alias("y"), r6("before").alias("before"))
+    return obs.withColumn("before", F.lag("y", 12).over(P.ordered())).where("before is not null").select("series_id", "t", r6("y").alias("y"), r6("before").alias("before"))
 
 
 @query("reshape_pivot_calendar", _all("SELECT year(ds) AS year" + "".join(f", round(sum(CASE WHEN month(ds) = {k} THEN y END), 6) AS m{k}" for k in range(1, 13)) + ", series_id FROM obs GROUP BY series_id, year(ds)"))
