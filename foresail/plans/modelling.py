@@ -184,7 +184,7 @@ def _(spark, d):
     return files.read_wide(spark, path).select("series_id", "t", "value")
 
 
-@query("src_in7_catalogue", "SELECT replace(n_name, ' ', '') AS series_id, 1990 + n_nationkey % 5 AS start_year, CAST(1 AS BIGINT) AS start_period, CAST(4 AS BIGINT) AS freq FROM nation")
+@query("src_in7_catalogue", "SELECT replace(n_name, ' ', '') AS series_id, CAST(1990 + n_nationkey % 5 AS BIGINT) AS start_year, CAST(1 AS BIGINT) AS start_period, CAST(4 AS BIGINT) AS freq FROM nation")
 def _(spark, d):
     path = files.scratch(spark, "in7")
     lines = read_table(spark, d, "nation").select(F.concat(F.lit(">"), F.regexp_replace("n_name", " ", ""), F.lit(" "), 1990 + F.col("n_nationkey") % 5, F.lit(" 1 2015 4 4 0 x 01-01-2020 00:00:00")).alias("value"))

@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
-from .plans import forecasting, modelling, preparing  # noqa: E402, F401  the plans register themselves
+from .plans import combining, forecasting, modelling, preparing  # noqa: E402, F401  the plans register themselves
