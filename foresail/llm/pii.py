@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -376,13 +378,25 @@ def field_spans(held: list[str], column: pa.Array, field: Field) -> dict[int, li
     return out
 
 
+def _apart(spans: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those of the spans that overlap none of `taken`, which is in the order of starts."""
+    starts = [a for a, _, _ in taken]
+    ends = list(accumulate((b for _, b, _ in taken), max))  # of those that start before a place, the furthest end
+    out = []
+    for s in spans:
+        before = bisect_left(starts, s[1])
+        if before == 0 or ends[before - 1] <= s[0]:
+            out.append(s)
+    return out
+
+
 def all_spans(held: list[str], column: pa.Array, field: Field) -> tuple[list[list], list[list]]:
     """(base, all) spans of each text: those of the field are added where they touch none of the base."""
     base = [base_spans(x) for x in held]
     added = field_spans(held, column, field)
     merged = []
     for i, own in enumerate(base):
-        more = [s for s in added.get(i, []) if not any(s[0] < e and b < s[1] for b, e, _ in own)] if i in added else []
+        more = _apart(added[i], own) if i in added else []
         merged.append(sorted([*own, *more], key=lambda s: (s[0], KINDS.index(s[2]))))
     return base, merged
 
