@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import groups_of, materialize, mix64, shingle_hashes, text_chunks
@@ -90,8 +90,25 @@ def survivors(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return alive
 
 
+def identified(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text, row_key, text_key) for each row of df: together the keys tell rows apart that differ.
+
+    Ids may be null or stand for several texts.  `row_key` orders as the id does; null ids come after all others.
+    """
+    row_key, text_key = _keys(doc_id, text)
+    return df.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key.alias("row_key"), text_key.alias("text_key")
+    )
+
+
+def _keys(doc_id: str, text: str) -> tuple[Column, Column]:
+    text_key = F.xxhash64(F.col(text).cast("string"))
+    late = F.lit(1 << 62).bitwiseOR(text_key.bitwiseAND(F.lit((1 << 62) - 1)))
+    return F.coalesce(F.col(doc_id).cast("long"), late), text_key
+
+
 def signatures(df: DataFrame) -> DataFrame:
-    """(doc_id, set_id, n, signature) for each row of df (doc_id, text).
+    """(doc_id, row_key, text_key, set_id, n, signature) for each row of df, as `identified` gives them.
 
     `set_id` is a digest of the set of shingles, so that texts with the same set are one; it is null for no words.
     """
@@ -109,14 +126,14 @@ def signatures(df: DataFrame) -> DataFrame:
                     sizes.append(len(own))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": part.column("doc_id"),
+                        **{k: part.column(k) for k in ("doc_id", "row_key", "text_key")},
                         "set_id": pa.array(ids, pa.binary()),
                         "n": pa.array(sizes, pa.int64()),
                         "signature": pa.array([s.tobytes() for s in made], pa.binary()),
                     }
                 )
 
-    return df.mapInArrow(run, "doc_id long, set_id binary, n long, signature binary")
+    return df.mapInArrow(run, "doc_id long, row_key long, text_key long, set_id binary, n long, signature binary")
 
 
 def _tiles(members: DataFrame, group: list[str], weight: int, cost: str | None = None) -> DataFrame:
@@ -231,12 +248,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def verified(docs: DataFrame, firsts: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, links): spanning edges (a, b) of the pairs at the threshold or above, and links (set_id, n_links) in documents.
 
-    `firsts` names the document that stands for a set and how many have it, `grouped` the candidate component of a set.
+    `firsts` names the row (row_key, text_key) that stands for a set and how many have it, `grouped` the candidate
+    component of a set; `docs` is as `identified` gives it.
     The texts of candidates alone move, once for every tile pair of their component; their pairs are pruned again by
     signature and the rest compared as exact sets.
     """
-    picked = grouped.join(firsts, "set_id").select("set_id", "root", "n", "copies", "signature", F.col("first").alias("doc_id"))
-    bodies = docs.join(picked, "doc_id").dropDuplicates(["set_id"])
+    picked = grouped.join(firsts, "set_id").select("set_id", "root", "n", "copies", "signature", "first.row_key", "first.text_key")
+    bodies = docs.join(picked, ["row_key", "text_key"]).dropDuplicates(["set_id"])
     tiled = _tiles(bodies.select("root", "set_id", "n", "copies", "signature", "text"), ["root"], TILE, "n")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,44 +301,62 @@ def verified(docs: DataFrame, firsts: DataFrame, grouped: DataFrame) -> tuple[Da
     return edges, done.where(F.col("b").isNull()).groupBy(F.col("a").alias("set_id")).agg(F.sum("n_links").alias("n_links"))
 
 
-def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) for each row of df.
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row_key, text_key, class, n_links, n_copies) for each row of df.
 
-    The class of a document is the least id among those that chains of links join to it; `n_links` counts the rows
-    whose text has a similarity of 0.8 or more with its own, copies included, `n_copies` those with the same set.
-    Words are lower-cased runs of letters and digits; a text with fewer than five is one shingle.  A text without
-    words, or null, links to nothing and is its own class.  Null ids are the class null, unless a copy has an id.
-    Repeated rows are copies of each other; an empty table gives no rows.
+    `class` is the least (row_key, text_key, doc_id) among the rows that chains of links join to it, itself included.
     """
-    own = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = identified(df, doc_id, text)
     made = materialize(signatures(own), "signatures")
     sets = (
         made.where(F.col("set_id").isNotNull())
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"), F.min("signature").alias("signature"))
+        .agg(
+            F.min(F.struct("row_key", "text_key", "doc_id")).alias("first"),
+            F.count(F.lit(1)).alias("copies"),
+            F.min("n").alias("n"),
+            F.min("signature").alias("signature"),
+        )
     )
     sets = materialize(sets, "sets")
-    edges = materialize(candidate_edges(sets.where(F.col("first").isNotNull())), "candidates")
+    edges = materialize(candidate_edges(sets), "candidates")
     linked, links = verified(own, sets, components(edges))
-    classes = components(linked)
-    named = sets.join(classes, "set_id", "left").select("set_id", "first", "copies", F.coalesce("root", "set_id").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    facts = named.join(least, "root").join(links, "set_id", "left").select("set_id", "class_id", "copies", F.coalesce("n_links", F.lit(0)).alias("others"))
-    rows = made.select("doc_id", "set_id")
+    roots = components(linked)
+    named = sets.join(roots, "set_id", "left").select("set_id", "first", "copies", F.coalesce("root", "set_id").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("class"))
+    facts = named.join(least, "root").join(links, "set_id", "left").select("set_id", "class", "copies", F.coalesce("n_links", F.lit(0)).alias("others"))
+    rows = made.select("doc_id", "row_key", "text_key", "set_id")
     return rows.join(facts, "set_id", "left").select(
         "doc_id",
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "row_key",
+        "text_key",
+        F.when(F.col("set_id").isNull(), F.struct("row_key", "text_key", "doc_id")).otherwise(F.col("class")).alias("class"),
         F.coalesce(F.col("others") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
+def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) for each row of df.
+
+    The class of a document is the least id among those that chains of links join to it; `n_links` counts the rows
+    whose text has a similarity of 0.8 or more with its own, copies included, `n_copies` those with the same set.
+    Words are lower-cased runs of letters and digits; a text with fewer than five is one shingle.  A text without
+    words, or null, links to nothing and is its own class.  Rows with a null id link as others do; their class is
+    null if no row of it has an id.  An id may have several texts.  Repeated rows are copies of each other; an empty
+    table gives no rows.
+    """
+    return classes(df, doc_id, text).select("doc_id", F.col("class.doc_id").alias("class_id"), "n_links", "n_copies")
+
+
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, with all its columns, but one of each class: that with the least id, and of repeated rows one.
 
-    Rows with a null id stay if no row with an id is in their class.
+    A row with a null id stays if it is the first of its class, in which no row then has an id.
     """
-    classes = near_copies(df, doc_id, text)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).dropDuplicates()
-    kept = df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates([doc_id, text])
+    found = classes(df, doc_id, text)
+    first = (F.col("row_key") == F.col("class.row_key")) & (F.col("text_key") == F.col("class.text_key"))
+    gone = found.where(~first).select(F.col("row_key").alias("__row"), F.col("text_key").alias("__text")).dropDuplicates()
+    row_key, text_key = _keys(doc_id, text)
+    same = (row_key == F.col("__row")) & (text_key == F.col("__text"))
+    return df.join(gone, same, "left_anti").dropDuplicates([doc_id, text])
