@@ -122,6 +122,18 @@ def test_tiles_lose_no_pair(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in found} == {(0, 59)}
 
 
+def test_ids_that_are_null_or_stand_for_several_texts(spark):
+    near = [" ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(99)) + " end"]
+    lone = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(7, near[0]), (7, lone[0]), (9, near[1]), (9, lone[1]), (None, near[1]), (None, lone[2]), (None, lone[2] + " more"), (3, near[1])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row_key string")
+    found = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_copies(df).collect())
+    assert found == Counter([(7, 3, 3), (7, 7, 0), (9, 3, 3), (9, 9, 0), (None, 3, 3), (3, 3, 3), (None, None, 1), (None, None, 1)])
+    kept = {(r.doc_id, r.text) for r in ngram_join.keep_first(df).collect()}
+    assert {(3, near[1]), (7, lone[0]), (9, lone[1])} < kept and len(kept) == 4
+    assert [t for i, t in kept if i is None][0].startswith(lone[2])
+
+
 def test_bayesian_bounds_rise_and_spare_near_copies():
     least = ngram_join.least_matches()
     assert list(least) == sorted(least) and least[-1] > 0.5 * ngram_join.HASHES
@@ -300,6 +312,14 @@ def test_field_finds_what_patterns_miss():
     assert [(text[a:b], k) for a, b, k in spans[0]] == [("1eb9c654e721b4f812088970e66a6345cee33dd6", "secret"), ("(555) 555-0100", "phone")]
 
 
+def test_spans_of_the_field_that_touch_the_base_go():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        make = lambda n: sorted((a := int(x), a + int(rng.integers(1, 9)), "card") for x in rng.integers(0, 60, n))  # noqa: B023, E731
+        taken, more = make(rng.integers(0, 6)), make(8)
+        assert pii._apart(more, taken) == [s for s in more if not any(s[0] < b and a < s[1] for a, b, _ in taken)]
+
+
 def test_viterbi_is_the_best_path():
     random = np.random.default_rng(3)
     k = len(pii.LABELS)
@@ -357,6 +377,19 @@ def test_toxicity_on_held_out_labels(spark):
     assert held.score[truth == 1].mean() > held.score[truth == 0].mean() + 0.2
 
 
+def test_calibration_follows_the_share_of_labels():
+    rng = np.random.default_rng(2)
+    held, labels = [], np.arange(120) % 2
+    for y in labels:
+        words = [f"word{w}" for w in rng.integers(0, 3000, 60)] + ["vilescum", "rotbrain"][: rng.integers(1, 3) if y else 0]
+        held.append(" ".join(rng.permutation(words)).encode())
+    column = pa.array([h.decode() for h in held])
+    even, rare = toxicity.fit(held, labels), toxicity.fit(held, labels, 0.01)
+    a, b = (m.score(toxicity.Distance(m.toxic, m.ordinary), column) for m in (even, rare))
+    assert ((a >= 0.5) == labels).mean() > 0.95
+    assert np.allclose(np.log(a / (1 - a)) - np.log(b / (1 - b)), np.log(99))
+
+
 def test_toxicity_edges(spark, edges):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     found = toxicity.score_table(edges, labels).collect()
