@@ -144,7 +144,7 @@ def _tiles(members: DataFrame, group: list[str], weight: int, cost: str | None =
     """
     amount = F.count(F.lit(1)) / weight if cost is None else F.greatest(F.count(F.lit(1)) / weight, F.sum(cost) / TILE_SHINGLES)
     sizes = members.groupBy(*group).agg(F.ceil(amount).cast("int").alias("tiles"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    own = members.join(sizes.drop("members"), group)
+    own = members.join(materialize(sizes.drop("members"), "tiles"), group)
     tile = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
@@ -225,16 +225,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(set_id, root): the least id of each connected component, for every id that has an edge.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which need logarithmic rounds and keep the
-    number of edges; hot nodes are only ever grouped to their least neighbour, by partial minima.
+    number of edges; hot nodes are only ever grouped to their least neighbour, by partial minima.  What is known of
+    a node is written before its edges are joined to it: Spark splits a hot partition only where both sides of a join
+    are shuffled for it, and not where one is an aggregate on the same key.
     """
     now = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")).dropDuplicates(), "edges")
     seen = None
     for _ in range(rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).dropDuplicates()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large.where(F.col("a") != F.col("b")).dropDuplicates(), "large")
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).dropDuplicates(), "edges")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
@@ -323,10 +325,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     linked, links = verified(own, sets, components(edges))
     roots = components(linked)
     named = sets.join(roots, "set_id", "left").select("set_id", "first", "copies", F.coalesce("root", "set_id").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("class"))
+    named = materialize(named, "named")
+    least = materialize(named.groupBy("root").agg(F.min("first").alias("class")), "classes")
     facts = named.join(least, "root").join(links, "set_id", "left").select("set_id", "class", "copies", F.coalesce("n_links", F.lit(0)).alias("others"))
     rows = made.select("doc_id", "row_key", "text_key", "set_id")
-    return rows.join(facts, "set_id", "left").select(
+    return rows.join(materialize(facts, "facts"), "set_id", "left").select(
         "doc_id",
         "row_key",
         "text_key",
