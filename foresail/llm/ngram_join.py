@@ -144,7 +144,8 @@ def _tiles(members: DataFrame, group: list[str], weight: int, cost: str | None =
     """
     amount = F.count(F.lit(1)) / weight if cost is None else F.greatest(F.count(F.lit(1)) / weight, F.sum(cost) / TILE_SHINGLES)
     sizes = members.groupBy(*group).agg(F.ceil(amount).cast("int").alias("tiles"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    own = members.join(materialize(sizes.drop("members"), "tiles"), group)
+    known = materialize(sizes.drop("members"), "tiles")
+    own = members.join(known.hint("merge"), group)  # their number grows with the input: one plan at every size
     tile = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("tiles") - 1),
