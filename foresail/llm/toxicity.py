@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import segment_hashes, shingle_hashes, text_chunks, texts, utf8, word_spans
 
-#: Bytes of a window at most: a longer word counts by this many.
+#: Bytes of a word that is one window at most.
 WINDOW = 48
+#: Bytes of the pieces that a longer word is cut into, and from one to the next: short, as what is ordinary in a piece
+#: offsets an insult beside it.
+PIECE, STEP = 24, 12
 #: Bounds of what is learned from: labelled texts of each class, and bytes of such a text.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 16
 DICTIONARY_BYTES = 1 << 15
@@ -24,16 +27,36 @@ MEMO = 500_000
 SEARCH = {"strategy": zstandard.STRATEGY_BTLAZY2, "min_match": 4, "window_log": 16, "hash_log": 14, "chain_log": 14, "search_log": 4, "target_length": 16}
 
 
+def window_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of windows: words, and of a word over WINDOW bytes pieces that overlap and reach its end.
+
+    Scripts without spaces have whole sentences as words.  Pieces begin and end between code points.
+    """
+    start, end, row = word_spans(data, offsets)
+    long = end - start > WINDOW
+    if not long.any():
+        return start, end, row
+    made = np.where(long, 1 - (PIECE - (end - start)) // STEP, 1)
+    word = np.repeat(np.arange(len(start)), made)
+    piece = np.arange(len(word)) - np.repeat(np.cumsum(made) - made, made)
+    begin = start[word] + STEP * piece
+    stop = np.where(long[word], np.minimum(begin + PIECE, end[word]), end[word])
+    for places, edge in ((begin, start[word]), (stop, end[word])):
+        for _ in range(3):  # back to the first byte of a code point
+            places -= (places != edge) & ((data[np.minimum(places, len(data) - 1)] & 0xC0) == 0x80)
+    return begin, stop, row[word]
+
+
 def windows(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(pieces, number of the piece, row) of the windows of lower-cased texts.
 
-    A window is a word between two spaces, so that no cut hides one; equal windows are one piece.
+    A window is a word, or a piece of a long one, between two spaces; equal windows are one piece.
     """
     data, offsets = utf8(pa.array([x.lower() for x in texts(column)], pa.large_string()))
-    start, end, row = word_spans(data, offsets)
+    start, end, row = window_spans(data, offsets)
     _, first, number = np.unique(segment_hashes(data, start, end), return_index=True, return_inverse=True)
     raw = data.tobytes()
-    return [b" " + raw[a : min(b, a + WINDOW)] + b" " for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], number, row
+    return [b" " + raw[a:b] + b" " for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)], number, row
 
 
 def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -127,9 +150,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60)
 
 
 def _telling(held: list[bytes], labels: np.ndarray, least: float = 3.0, times: float = 8.0) -> set[int]:
-    """Hashes of words whose odds are `times` higher in toxic texts, by `least` standard errors from even odds."""
+    """Hashes of windows whose odds are `times` higher in toxic texts, by `least` standard errors from even odds."""
     data, offsets = utf8(pa.array([t.decode().lower() for t in held], pa.large_string()))
-    start, end, row = word_spans(data, offsets)
+    start, end, row = window_spans(data, offsets)
     hashes = segment_hashes(data, start, end)
     seen = np.unique(np.column_stack([row.astype(np.uint64), hashes]), axis=0)
     words, at = np.unique(seen[:, 1], return_inverse=True)
@@ -144,12 +167,12 @@ def _telling(held: list[bytes], labels: np.ndarray, least: float = 3.0, times: f
 def _samples(texts: list[bytes], telling: set[int] | None) -> list[bytes]:
     """What dictionaries are trained on: runs of eight windows, of all words or of the telling ones."""
     data, offsets = utf8(pa.array([t.decode().lower() for t in texts], pa.large_string()))
-    start, end, _ = word_spans(data, offsets)
+    start, end, _ = window_spans(data, offsets)
     if telling is not None:
         hit = np.isin(segment_hashes(data, start, end), np.fromiter(telling, np.uint64, len(telling)))
         start, end = start[hit], end[hit]
     raw = data.tobytes()
-    words = [raw[a : min(b, a + WINDOW)] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
     return [b" " + b" ".join(words[i : i + 8]) + b" " for i in range(0, len(words), 8)]
 
 

@@ -14,6 +14,7 @@ import pytest
 
 import corpus_pipeline
 from foresail.llm import bpe, chat, hilbert, media, ngram_join, packing, pii, quality, queries, toxicity, warc
+from foresail.llm.common import utf8, word_spans
 
 SF = "/root/testdata/sf0.001"
 V = queries.vocabulary()
@@ -390,6 +391,34 @@ def test_calibration_follows_the_share_of_labels():
     assert np.allclose(np.log(a / (1 - a)) - np.log(b / (1 - b)), np.log(99))
 
 
+def test_long_words_are_read_to_their_end():
+    texts = ["日本語" * 100, "x" * 49, "é" * 30 + " short " + "a_" * 40, "", "😀" * 13, "y" * 48]
+    data, offsets = utf8(pa.array(texts, pa.large_string()))
+    start, end, row = toxicity.window_spans(data, offsets)
+    raw, covered = data.tobytes(), np.zeros(len(data), bool)
+    for a, b, r in zip(start, end, row, strict=True):
+        assert b - a <= toxicity.WINDOW and raw[a:b].decode() in texts[r]
+        covered[a:b] = True
+    words = np.zeros(len(data), bool)
+    for a, b, _ in zip(*word_spans(data, offsets), strict=True):
+        words[a:b] = True
+    assert (covered == words).all()
+
+
+def test_an_insult_at_the_end_of_a_long_unspaced_text_counts():
+    rng = np.random.default_rng(5)
+    plain = [chr(0x4E00 + c) for c in range(400)]
+    insult = "鼻齉龘靐"
+    unspaced = lambda n: "".join(rng.choice(plain, n))
+    labels = np.arange(120) % 2
+    held = [" ".join([*(unspaced(4) for _ in range(20)), *([insult] if y else [])]).encode() for y in labels]
+    model = toxicity.fit(held, labels)
+    ordinary = [unspaced(300) for _ in range(20)]
+    column = pa.array([*ordinary, *(t + insult for t in ordinary)])
+    scores = model.score(toxicity.Distance(model.toxic, model.ordinary), column)
+    assert (scores[20:] > scores[:20] + 0.2).all()
+
+
 def test_toxicity_edges(spark, edges):
     labels = spark.createDataFrame([(3, 1), (4, 0), (4, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     found = toxicity.score_table(edges, labels).collect()
