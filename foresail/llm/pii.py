@@ -8,14 +8,14 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, texts, utf8
+from .common import segment_hashes, text_chunks, texts, utf8
 
 #: Kinds in the order of the report; patterns find the first four, the field all.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -72,36 +72,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def shape(word: str) -> str:
-    """Character classes with run lengths: A upper, a lower and other letters, 9 digit, punctuation as it is."""
-    out, last, n = [], "", 0
-    for c in word[:48]:
-        k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c if c < "\x80" else "?"
-        if k == last:
-            n += 1
-        else:
-            if last:
-                out.append(last + (str(n) if last == "9" and n < 7 else "+" if n > 1 else ""))
-            last, n = k, 1
-    out.append(last + (str(n) if last == "9" and n < 7 else "+" if n > 1 else ""))
+class _Classes(dict):
+    """Character classes by code point: A upper, a lower and other letters, 9 digit, punctuation as it is."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = k = "9" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c if c < "\x80" else "\ufffd"
+        return k
+
+
+_CLASSES = _Classes()
+
+
+def _shape(classes: str) -> str:
+    out = []
+    for k, run in groupby(classes.replace("\ufffd", "?")):
+        n = len(list(run))
+        out.append(k + (str(n) if k == "9" and n < 7 else "+" if n > 1 else ""))
     return "".join(out)
 
 
-@lru_cache(maxsize=1 << 16)
+def shape(word: str) -> str:
+    """Character classes with run lengths."""
+    return _shape(word.translate(_CLASSES))
+
+
+def _key(word: str) -> tuple[str, bool, str]:
+    """All that the features of a word depend on: its character classes, whether it is a long hex number, its cue."""
+    hexed = len(word) >= 20 and len(word.strip("\"'.,;#*$%&|!")) >= 20 and not re.search(r"[^0-9A-Fa-f\"'.,;#*$%&|!]", word)
+    cue = word.strip("=:")
+    return word.translate(_CLASSES), hexed, low if len(cue) <= 8 and (low := cue.lower()) in CUES else ""
+
+
 def features(word: str) -> tuple[str, ...]:
-    s = shape(word)
-    n = sum("0" <= c <= "9" for c in word)
-    hexed = len(word.strip("\"'.,;#*$%&|!")) >= 20 and not re.search(r"[^0-9A-Fa-f\"'.,;#*$%&|!]", word)
-    core = shape(word.strip("\"'.,;:!?#*$%&|"))
+    return _features(*_key(word))
+
+
+def _features(classes: str, hexed: bool, cue: str) -> tuple[str, ...]:
+    s = _shape(classes)
+    n = classes.count("9")
+    core = _shape(classes.strip("\"'.,;:!?#*$%&|"))
     return (
         f"s:{s}",
         f"c:{core}",
         f"t:{''.join(sorted(set(re.sub(r'[0-9+]', '', s))))[:8]}",
         f"d:{min(n, 20)}",
-        f"l:{min(len(word), 24) // 3}",
-        f"@:{'@' in word}{word.count('.') if n else 0}",
+        f"l:{min(len(classes), 24) // 3}",
+        f"@:{'@' in classes}{classes.count('.') if n else 0}",
         f"h:{hexed}",
-        f"k:{word.lower().strip('=:') if word.lower().strip('=:') in CUES else ''}",
+        f"k:{cue}",
     )
 
 
@@ -110,21 +129,35 @@ CUES = frozenset("token secret password key api_key apikey tel phone call fax mo
 WIDTH = 1 << 13
 
 
+def _own_slots(keys: list[tuple[str, bool, str]]) -> np.ndarray:
+    """Feature numbers of each word for its own place, for that of the next word, and for that of the one before."""
+    rows = []
+    for key in keys:
+        found = _features(*key)
+        rows.append([hash_of(f"{d}{f}") for d in (0, 1, 2) for f in found])
+    return np.array(rows, np.int64).reshape(len(keys), 3, -1)
+
+
 def _slots(words: list[str]) -> np.ndarray:
     """Feature numbers of each word in its place: its own, and those of the words beside it."""
-    rows = [[hash_of(f"{d}{f}") for d in (0, 1, 2) for f in features(w)] for w in words]
-    own = np.array(rows, np.int64).reshape(len(words), 3, -1)
+    own = _own_slots([_key(w) for w in words])
     none = np.full((1, own.shape[2]), hash_of("none"), np.int64)
     left = np.concatenate([none, own[:-1, 1]])
     right = np.concatenate([own[1:, 2], none])
     return np.concatenate([own[:, 0], left, right], 1)
 
 
-@lru_cache(maxsize=1 << 18)
 def hash_of(name: str) -> int:
+    return _hash_short(name) if len(name) <= 64 else _hash(name)
+
+
+def _hash(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % WIDTH
 
 
+_hash_short = lru_cache(maxsize=1 << 18)(_hash)
+
+
 def labelled_table(seed: int = 7, rows: int = 450) -> list[tuple[list[str], list[str]]]:
     """The small labelled table that the field learns from: (words, labels) of made-up sentences.
 
@@ -199,6 +232,51 @@ def labelled_table(seed: int = 7, rows: int = 450) -> list[tuple[list[str], list
         words.append(word())
         labels.append("O")
         table.append((words, labels))
+    return table + _digit_free_rows(r, rows * 2 // 3)
+
+
+def _digit_free_rows(r: random.Random, rows: int) -> list[tuple[list[str], list[str]]]:
+    """Rows without digits: spelt addresses, keys and passwords of letters, and sentences with the same cues and neither."""
+    syllables = ("an", "er", "on", "ta", "li", "mo", "re", "ja", "ne", "schu", "vé", "ción", "the", "st", "ou", "pa", "ex", "ple")
+    name = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    word = lambda: r.choice((name, name, name, name, lambda: name().title(), lambda: name().upper(), lambda: f"{name()}-{name()}"))() + r.choice(("", "", "", "", ",", "."))
+    spelt = ("at", "dot", "=", ":", "token", "secret", "password", "key", "mail", "email", "phone", "call", "host", "card")
+    mixed = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    low = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hexed = lambda n: "".join(r.choice("abcdef") for _ in range(n))
+    junk = lambda w: w + r.choice(("&&&", "%%%", "$$$", "***", "###", "!!!"))
+    table = []
+    for _ in range(rows):
+        words, labels = [], []
+        noisy = r.random() < 0.3
+        for _ in range(r.randint(1, 2)):
+            for _ in range(r.randint(1, 5)):
+                w = word() if r.random() < 0.9 else r.choice((*spelt, "|", "-", "(see", "...", "the", "to"))
+                words.append(junk(w) if noisy else w)
+                labels.append("O")
+            kind = r.random()
+            if noisy and kind < 0.8:
+                continue
+            if kind < 0.3:
+                found = [name(), "at", name(), "dot", r.choice(("com", "org", "net", "de"))]
+                if r.random() < 0.3:
+                    found[2:3] = [name(), "dot", name()]
+                words += [*found[:-1], found[-1] + r.choice(("", "", ".", ","))]
+                labels += ["B-email", *["I-email"] * (len(found) - 1)]
+            elif kind < 0.6:
+                cue = r.choice(("token", "key", "secret", "password", "api_key", "apikey"))
+                found = r.choice((mixed, low, hexed))(r.choice((8, 10, 12, 16, 20, 24, 32, 40)))
+                sign = r.choice(([cue, "="], [cue, ":"], [cue + ":"], [cue + "="]))
+                words += [*sign, r.choice(("%s", "%s", '"%s"', "%s.")) % found]
+                labels += ["O"] * len(sign) + ["B-secret"]
+            elif kind < 0.8:
+                found = r.choice((["at", "the", "dot"], ["the", "key", "to", word()], ["a", "secret", name()], [name(), "at", name()], ["password", "for", name()], ["at"] * r.randint(2, 4), [name(), "at", "at", name()], [name(), "dot", "dot", name()], [name(), "=", name()], [name(), ":", name()], ["dot", name()], ["token", name()]))
+                words += found
+                labels += ["O"] * len(found)
+        for _ in range(r.randint(1, 6)):
+            words.append(junk(word()) if noisy else word())
+            labels.append("O")
+        table.append((words, labels))
     return table
 
 
@@ -207,14 +285,48 @@ class Field:
 
     def __init__(self, emit: np.ndarray, move: np.ndarray):
         self.emit, self.move = emit, move
+        self.none = emit[hash_of("none") % len(emit)] * len(features("x"))  # what the side of a text adds
+        self.memo: dict[tuple[str, bool, str], np.ndarray] = {}
 
     def scores(self, slots: np.ndarray) -> np.ndarray:
         return self.emit[slots].sum(-2)
 
-    def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best label paths of a batch of padded chains, all chains at once, one step for each place."""
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """What each word adds to the scores of its own place, of the next and of the one before; words alike in all features are scored once."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        keys = [_key(w) for w in words]
+        place = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+        table = np.zeros((len(place), 3, len(LABELS)))
+        new = []
+        for k, i in place.items():
+            if (held := self.memo.get(k)) is not None:
+                table[i] = held
+            else:
+                new.append((k, i))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            made = self.emit[_own_slots([k for k, _ in part])].sum(2)
+            table[[i for _, i in part]] = made
+            self.memo.update((k, x) for (k, _), x in zip(part, made, strict=True) if len(k[0]) <= 64)
+        return table[[place[k] for k in keys]]
+
+    def maybe(self, scores: np.ndarray) -> tuple[np.ndarray, float]:
+        """(gain, more): labels other than O in a run of places raise a path by at most the sum of gains plus `more`."""
+        k, move = len(LABELS), self.move
+        stay = move[0, 0]
+        inner = move[1:k, 1:].max() - stay
+        enter = max((move[0, 1:] - stay).max(), (move[k, 1:] - move[k, 0]).max())
+        leave = max((move[1:k, 0] - stay).max(), 0.0)
+        return scores[:, 1:].max(1) - scores[:, 0] + inner, float(enter + leave - inner)
+
+    def viterbi(self, scores: np.ndarray, lengths: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+        """Best label paths of a batch of padded chains, all chains at once, one step for each place.
+
+        Chains for which `begins` is false stand behind a word that is outside.
+        """
         n, steps, k = scores.shape
-        best = scores[:, 0] + self.move[k]
+        best = scores[:, 0] + (self.move[k] if begins is None else np.where(begins[:, None], self.move[k], self.move[0]))
         back = np.zeros((n, steps, k), np.int8)
         for t in range(1, steps):
             through = best[:, :, None] + self.move[None, :k]
@@ -296,20 +408,15 @@ def default_field() -> Field:
 _EDGE = "\"'.,;:!?#*$%&|<>[]{}=~^`\\/"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_TELLS = np.zeros(256, bool)
-_TELLS[[*range(48, 58), 64]] = True
+#: Places that are scored at once, and kinds of words whose scores a worker remembers; all are forgotten when there are more.
+BLOCK, MEMO = 1 << 16, 200_000
 
 
-def chains(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row, chain) of the words that the field looks at; places are code points of the text.
-
-    Words stand between white space.  Those with a digit or an at sign, and two on either side, make chains; a chain
-    ends where another word comes between.  All other words are outside by definition.
-    """
+def word_places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, hash) of all words between white space; places are code points of the text."""
     data, offsets = utf8(column)
-    empty = (np.zeros(0, np.int64),) * 4
-    if len(data) == 0 or not _TELLS[data].any():
-        return empty
+    if len(data) == 0:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     solid = ~_SPACE[data]
     begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
@@ -320,60 +427,83 @@ def chains(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     stops[edges - 1] |= solid[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
-    told = np.concatenate([[0], np.cumsum(_TELLS[data])])
-    hit = np.flatnonzero(told[end] > told[start])
-    near = (hit[:, None] + np.arange(-2, 3)).ravel()
-    owner = np.repeat(row[hit], 5)
-    near, owner = near[ok := (near >= 0) & (near < len(start))], owner[ok]
-    near = np.unique(near[row[near] == owner])
-    if not len(near):
-        return empty
-    new = np.concatenate([[True], (np.diff(near) > 1) | (np.diff(row[near]) > 0)])
+    hashes = segment_hashes(data, start, end)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    base = points[offsets[row[near]]]
-    return points[start[near]] - base, points[end[near]] - base, row[near], np.cumsum(new) - 1
+    base = points[offsets[row]]
+    return points[start] - base, points[end] - base, row, hashes
+
+
+def labels_of(field: Field, number: np.ndarray, row: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Labels of the best path of each text: `number` says which of the distinct words, scored in `told`, stands where.
+
+    Places that no run of labels can hold that is worth more than O all along are O without being decoded; that is a
+    bound and not a guess, so the path is that of the whole text.
+    """
+    n = len(number)
+    labels = np.zeros(n, np.int64)
+    if n == 0:
+        return labels
+    first = np.concatenate([[True], np.diff(row) > 0])
+    last = np.append(first[1:], True)
+
+    def scores(at: np.ndarray) -> np.ndarray:
+        left = np.where(first[at, None], field.none, told[number[at - 1], 1])
+        right = np.where(last[at, None], field.none, told[number[np.minimum(at + 1, n - 1)], 2])
+        return told[number[at], 0] + left + right
+
+    gain = np.empty(n)
+    for at in range(0, n, BLOCK):
+        gain[at : at + BLOCK], more = field.maybe(scores(np.arange(at, min(n, at + BLOCK))))
+    sums = np.concatenate([[0.0], np.cumsum(gain)])
+    best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+    at = np.flatnonzero(best + more > -1e-3)
+    if not len(at):
+        return labels
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | first[at[1:]]]))
+    sizes = np.diff(np.append(begin, len(at)))
+    order = np.argsort(sizes, kind="stable")
+    done = 0
+    while done < len(order):  # batches of runs of like length
+        stop = done + 1
+        while stop < len(order) and sizes[order[stop]] <= max(8, 2 * sizes[order[done]]) and (stop - done) * sizes[order[stop]] < 20_000:
+            stop += 1
+        own = order[done:stop]
+        steps = np.arange(int(sizes[own].max()))
+        heads, tails = at[begin[own]], at[begin[own] + sizes[own] - 1]
+        places = np.minimum(heads[:, None] + steps, tails[:, None])
+        table = scores(places.ravel()).reshape(*places.shape, -1)
+        table[np.arange(len(own)), sizes[own] - 1] += np.where(last[tails, None], 0.0, field.move[: len(LABELS), 0])
+        path = field.viterbi(table, sizes[own], first[heads])
+        here = steps < sizes[own][:, None]
+        labels[places[here]] = path[here]
+        done = stop
+    return labels
 
 
 def field_spans(held: list[str], column: pa.Array, field: Field) -> dict[int, list[tuple[int, int, str]]]:
     """What the field finds, by number of the text."""
-    start, end, row, chain = chains(column)
+    start, end, row, hashes = word_places(column)
     out: dict[int, list[tuple[int, int, str]]] = {}
     if not len(start):
         return out
-    words = [held[r][a:b] for a, b, r in zip(start.tolist(), end.tolist(), row.tolist(), strict=True)]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(chain) > 0]))
-    sizes = np.diff(np.append(first, len(chain)))
-    labels = np.zeros(len(words), np.int64)
-    order = np.argsort(sizes, kind="stable")
-    at = 0
-    while at < len(order):  # batches of chains of like length
-        stop = at + 1
-        while stop < len(order) and sizes[order[stop]] <= max(8, 2 * sizes[order[at]]) and (stop - at) * sizes[order[stop]] < 20_000:
-            stop += 1
-        own = order[at:stop]
-        steps = int(sizes[own].max())
-        scores = np.zeros((len(own), steps, len(LABELS)))
-        for i, c in enumerate(own.tolist()):
-            scores[i, : sizes[c]] = field.scores(_slots(words[first[c] : first[c] + sizes[c]]))
-        path = field.viterbi(scores, sizes[own])
-        for i, c in enumerate(own.tolist()):
-            labels[first[c] : first[c] + sizes[c]] = path[i, : sizes[c]]
-        at = stop
+    _, found, number = np.unique(hashes, return_index=True, return_inverse=True)
+    words = [held[r][a:b] for a, b, r in zip(start[found].tolist(), end[found].tolist(), row[found].tolist(), strict=True)]
+    labels = labels_of(field, number, row, field.word_scores(words))
+    hit = np.flatnonzero(labels)
     i = 0
-    while i < len(words):
-        name = LABELS[labels[i]]
+    while i < len(hit):
+        name = LABELS[labels[hit[i]]]
         j = i + 1
-        if name != "O":
-            while j < len(words) and chain[j] == chain[i] and LABELS[labels[j]] == f"I-{name[2:]}":
-                j += 1
-            text = held[row[i]]
-            a, b = int(start[i]), int(end[j - 1])
-            while a < b and text[a] in _EDGE:
-                a += 1
-            while b > a and text[b - 1] in _EDGE:
-                b -= 1
-            if a < b and any(c.isdigit() or c == "@" for c in text[a:b]):
-                out.setdefault(int(row[i]), []).append((a, b, name[2:]))
+        while j < len(hit) and hit[j] == hit[j - 1] + 1 and row[hit[j]] == row[hit[i]] and LABELS[labels[hit[j]]] == f"I-{name[2:]}":
+            j += 1
+        text = held[row[hit[i]]]
+        a, b = int(start[hit[i]]), int(end[hit[j - 1]])
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while b > a and text[b - 1] in _EDGE:
+            b -= 1
+        if a < b:
+            out.setdefault(int(row[hit[i]]), []).append((a, b, name[2:]))
         i = j
     return out
 

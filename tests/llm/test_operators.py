@@ -313,6 +313,43 @@ def test_field_finds_what_patterns_miss():
     assert [(text[a:b], k) for a, b, k in spans[0]] == [("1eb9c654e721b4f812088970e66a6345cee33dd6", "secret"), ("(555) 555-0100", "phone")]
 
 
+def test_field_reads_words_without_digits():
+    field = pii.default_field()
+    text = "they said write to jane at example dot org about the rest, and token = qWxTzkLmPfRbNhVd is ours"
+    _, spans = pii.all_spans([text, "x " * 60], pa.array([text, "x " * 60]), field)
+    assert [(text[a:b], k) for a, b, k in spans[0]] == [("jane at example dot org", "email"), ("qWxTzkLmPfRbNhVd", "secret")]
+    assert spans[1] == []
+    right = total = 0
+    for words, labels in pii.labelled_table(seed=99, rows=150):
+        if not any(c.isdigit() or c == "@" for w in words for c in w):
+            path = field.viterbi(field.scores(pii._slots(words))[None], np.array([len(words)]))[0]
+            right += sum(pii.LABELS[p] == y for p, y in zip(path, labels, strict=True))
+            total += len(labels)
+    assert total > 500 and right / total > 0.95
+
+
+def test_shape_reads_whole_words():
+    assert pii.shape("a" * 60 + "9") == "a+91"
+
+
+def test_labels_are_those_of_the_whole_text():
+    field = pii.default_field()
+    rng = np.random.default_rng(8)
+    rows = [words for words, _ in pii.labelled_table(seed=12, rows=60)]
+    held = [" ".join(w for k in rng.integers(0, len(rows), n) for w in rows[k]) for n in (1, 2, 5, 9, 1, 3, 40)]
+    held[3:3] = ["", "jane at example dot org", "token"]
+    column = pa.array(held)
+    _, _, row, hashes = pii.word_places(column)
+    words = [w for t in held for w in t.split()]
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    found = pii.labels_of(field, number, row, field.word_scores([words[i] for i in first]))
+    for i, text in enumerate(held):
+        own = text.split()
+        if own:
+            path = field.viterbi(field.scores(pii._slots(own))[None], np.array([len(own)]))[0]
+            assert found[row == i].tolist() == path.tolist()
+
+
 def test_spans_of_the_field_that_touch_the_base_go():
     rng = np.random.default_rng(3)
     for _ in range(200):
