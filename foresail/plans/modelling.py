@@ -198,7 +198,7 @@ def _(spark, d):
 )
 def _(spark: SparkSession, d: str):
     table = read_table(spark, d, "events")
-    stream = streaming.windowed_sums(streaming.event_stream(spark, f"{d}/events.parquet*", table.schema))
+    stream = streaming.windowed_sums(streaming.event_stream(spark, f"{d}/events.parquet*", table.schema), late=None)
     name = f"hourly_{uuid.uuid4().hex}"
     rows = streaming.run_available(stream, name, files.scratch(spark, "stream"))
     return rows.select("series_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "value", "n")

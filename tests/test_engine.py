@@ -166,3 +166,16 @@ def test_entry_works_without_the_optional_package():
         "assert 'owa' in e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)
+
+
+def test_stream_of_unordered_files_gives_each_window_once(spark, tmp_path):
+    from foresail.streaming import events
+
+    rows = [("a", f"2024-01-{day:02d} 0{hour}:{minute}:00", float(day + hour)) for day in (9, 1, 5) for hour in (3, 1) for minute in (10, 40)]
+    table = lambda part: spark.createDataFrame(part, "event_type string, ts string, value double").selectExpr("event_type", "cast(ts as timestamp) ts", "value")
+    for i, row in enumerate(rows[::2] + rows[1::2]):  # both halves of an hour come in batches far apart
+        table([row]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/f{i}.parquet")
+    schema = table(rows[:1]).schema
+    stream = events.windowed_sums(events.event_stream(spark, f"{tmp_path}/in/*.parquet", schema, files_per_trigger=1), late=None)
+    found = events.run_available(stream, "unordered", f"{tmp_path}/state").collect()
+    assert sorted((r.ds.day, r.ds.hour, r.value, r.n) for r in found) == sorted((d, h, 2.0 * (d + h), 2) for d in (9, 1, 5) for h in (3, 1))
