@@ -1,9 +1,16 @@
-"""WARC derivatives: metadata and plain-text conversion records for response records, in DataFrame functions."""
+"""WARC derivatives: metadata and plain-text conversion records for response records, in DataFrame functions but for entities."""
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+from html import unescape
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
 #: Applied in order to the HTML: comments and invisible elements go, block elements end lines, other tags go.
@@ -14,7 +21,7 @@ TAG_STEPS: tuple[tuple[str, str], ...] = (
     ("(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title|body|head)( [^>]*|/)?>", "\n"),
     ("<[^>]*>", ""),
 )
-#: Named and common numeric entities; the ampersand is last, so that nothing is decoded twice.
+#: The entities that the SQL knows; the ampersand is last, so that nothing is decoded twice.
 ENTITIES: tuple[tuple[str, str], ...] = (
     ("&nbsp;", " "),
     ("&lt;", "<"),
@@ -29,12 +36,43 @@ ENTITIES: tuple[tuple[str, str], ...] = (
 SPACE_STEPS: tuple[tuple[str, str], ...] = (("[ \t\r\f]+", " "), (" ?\n ?", "\n"), ("\n+", "\n"), ("^[ \n]+|[ \n]+$", ""))
 
 
-def html_text(html: Column) -> Column:
+#: What HTML5 may read as a reference, and, of that, what ends in a semicolon.
+_ANY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});")
+
+
+def _decoded(reference: str) -> str:
+    made = unescape(reference)
+    return " " + made[1:] if made[0:1] == "\xa0" else made  # a no-break space counts as space
+
+
+@lru_cache(maxsize=1 << 14)
+def _any(reference: str) -> str:
+    return _decoded(reference)
+
+
+@lru_cache(maxsize=1 << 14)
+def _closed(reference: str) -> str:
+    return _decoded(reference) if reference[1] == "#" or reference[1:] in html5 else reference
+
+
+@F.arrow_udf(StringType())
+def decode_all(column: pa.Array) -> pa.Array:
+    """Texts with the character references that HTML5 knows decoded once: all numbers and names, some of them without a semicolon."""
+    return pa.array([_ANY.sub(lambda m: _any(m[0]), x) if x and "&" in x else x for x in column.to_pylist()], pa.string())
+
+
+@F.arrow_udf(StringType())
+def decode_closed(column: pa.Array) -> pa.Array:
+    """As `decode_all`, of the references that end in a semicolon."""
+    return pa.array([_CLOSED.sub(lambda m: _closed(m[0]), x) if x and "&" in x else x for x in column.to_pylist()], pa.string())
+
+
+def html_text(html: Column, sql_form: bool = False) -> Column:
     """The visible text of a page, a line for each block."""
     for pattern, by in TAG_STEPS:
         html = F.regexp_replace(html, pattern, by)
-    for name, by in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(by))
+    html = (decode_closed if sql_form else decode_all)(html)
     for pattern, by in SPACE_STEPS:
         html = F.regexp_replace(html, pattern, by)
     return html
@@ -76,7 +114,7 @@ def header(name: str, at: Column) -> Column:
     return F.regexp_extract(at, rf"(?i)(?:^|\n){name}: *([^\r\n]*)", 1)
 
 
-def derivatives(df: DataFrame) -> DataFrame:
+def derivatives(df: DataFrame, sql_form: bool = False) -> DataFrame:
     """Two records for each response: `metadata` (application/warc-fields) and `conversion` (text/plain).
 
     Both name the response in WARC-Refers-To, and its target URI and date; the metadata block preserves the
@@ -84,14 +122,18 @@ def derivatives(df: DataFrame) -> DataFrame:
     the response's id and the type, so that a run that is repeated gives the same records.  `record` is the
     whole record as written to a file.  Null fields of a response count as empty strings; an empty payload gives
     an empty conversion; repeated responses give repeated records; an empty table gives none.
+
+    Character references are decoded in text and title.  The SQL of op8 leaves those without a semicolon, and all in
+    the title, as they are written; so does `sql_form`.
     """
+    title = F.regexp_extract(F.coalesce(F.col("payload").cast("string"), F.lit("")), "(?i)<title[^>]*>([^<]*)</title>", 1)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     source = df.select(
         "page_id",
         *[empty(c).alias(c) for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload_digest")],
         F.octet_length(empty("payload")).alias("source_bytes"),
-        html_text(empty("payload")).alias("plain"),
-        F.regexp_replace(F.regexp_extract(empty("payload"), "(?i)<title[^>]*>([^<]*)</title>", 1), "[\r\n]+", " ").alias("title"),
+        html_text(empty("payload"), sql_form).alias("plain"),
+        F.regexp_replace(title if sql_form else decode_all(title), "[\r\n]+", " ").alias("title"),
         F.regexp_extract(empty("payload"), '(?i)<html[^>]* lang="([^"]*)"', 1).alias("lang"),
     )
     urn = lambda kind: _urn(_sha(F.concat_ws("\n", F.lit(kind), F.col("record_id"))))
@@ -140,7 +182,7 @@ def derivatives(df: DataFrame) -> DataFrame:
 
 def derivative_digests(pages: DataFrame) -> DataFrame:
     """The derivatives of a page table with the digest of each whole record in place of the record."""
-    made = derivatives(responses(pages))
+    made = derivatives(responses(pages), sql_form=True)
     return made.withColumn("record_sha256", _sha(F.col("record"))).drop("record")
 
 

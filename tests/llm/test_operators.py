@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.entities import html5
 
 import duckdb
 import numpy as np
@@ -387,6 +389,28 @@ def test_warc_edges(spark):
     assert warc.derivative_digests(pages.limit(0)).count() == 0
 
 
+def test_warc_decodes_all_references(spark):
+    names = [f"&{n}" for n in html5 if n.endswith(";")]
+    numbers = ["&#8217;", "&#x27;", "&#X2014;", "&#160;", "&#0;", "&#x80;", "&#xD800;", "&#1114112;", "&unknown;", "&amp;lt;", "& &;"]
+    parts = names + numbers
+    body = "".join(f"<p>a{x}b</p>" for x in parts)
+    page = f"<html><head><title>Caf&eacute; &mdash; R&amp;D&#10;x: y</title></head><body>{body}<p>&copy 5 &notit;</p></body></html>"
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+
+    def lines(parts):
+        text = "".join(f"\na{' ' if html.unescape(x) == chr(160) else html.unescape(x)}b\n" for x in parts)
+        for pattern, by in warc.SPACE_STEPS:
+            text = re.sub(pattern, by, text)
+        return text
+
+    for sql_form in (False, True):
+        made = {r.warc_type: r.record for r in warc.derivatives(warc.responses(pages), sql_form).collect()}
+        block = made["conversion"].split("\r\n\r\n", 1)[1].removesuffix("\r\n\r\n")
+        assert lines(parts) in block
+        assert block.endswith("\n&copy 5 &notit;" if sql_form else "\n\u00a9 5 \u00acit;")
+        assert ("title: Caf&eacute;" if sql_form else "title: Caf\u00e9 \u2014 R&D x: y\r\n") in made["metadata"]
+
+
 def test_hilbert_law_and_order(spark):
     rows = queries.op9_hilbert_shards(spark, SF).toPandas()
     sizes = rows.groupby("shard").size()
