@@ -15,9 +15,14 @@ CHUNK_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The shared folder named by ``spark.checkpoint.dir``; on a local master without it (tests), a temporary one.
+
+    On a cluster a folder of one machine would lose what the others write: there an unset name is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="foresail-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,6 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that `materialize` wrote and nothing refers to any more."""
+    jvm, paths = df.sparkSession._jvm, {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch with about `limit` bytes of text each, at least one row in each."""
     if batch.num_rows == 0:

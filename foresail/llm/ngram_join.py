@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, materialize, mix64, shingle_hashes, text_chunks
+from .common import discard, groups_of, materialize, mix64, shingle_hashes, text_chunks
 
 #: Five words, a similarity of 0.8 or more.
 SIZE, THRESHOLD = 5, 0.8
@@ -19,8 +19,10 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: A pair is dropped when the chance that it reaches the threshold is below this, looked at after every STEP values.
 TOLERANCE, STEP = 1e-5, 16
-#: Members of a tile: groups are cut by a hash of the member into tiles, and pairs of tiles are separate work.
-TILE = 1000
+#: Groups are cut by a hash of the member into tiles, and pairs of tiles are separate work: one tile for each SMALL
+#: members up to SPREAD tiles, so that a group is spread, and one for each TILE where these are more, as a member moves
+#: once for every tile of its group.
+SMALL, SPREAD, TILE = 256, 16, 4096
 #: Shingles of the texts of one tile at most, in the mean.
 TILE_SHINGLES = 1_000_000
 
@@ -136,22 +138,29 @@ def signatures(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, row_key long, text_key long, set_id binary, n long, signature binary")
 
 
-def _tiles(members: DataFrame, group: list[str], weight: int, cost: str | None = None) -> DataFrame:
-    """Each member once for every pair of tiles of its group that it is part of: columns tile_a, tile_b and side.
-
-    The tile is a hash of the member.  Tile pair (i, j), i <= j, holds tiles i and j; a group of one tile has the
-    pair (0, 0) alone.
-    """
-    amount = F.count(F.lit(1)) / weight if cost is None else F.greatest(F.count(F.lit(1)) / weight, F.sum(cost) / TILE_SHINGLES)
-    sizes = members.groupBy(*group).agg(F.ceil(amount).cast("int").alias("tiles"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+def _tiles(members: DataFrame, group: list[str], cost: str | None = None) -> DataFrame:
+    """The members of groups of two or more with `tiles`, the number of tiles of the group, and `tile`, a hash of the member."""
+    n = F.count(F.lit(1))
+    amount = F.greatest(n / TILE, F.least(n / SMALL, F.lit(SPREAD).cast("double")))
+    if cost is not None:
+        amount = F.greatest(amount, F.sum(cost) / TILE_SHINGLES)
+    sizes = members.groupBy(*group).agg(F.ceil(amount).cast("int").alias("tiles"), n.alias("members")).where(F.col("members") > 1)
     known = materialize(sizes.drop("members"), "tiles")
     own = members.join(known.hint("merge"), group)  # their number grows with the input: one plan at every size
-    tile = F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("tiles") - 1),
-        lambda other: F.struct(F.least(other, F.col("tile")).alias("tile_a"), F.greatest(other, F.col("tile")).alias("tile_b")),
-    )
-    return own.withColumn("tile", tile).select(*members.columns, "tile", F.explode(pairs).alias("p")).select("*", "p.tile_a", "p.tile_b").drop("p")
+    return own.withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
+
+
+def _tile_pairs(tiled: DataFrame, once: Column | None = None) -> DataFrame:
+    """Each member once for every pair of tiles, tile_a <= tile_b, that its own is part of; a group of one tile has (0, 0).
+
+    A row where `once` is true is in the pairs that its tile is the lower of only.
+    """
+    others = F.sequence(F.lit(0), F.col("tiles") - 1)
+    if once is not None:
+        others = F.filter(others, lambda other: ~once | (other >= F.col("tile")))
+    pairs = F.transform(others, lambda other: F.struct(F.least(other, F.col("tile")).alias("a"), F.greatest(other, F.col("tile")).alias("b")))
+    columns = [c for c in tiled.columns if c != "tiles"]
+    return tiled.select(*columns, F.explode(pairs).alias("p")).select(*columns, F.col("p.a").alias("tile_a"), F.col("p.b").alias("tile_b"))
 
 
 def _forest(n: int, links: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -195,7 +204,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"band": pa.array(keys.ravel()), "set_id": batch.column("set_id").take(pa.array(at))})
 
     buckets = sets.select("set_id", "signature").mapInArrow(bands, "band long, set_id binary")
-    tiled = _tiles(buckets, ["band"], TILE).join(sets.select("set_id", "signature"), "set_id")
+    tiled = _tile_pairs(_tiles(buckets, ["band"])).join(sets.select("set_id", "signature"), "set_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: tuple[list, list] = ([], [])
@@ -222,24 +231,28 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     return tiled.repartition(*keys).sortWithinPartitions(*keys, "set_id").mapInArrow(compare, "a binary, b binary").dropDuplicates()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(set_id, root): the least id of each connected component, for every id that has an edge.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014), which need logarithmic rounds and keep the
-    number of edges; hot nodes are only ever grouped to their least neighbour, by partial minima.  What is known of
-    a node is written before its edges are joined to it: Spark splits a hot partition only where both sides of a join
-    are shuffled for it, and not where one is an aggregate on the same key.
+    Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges stay the same, which takes a
+    number of rounds logarithmic in the longest chain; the steps keep the number of edges, and hot nodes are only ever
+    grouped to their least neighbour, by partial minima.  What is known of a node is written before its edges are
+    joined to it: Spark splits a hot partition only where both sides of a join are shuffled for it, and not where one
+    is an aggregate on the same key.  Tables of past rounds are deleted.
     """
     now = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")).dropDuplicates(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where(F.col("a") != F.col("b")).dropDuplicates(), "large")
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).dropDuplicates(), "edges")
+        after = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).dropDuplicates(), "edges")
+        for past in (now, least, large, low):
+            discard(past)
+        now = after
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if seen == mark:
             break
@@ -248,31 +261,76 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("set_id"), "root").dropDuplicates())
 
 
+MEMBER = "root binary, tile int, tiles int, base boolean, set_id binary, n long, copies long, signature binary, relative boolean, shingles binary"
+
+
+def shingle_sets(bodies: DataFrame) -> DataFrame:
+    """Members of components (root, set_id, n, copies, signature, text) with their shingles in place of their texts.
+
+    A component is cut into tiles.  The set of its root is the base, which each tile gets as a row of its own; of a
+    member that differs from it in fewer shingles than it has, these are kept (`relative`), of others all.  So a text
+    moves once, and what moves once for every pair of tiles is what sets near copies apart.
+    """
+    tiled = _tiles(bodies, ["root"], "n")
+    own = F.array(F.struct(F.col("tile").alias("tile"), F.lit(False).alias("base")))
+    bases = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), F.lit(True).alias("base")))
+    places = F.when(F.col("set_id") == F.col("root"), F.concat(own, bases)).otherwise(own)
+    kept = ["root", "tiles", "set_id", "n", "copies", "signature", "text"]
+    dealt = tiled.select(*kept, F.explode(places).alias("p")).select(*kept, F.col("p.tile").alias("tile"), F.col("p.base").alias("base"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ["root", "tile"]):
+            base = None
+            for batch in group.to_batches():  # the base is the first row
+                for part in text_chunks(batch):
+                    hashes, offsets = shingle_hashes(part.column("text"), SIZE)
+                    relative, sets = [], []
+                    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                        own = np.unique(hashes[a:b])
+                        if base is None:
+                            base = own
+                        apart = np.setxor1d(own, base, assume_unique=True)
+                        relative.append(len(apart) < len(own) and not part.column("base")[i].as_py())
+                        sets.append((apart if relative[-1] else own).tobytes())
+                    columns = {k: part.column(k) for k in ("root", "tile", "tiles", "base", "set_id", "n", "copies", "signature")}
+                    yield pa.RecordBatch.from_pydict({**columns, "relative": pa.array(relative, pa.bool_()), "shingles": pa.array(sets, pa.binary())})
+
+    order = [F.col("root"), F.col("tile"), F.col("base").desc(), F.col("set_id")]
+    return dealt.repartition("root", "tile").sortWithinPartitions(*order).mapInArrow(run, MEMBER)
+
+
 def verified(docs: DataFrame, firsts: DataFrame, grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, links): spanning edges (a, b) of the pairs at the threshold or above, and links (set_id, n_links) in documents.
 
     `firsts` names the row (row_key, text_key) that stands for a set and how many have it, `grouped` the candidate
     component of a set; `docs` is as `identified` gives it.
-    The texts of candidates alone move, once for every tile pair of their component; their pairs are pruned again by
-    signature and the rest compared as exact sets.
+    The texts of candidates alone move, once; their pairs are pruned again by signature and the rest compared as exact
+    sets.  With the base set R of a component, and d(A) for the shingles in one of A and R only, the shingles that A
+    and B have in common are |R| - |d(A) & R| - |d(B) & R| + |d(A) & d(B)|.
     """
     picked = grouped.join(firsts, "set_id").select("set_id", "root", "n", "copies", "signature", "first.row_key", "first.text_key")
     bodies = docs.join(picked, ["row_key", "text_key"]).dropDuplicates(["set_id"])
-    tiled = _tiles(bodies.select("root", "set_id", "n", "copies", "signature", "text"), ["root"], TILE, "n")
+    members = shingle_sets(bodies.select("root", "set_id", "n", "copies", "signature", "text"))
+    tiled = _tile_pairs(members, F.col("base"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ["root", "tile_a", "tile_b"]):
+            a, b = group.column("tile_a")[0].as_py(), group.column("tile_b")[0].as_py()
+            base = np.frombuffer(group.column("shingles")[0].as_py(), np.uint64)
+            group = group.slice(1)  # the base is the first row
             ids = group.column("set_id").to_pylist()
+            if len(ids) < 2:
+                continue
             made = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(len(ids), HASHES)
-            copies = group.column("copies").to_numpy()
-            a, b = group.column("tile_a")[0].as_py(), group.column("tile_b")[0].as_py()
+            copies, n = group.column("copies").to_numpy(), group.column("n").to_numpy()
             left, right = _pairs(group.column("tile").to_numpy(), a, b)
-            hashes, offsets = shingle_hashes(group.column("text").combine_chunks(), SIZE)
-            names, local = np.unique(hashes, return_inverse=True)
-            sets = [np.unique(local[x:y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-            sizes = np.array(list(map(len, sets)))
+            held = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            apart = [x if r else np.setxor1d(x, base, assume_unique=True) for x, r in zip(held, group.column("relative").to_pylist(), strict=True)]
+            sizes = np.array(list(map(len, apart)))
             at = np.concatenate([[0], np.cumsum(sizes)])
-            flat = np.concatenate(sets)
+            names, flat = np.unique(np.concatenate(apart), return_inverse=True)
+            inside = np.concatenate([[0], np.cumsum(np.isin(names, base, assume_unique=True)[flat])])
+            lost = inside[at[1:]] - inside[at[:-1]]
             mark = np.zeros(len(names), np.int32)
             found = np.zeros(len(ids), np.int64)
 
@@ -282,12 +340,13 @@ def verified(docs: DataFrame, firsts: DataFrame, grouped: DataFrame) -> tuple[Da
                     others = others[survivors(made[i], made[others])]
                     if not len(others):
                         continue
-                    mark[sets[i]] = 1
+                    mark[flat[at[i] : at[i + 1]]] = 1
                     owner = np.repeat(np.arange(len(others)), sizes[others])
                     inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[others]) - sizes[others], sizes[others])
-                    common = np.bincount(owner, mark[flat[at[others][owner] + inner]], len(others))
-                    mark[sets[i]] = 0
-                    near = others[common >= THRESHOLD * (sizes[i] + sizes[others] - common) - 1e-9]
+                    both = np.bincount(owner, mark[flat[at[others][owner] + inner]], len(others))
+                    mark[flat[at[i] : at[i + 1]]] = 0
+                    common = len(base) - lost[i] - lost[others] + both
+                    near = others[common >= THRESHOLD * (n[i] + n[others] - common) - 1e-9]
                     found[i] += copies[near].sum()
                     found[near] += copies[i]
                     yield int(i), near
@@ -299,7 +358,8 @@ def verified(docs: DataFrame, firsts: DataFrame, grouped: DataFrame) -> tuple[Da
                 yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary()), "n_links": pa.array(c, pa.int64())})
 
     keys = ["root", "tile_a", "tile_b"]
-    done = materialize(tiled.repartition(*keys).sortWithinPartitions(*keys, "set_id").mapInArrow(compare, "a binary, b binary, n_links long"), "verified")
+    order = [*keys, F.col("base").desc(), "set_id"]
+    done = materialize(tiled.repartition(*keys).sortWithinPartitions(*order).mapInArrow(compare, "a binary, b binary, n_links long"), "verified")
     edges = done.where(F.col("b").isNotNull()).select("a", "b")
     return edges, done.where(F.col("b").isNull()).groupBy(F.col("a").alias("set_id")).agg(F.sum("n_links").alias("n_links"))
 
@@ -356,11 +416,12 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, with all its columns, but one of each class: that with the least id, and of repeated rows one.
 
-    A row with a null id stays if it is the first of its class, in which no row then has an id.
+    A row with a null id stays if it is the first of its class, in which no row then has an id.  Texts move once, to
+    the keys of their row, where repeated rows become one; rows that are gone are met there.
     """
     found = classes(df, doc_id, text)
     first = (F.col("row_key") == F.col("class.row_key")) & (F.col("text_key") == F.col("class.text_key"))
-    gone = found.where(~first).select(F.col("row_key").alias("__row"), F.col("text_key").alias("__text")).dropDuplicates()
-    row_key, text_key = _keys(doc_id, text)
-    same = (row_key == F.col("__row")) & (text_key == F.col("__text"))
-    return df.join(gone, same, "left_anti").dropDuplicates([doc_id, text])
+    keys = ["__row_key", "__text_key"]
+    gone = found.where(~first).select(F.col("row_key").alias(keys[0]), F.col("text_key").alias(keys[1]))
+    own = df.withColumns(dict(zip(keys, _keys(doc_id, text), strict=True))).dropDuplicates(keys)
+    return own.join(gone.hint("merge"), keys, "left_anti").drop(*keys)
