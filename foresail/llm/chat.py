@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 _OPEN = re.compile(r"<(\\*)\|")
 _SHUT = re.compile(r"<\\(\\*)\|")
+_ROLE = re.compile(r"\\([n\\])")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
 PART = "type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int"
@@ -33,6 +34,15 @@ def unescape(text: str) -> str:
     return _SHUT.sub(r"<\1|", text) if "<\\" in text else text
 
 
+def escape_role(role: str) -> str:
+    """A role on one line: line breaks and backslashes as `\\n` and `\\\\`, then as any text."""
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n")) if "\\" in role or "\n" in role or "<" in role else role
+
+
+def unescape_role(text: str) -> str:
+    return _ROLE.sub(lambda m: "\n" if m[1] == "n" else "\\", unescape(text)) if "\\" in text else text
+
+
 @dataclass
 class Flattened:
     """What a visitor makes of the parts of one turn."""
@@ -90,8 +100,9 @@ def format_turns(df: DataFrame, visitor: PartVisitor | None = None, trained: tup
     """One row for each turn: its segment of the formatted conversation, with the loss mask as a span of code points.
 
     df has conv_id, turn, role and parts.  A conversation reads as its segments in the order of `turn_order`.
-    Control strings inside texts and roles are escaped; line breaks in roles become spaces.  Null texts and roles
-    are empty, null parts are skipped, a turn without parts has an empty body; nulls in conv_id and turn stay.
+    Control strings inside texts and roles, and line breaks in roles, are escaped so that they can be read back.  Null
+    texts and roles are empty, null parts are skipped, a turn without parts has an empty body; nulls in conv_id and
+    turn stay.  Repeated rows are turns of their own; other columns are not read; an empty table gives no rows.
     """
     visitor = visitor or PartVisitor()
     own = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), "parts")
@@ -102,7 +113,7 @@ def format_turns(df: DataFrame, visitor: PartVisitor | None = None, trained: tup
             segments, starts, ends, attached, expanded = [], [], [], [], []
             for role, parts in zip(roles, batch.column("parts").to_pylist(), strict=True):
                 flat = visitor.flatten(parts)
-                head = f"{START}{escape(re.sub(r'[\r\n]', ' ', role))}\n"
+                head = f"{START}{escape_role(role)}\n"
                 body = "".join(flat.body)
                 segments.append(f"{head}{body}{END}\n")
                 on = role in trained
@@ -146,7 +157,7 @@ class _Reader:
                 raise ValueError("text between turns")
             at = m.end()
             self.turns += 1
-            self.all.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+            self.all.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
         if at != len(segment):
             raise ValueError("a turn is not closed")
         if start is not None:
