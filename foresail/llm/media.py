@@ -230,7 +230,7 @@ def shared_chunks(store: Store) -> DataFrame:
 
 
 def read_media(store: Store) -> DataFrame:
-    """(key, stored, payload) of every medium, put together from its chunk list and verified chunk by chunk.
+    """(key, stored, pack, payload) of every medium, put together from its chunk list and verified chunk by chunk.
 
     Media whose chunks are all their own are read where they lie.  For the others the foreign chunks are joined by
     digest and gathered by key: what is gathered is part of one medium.  A chunk that differs from its digest, or is
@@ -256,9 +256,10 @@ def read_media(store: Store) -> DataFrame:
                     if p is None or digest(p) != d:
                         raise ValueError("a chunk is missing or damaged")
                 payloads.append(b"".join(parts))
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "stored": batch.column("stored"), "payload": pa.array(payloads, pa.binary())})
+            held = {k: batch.column(k) for k in ("key", "stored", "pack")}
+            yield pa.RecordBatch.from_pydict({**held, "payload": pa.array(payloads, pa.binary())})
 
-    schema = "key binary, stored binary, payload binary"
+    schema = "key binary, stored binary, pack binary, payload binary"
     none = F.array().cast("array<struct<pos: int, data: binary>>")
     alone = store.rows.where(F.size("foreign") == 0).select("key", "stored", "own", "pack", none.alias("found"))
     others = store.rows.where(F.size("foreign") > 0)
@@ -273,8 +274,8 @@ def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     Equal texts share one medium.  A null text counts as empty, an empty text is one unit of filling; null ids stay
     null; repeated rows repeat; other columns are not read; an empty table gives no rows.  `media_bytes` and
-    `media_sha256` are those of the manifest and, behind it, the chunks that it lists; the feature gives mean,
-    deviation and entropy of the samples and the number of chunks.
+    `media_sha256` are those of the bytes that are stored for the medium: its manifest and, behind it, the pack of the
+    chunks that it owns.  The feature gives mean, deviation and entropy of the samples and the number of chunks.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(body).alias("key"), body.alias("text"))
@@ -283,13 +284,13 @@ def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for stored, payload in zip(batch.column("stored").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for stored, packed, payload in zip(*(batch.column(k).to_pylist() for k in ("stored", "pack", "payload")), strict=True):
                 out["n_bytes"].append(parse(stored)[0])
                 out["payload_bytes"].append(len(payload))
                 out["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(payload[-32:]))
-                out["media_bytes"].append(len(stored) + len(payload))
-                out["media_sha256"].append(hashlib.sha256(stored + payload).hexdigest())
+                out["media_bytes"].append(len(stored) + len(packed))
+                out["media_sha256"].append(hashlib.sha256(stored + packed).hexdigest())
                 counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
                 p = counts / len(payload)
                 mean = float((p * np.arange(256)).sum())
