@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
-#: Applied in order to the HTML: comments and invisible elements go, block elements end lines, other tags go.
+#: What is taken from the HTML, in order, as the SQL says it: comments and invisible elements go, block elements end
+#: lines, other tags go.  On unclosed tags these patterns read to the end from each; `without_tags` does the same in
+#: one pass a step.
 TAG_STEPS: tuple[tuple[str, str], ...] = (
     ("(?s)<!--.*?-->", ""),
     ("(?is)<script[^>]*>.*?</script[^>]*>", ""),
@@ -42,6 +44,12 @@ _CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});
 
 
 def _decoded(reference: str) -> str:
+    if len(reference) > 40 and reference[1] == "#":  # no such character, and too long a number to read
+        base = 3 if reference[2] in "xX" else 2
+        number = reference[base:].rstrip(";").lstrip("0")
+        if len(number) > 12:
+            return "\ufffd"
+        reference = f"{reference[:base]}{number or '0'};"
     made = unescape(reference)
     return " " + made[1:] if made[0:1] == "\xa0" else made  # a no-break space counts as space
 
@@ -68,10 +76,41 @@ def decode_closed(column: pa.Array) -> pa.Array:
     return pa.array([_CLOSED.sub(lambda m: _closed(m[0]), x) if x and "&" in x else x for x in column.to_pylist()], pa.string())
 
 
+def _until_close(html: Column) -> tuple[Column, Column]:
+    """html up to its last `>`, in which every `<` is closed, and what is behind it."""
+    tail = F.substring_index(html, ">", -1)
+    return F.left(html, F.char_length(html) - F.char_length(tail)), tail
+
+
+def without_tags(html: Column) -> Column:
+    """As the TAG_STEPS do, in time proportional to the length of html.
+
+    What isn't closed by the end makes the second alternative take all that is left, and put it back: nothing behind
+    it can be closed either.  An end tag is looked for once, as the first one found is closed if any later one is.
+    """
+    html = F.regexp_replace(html, "(?s)<!--.*?-->|(<!--.*)", "$1")
+    for name in ("script", "style"):
+        html = F.regexp_replace(html, f"(?is)<{name}[^>]*+>(?>.*?</{name})[^>]*+>|(<{name}.*)", "$1")
+    head, tail = _until_close(html)
+    html = F.concat(F.regexp_replace(head, *TAG_STEPS[3]), tail)
+    return F.regexp_replace(html, "(?s)<[^>]*+>|(<.*)", "$1")
+
+
+def first_title(html: Column) -> Column:
+    """What is in the first title element that has text only; empty if there is none."""
+    found = F.regexp_extract_all(_until_close(html)[0], F.lit("(?i)<title[^>]*+>(?:([^<]*+</title>))?"), F.lit(1))
+    return F.regexp_replace(F.coalesce(F.get(F.filter(found, lambda x: x != ""), F.lit(0)), F.lit("")), "(?i)</title>$", "")
+
+
+def first_language(html: Column) -> Column:
+    """The last `lang` of the first html tag that has one; empty if there is none."""
+    found = F.regexp_extract_all(html, F.lit('(?i)<html(?:[^>]* lang="([^"]*+")|[^>]*+)'), F.lit(1))
+    return F.rtrim(F.coalesce(F.get(F.filter(found, lambda x: x != ""), F.lit(0)), F.lit("")), F.lit('"'))
+
+
 def html_text(html: Column, sql_form: bool = False) -> Column:
     """The visible text of a page, a line for each block."""
-    for pattern, by in TAG_STEPS:
-        html = F.regexp_replace(html, pattern, by)
+    html = without_tags(html)
     html = (decode_closed if sql_form else decode_all)(html)
     for pattern, by in SPACE_STEPS:
         html = F.regexp_replace(html, pattern, by)
@@ -126,7 +165,7 @@ def derivatives(df: DataFrame, sql_form: bool = False) -> DataFrame:
     Character references are decoded in text and title.  The SQL of op8 leaves those without a semicolon, and all in
     the title, as they are written; so does `sql_form`.
     """
-    title = F.regexp_extract(F.coalesce(F.col("payload").cast("string"), F.lit("")), "(?i)<title[^>]*>([^<]*)</title>", 1)
+    title = first_title(F.coalesce(F.col("payload").cast("string"), F.lit("")))
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     source = df.select(
         "page_id",
@@ -134,7 +173,7 @@ def derivatives(df: DataFrame, sql_form: bool = False) -> DataFrame:
         F.octet_length(empty("payload")).alias("source_bytes"),
         html_text(empty("payload"), sql_form).alias("plain"),
         F.regexp_replace(title if sql_form else decode_all(title), "[\r\n]+", " ").alias("title"),
-        F.regexp_extract(empty("payload"), '(?i)<html[^>]* lang="([^"]*)"', 1).alias("lang"),
+        first_language(empty("payload")).alias("lang"),
     )
     urn = lambda kind: _urn(_sha(F.concat_ws("\n", F.lit(kind), F.col("record_id"))))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
