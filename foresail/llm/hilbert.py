@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,33 +49,79 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return index
 
 
-def as_number(column: Column, kind: str) -> Column:
-    """A number that orders as the column does: numbers as they are, other values by their first seven bytes."""
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
-        return column.cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(column.cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+#: Types whose values order as doubles; other columns order as their strings.
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
+
+
+def value_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
+    """The values of a string column at which its rows are cut into `cells` runs of nearly equal counts.
+
+    Whole values are compared.  Each distinct value is sorted once, with its count; what the driver gets is a count
+    for each range of values, and at most `cells` - 1 values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counts.repartitionByRange(parts, "value").sortWithinPartitions("value")
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            ends = before + np.cumsum(batch.column("n").to_numpy())
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends)], [*batch.schema.names, "ends"])
+
+    ranged = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(running, "value string, n long, part int, ends long")
+    held = materialize(ranged, "values")
+    sums = {r.part: r.n for r in held.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each range
+    seen = np.array(sorted(sums), np.int64)
+    before = np.concatenate([[0], np.cumsum([sums[k] for k in seen.tolist()])])
+    total = int(before[-1])
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            end = batch.column("ends").to_numpy() + before[np.searchsorted(seen, batch.column("part").to_numpy())]
+            start = end - batch.column("n").to_numpy()
+            cut = (start * cells // total < end * cells // total) & (end < total)
+            yield pa.RecordBatch.from_pydict({"value": batch.column("value").filter(pa.array(cut))})
+
+    found = held.select("value", "n", "ends", "part").mapInArrow(crossed, "value string").collect() if total else []
+    return sorted((r.value for r in found), key=str.encode)
 
 
 def hilbert_keys(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """df with the column `hilbert`.  Each dimension is cut at quantiles over all rows; nulls go to cell 0."""
-    kinds = dict(df.dtypes)
-    numbers = [as_number(F.col(f"`{d}`"), kinds[d]) for d in dims]
-    cuts_at = [i / (1 << bits) for i in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(c, cuts_at, 1000).alias(f"c{i}") for i, c in enumerate(numbers)]).head()
-    cuts = [np.array(found[i] or [], float) for i in range(len(dims))]
+    """df with the column `hilbert`.  Each dimension is cut at quantiles over all rows; nulls go to cell 0.
+
+    Numbers, dates and times are cut by their approximate quantiles, other values by `value_cuts` of their strings.
+    """
+    kinds, columns, exact = dict(df.dtypes), [], []
+    for d in dims:
+        c, kind = F.col(f"`{d}`"), kinds[d]
+        if kind in ("date", "timestamp", "timestamp_ntz"):
+            c = F.unix_micros(c.cast("timestamp"))
+        exact.append(kind not in NUMERIC and not kind.startswith("decimal") and kind not in ("date", "timestamp", "timestamp_ntz"))
+        columns.append(c.cast("string" if exact[-1] else "double"))
+    cells = 1 << bits
+    held = df.withColumns({f"__d{i}": c for i, c in enumerate(columns)})
+    numbers = [f"__d{i}" for i in range(len(dims)) if not exact[i]]
+    cuts_at = [i / cells for i in range(1, cells)]
+    found = held.agg(F.lit(0).alias("none"), *[F.percentile_approx(c, cuts_at, 1000).alias(c) for c in numbers]).head()
+    cuts = [value_cuts(held, f"__d{i}", cells) if exact[i] else sorted(set(found[f"__d{i}"] or ())) for i in range(len(dims))]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, len(cuts)), np.int64)
             for i, at in enumerate(cuts):
-                v = batch.column(f"__d{i}").to_numpy(zero_copy_only=False).astype(float)
-                out[:, i] = np.where(np.isnan(v), 0, np.searchsorted(np.unique(at), v, side="left"))
+                column = batch.column(f"__d{i}")
+                if exact[i]:
+                    keys = [v.encode() for v in at]
+                    out[:, i] = [0 if v is None else bisect_left(keys, v.encode()) for v in column.to_pylist()]
+                else:
+                    v = column.to_numpy(zero_copy_only=False).astype(float)
+                    out[:, i] = np.where(np.isnan(v), 0, np.searchsorted(np.array(at, float), v, side="left"))
             kept = batch.schema.names[: batch.num_columns - len(cuts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hilbert_index(out, bits))], [*kept, "hilbert"])
 
-    schema = T.StructType([*df.schema.fields, T.StructField("hilbert", T.LongType())])
-    return df.withColumns({f"__d{i}": c for i, c in enumerate(numbers)}).mapInArrow(index, schema)
+    return held.mapInArrow(index, T.StructType([*df.schema.fields, T.StructField("hilbert", T.LongType())]))
 
 
 def shard_hilbert(
@@ -98,9 +145,10 @@ def shard_hilbert(
     )
     keyed = hilbert_keys(own, [f"dim_{i}" for i in range(len(dims))], bits).select("doc_id", "size", "text_crc32", "hilbert")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["hilbert", "doc_id", "text_crc32", "size"]
-    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered = materialize(ranged.withColumn("place", F.monotonically_increasing_id()), "hilbert")
+    order = ["hilbert", "doc_id", "text_crc32", "size", "tie"]
+    ranged = keyed.withColumn("tie", F.monotonically_increasing_id())  # rows that are equal can lie in several ranges
+    ranged = ranged.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = materialize(ranged.drop("tie").withColumn("place", F.monotonically_increasing_id()), "hilbert")
     part = F.shiftright("place", 33)
     counts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each range
     at, before = 0, {}
