@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import segment_hashes, shingle_hashes, text_chunks, texts, utf8, word_spans
+from .common import materialize, segment_hashes, shingle_hashes, text_chunks, texts, utf8, word_spans
 
 #: Bytes of a word that is one window at most.
 WINDOW = 48
@@ -198,7 +198,7 @@ def _dictionaries(texts: list[bytes], labels: np.ndarray) -> tuple[bytes, bytes]
     telling = _telling(texts, labels)
     toxic = [t for t, y in zip(texts, labels, strict=True) if y == 1]
     ordinary = [t for t, y in zip(texts, labels, strict=True) if y == 0]
-    return dictionary(_samples(toxic, telling or None)), dictionary(_samples(ordinary, None)[:50_000])
+    return dictionary(_samples(toxic, telling or None)), dictionary(_samples(ordinary, None))
 
 
 #: Gains, in bytes, that windows are counted at.
@@ -240,22 +240,30 @@ def in_training(doc_id: Column) -> Column:
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model:
     """Learns from at most `rows` labelled texts of each class of at most `most_bytes`, chosen by a hash of their id.
 
-    The share of toxic labels is that of all rows that may be learned from.
+    Only ids that have such a text are drawn from.  Null ids and labels and null or empty texts are left out; an id
+    with both labels has no class and is left out; of an id with several texts up to `2 * rows` in all are read.  The
+    share of toxic labels is that of all rows that may be learned from.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & in_training(F.col("doc_id"))
     )
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     small = own.where(F.octet_length("text").between(1, most_bytes))
-    picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
-    chosen = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])
+    clear = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    usable = materialize(clear.join(small.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    picked = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    chosen = picked[0].unionByName(picked[1])
     found = small.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * rows).collect()
     share = known.agg(F.avg("toxic")).head()[0] or 0.0
     return fit([r.text.encode() for r in found], np.array([r.toxic for r in found], np.int64), min(max(share, 1e-3), 1 - 1e-3))
 
 
 def score_rows(df: DataFrame, model: Model, text: str = "text", keep_below: float | None = None) -> DataFrame:
-    """df with the column `score`; or, given `keep_below`, the rows of df that score less, without it."""
+    """df with the column `score`; or, given `keep_below`, the rows of df that score less, without it.
+
+    Null and empty texts score as a text without windows that gain; repeated rows repeat; an empty table gives no
+    rows.  df must not have a column `score` of its own unless `keep_below` is given.
+    """
     place = df.columns.index(text)
     schema = df.schema if keep_below is not None else df.withColumn("score", F.lit(0.0)).schema
 
@@ -277,7 +285,7 @@ def score_table(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of documents.
 
     Null and empty texts have the score of a text without windows that gain; null ids count as held out; repeated
-    rows repeat; ids with several labels are learned once; an empty table of labels gives score 0 for all.
+    rows repeat; ids with both labels are not learned from; an empty table of labels gives score 0 for all.
     """
     model = train(documents, labels)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
