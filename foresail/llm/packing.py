@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import bisect
 import heapq
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,14 +23,18 @@ TIERS: tuple[int, ...] = (128, 256, 512, 1024)
 #: Tokens of pieces that a task holds before it packs them, and of the windows in a step group.
 POOL_TOKENS = 1 << 20
 GROUP_TOKENS = 8192
-#: Texts within these characters are split alike by both libraries; others and control strings take the slower one.
-_UNUSUAL = regex.compile(r"[^\x00-ɏ]|<\|").search
+#: Characters that both libraries class alike, as the tests show for each of them; texts with others take the slower one.
+PLAIN = range(0x250)
 
 PIECES = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long, window int, step_group long"
 
 
 class Tokens:
-    """Token ids by the tokenizer file, as little-endian unsigned 32-bit integers."""
+    """Token ids by the tokenizer file, as little-endian unsigned 32-bit integers.
+
+    Texts of PLAIN characters without the file's added tokens go to a faster library with the same ranks, unless the
+    file names a normalizer; all others go to the library that the file is for.
+    """
 
     def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,7 +42,10 @@ class Tokens:
 
         self.exact = Tokenizer.from_file(path)
         self.quick = None
-        if ranks_path and pattern:
+        own = json.loads(self.exact.to_str())
+        added = "".join("|" + regex.escape(t["content"]) for t in own["added_tokens"])
+        self.unusual = regex.compile(f"[^{chr(PLAIN[0])}-{chr(PLAIN[-1])}]{added}").search
+        if ranks_path and pattern and own["normalizer"] is None:
             import tiktoken
 
             with open(ranks_path, "rb") as f:
@@ -45,7 +53,7 @@ class Tokens:
             self.quick = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.quick is not None and not _UNUSUAL(text):
+        if self.quick is not None and not self.unusual(text):
             return np.array(self.quick.encode_ordinary(text), np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
