@@ -10,9 +10,13 @@ from ..functions import metrics as M
 
 
 def scores(fc: DataFrame, prepared: DataFrame, m: int) -> DataFrame:
-    """(series_id, model, smape, mase, mape, mse): means over the steps of each series and model."""
-    scale = prepared.select("series_id", M.seasonal_scale(F.col("train"), m).alias("scale"))
-    joined = fc.join(scale, "series_id")
+    """(series_id, model, smape, mase, mape, mse): means over the steps of each series and model.
+
+    Forecasts that carry their series' scale are not joined to anything.
+    """
+    joined = fc
+    if "scale" not in fc.columns:
+        joined = fc.join(prepared.select("series_id", M.seasonal_scale(F.col("train"), m).alias("scale")), "series_id")
     return joined.groupBy("series_id", "model").agg(
         F.avg(M.smape(F.col("actual"), F.col("mean"))).alias("smape"),
         F.avg(F.try_divide(F.abs(F.col("actual") - F.col("mean")), F.nullif("scale", F.lit(0.0)))).alias("mase"),
@@ -24,8 +28,11 @@ def scores(fc: DataFrame, prepared: DataFrame, m: int) -> DataFrame:
 def overall(per_series: DataFrame, reference: str = "naive2") -> DataFrame:
     """(model, smape, mase, owa): means over series, and the overall weighted average against the reference model."""
     means = per_series.groupBy("model").agg(F.avg("smape").alias("smape"), F.avg("mase").alias("mase"))
-    base = means.where(F.col("model") == reference).select(F.col("smape").alias("s0"), F.col("mase").alias("m0"))
-    return means.join(F.broadcast(base), F.lit(True)).select("model", "smape", "mase", M.owa(F.col("smape"), F.col("mase"), F.col("s0"), F.col("m0")).alias("owa"))
+    table = means.agg(F.collect_list(F.struct("model", "smape", "mase")).alias("t"))  # as long as there are models
+    base = F.get(F.filter("t", lambda x: x["model"] == reference), F.lit(0))
+    rows = table.select(F.explode("t").alias("x"), base.alias("b")).where("b is not null")
+    score = M.owa(F.col("x.smape"), F.col("x.mase"), F.col("b.smape"), F.col("b.mase"))
+    return rows.select("x.model", "x.smape", "x.mase", score.alias("owa"))
 
 
 def best_models(per_series: DataFrame, k: int, by: str = "smape") -> DataFrame:

@@ -3,36 +3,81 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import recursions as R
 from ..sources.series import packed, split
-from .seasonal import classical, seasonality_test
 
 
 def steps_of(h: int) -> Column:
     return F.sequence(F.lit(1), F.lit(h))
 
 
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def _mean_known(xs: Column) -> Column:
+    return R.let(F.filter(xs, lambda x: x.isNotNull()), lambda k: R.mean_of(k))
+
+
+def centred_average(ys: Column, m: int) -> Column:
+    """The centred moving average of order m, or 2 x m if m is even, where its window is full: from the value m // 2 on."""
+    half = m // 2
+    last = F.size(ys) - 1 - half
+    if m % 2:
+        at = lambda i: _sum(F.slice(ys, i - half + 1, m)) / m
+    else:
+        at = lambda i: (_sum(F.slice(ys, i - half + 1, m)) + _sum(F.slice(ys, i - half + 2, m))) / (2 * m)
+    return F.when(last >= half, F.transform(F.sequence(F.lit(half), last), at)).otherwise(F.array().cast("array<double>"))
+
+
+def seasonal_index(ys: Column, m: int, multiplicative: bool = True) -> Column:
+    """The m indices of classical decomposition: phase means of what the moving average leaves, set to mean one or zero."""
+    half = m // 2
+    apart = (lambda y, t: F.try_divide(y, t)) if multiplicative else (lambda y, t: y - t)
+    rest = lambda own: R.let(centred_average(own, m), lambda trend: F.transform(trend, lambda t, j: apart(F.get(own, j + half), t)))
+
+    def phase(found: Column) -> Column:
+        first = lambda p: F.pmod(p - half, F.lit(m))
+        own = lambda p: F.when(first(p) < F.size(found), F.transform(F.sequence(first(p), F.size(found) - 1, F.lit(m)), lambda j: F.get(found, j)))
+        return F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda p: _mean_known(own(p)))
+
+    means = R.let(R.let(ys, rest), phase)
+    return R.let(means, lambda found: R.let(_mean_known(found), lambda level: F.transform(found, lambda x: apart(x, level))))
+
+
+def seasonal_by_test(ys: Column, m: int, critical: float = 1.645) -> Column:
+    """Whether the autocorrelation at lag m is over its bound; needs 3 m values, and m within the default lags."""
+    n = F.size(ys)
+    lags = F.sequence(F.lit(1), F.lit(m))
+    found = R.let(R.deviations(ys), lambda dev: F.transform(lags, lambda k: R.acf(dev, k)))
+    inner = lambda r: F.aggregate(F.slice(r, 1, m - 1), F.lit(0.0), lambda a, x: a + x * x)
+    over = R.let(found, lambda r: F.abs(F.get(r, F.lit(m - 1))) > critical * F.sqrt((1 + 2 * inner(r)) / n))
+    return F.coalesce(F.when((n >= 3 * m) & (F.floor(10 * F.log10(n)) >= m), over), F.lit(False))
+
+
 def prepare(obs: DataFrame, m: int, h: int, test: bool = True) -> DataFrame:
     """(series_id, n, train, test, des, out, is_seasonal): train and test values, the train deseasonalised where the
-    test finds a season (or always), and the seasonal index of each step ahead."""
-    n_all = F.max("t").over(W.partitionBy("series_id"))
-    train = obs.withColumn("__n", n_all).where(F.col("t") <= F.col("__n") - h).drop("__n")
+    test finds a season (or always), and the seasonal index of each step ahead.
+
+    Series are packed once; all else is worked out on the row of a series.
+    """
     base = split(packed(obs), h)
     if m == 1:
         return base.withColumn("des", F.col("train")).withColumn("out", F.array_repeat(F.lit(1.0), h)).withColumn("is_seasonal", F.lit(False))
-    seasons = classical(train, m).groupBy("series_id").agg(F.array_sort(F.collect_set(F.struct("phase", "index"))).alias("p"))
-    seasons = seasons.select("series_id", F.transform("p", lambda x: x["index"]).alias("si"))
-    flags = seasonality_test(packed(train), m).select("series_id", "is_seasonal") if test else seasons.select("series_id", F.lit(True).alias("is_seasonal"))
-    joined = base.join(seasons, "series_id", "left").join(flags, "series_id", "left")
-    on = F.coalesce(F.col("is_seasonal"), F.lit(False)) & F.col("si").isNotNull()
-    des = F.transform("train", lambda y, i: F.try_divide(y, F.get("si", i % m)))
-    out = F.transform(steps_of(h), lambda s: F.get("si", ((F.col("n") + s - 1) % m).cast("int")))
-    return joined.select(
-        "series_id", "n", "train", "test", F.when(on, des).otherwise(F.col("train")).alias("des"), F.when(on, out).otherwise(F.array_repeat(F.lit(1.0), h)).alias("out"), on.alias("is_seasonal")
-    )
+    found = seasonal_by_test(F.col("train"), m) if test else F.lit(True)
+    known = F.when(found, seasonal_index(F.col("train"), m))
+
+    def parts(si: Column) -> Column:
+        on = F.coalesce(F.size(si) > 0, F.lit(False))
+        des = F.transform("train", lambda y, i: F.try_divide(y, F.get(si, i % m)))
+        out = F.transform(steps_of(h), lambda s: F.get(si, ((F.col("n") + s - 1) % m).cast("int")))
+        ones = F.array_repeat(F.lit(1.0), h)
+        return F.struct(F.when(on, des).otherwise(F.col("train")).alias("des"), F.when(on, out).otherwise(ones).alias("out"), on.alias("on"))
+
+    made = base.withColumn("p", R.let(known, parts))
+    return made.select("series_id", "n", "train", "test", F.col("p.des").alias("des"), F.col("p.out").alias("out"), F.col("p.on").alias("is_seasonal"))
 
 
 def line_of(ys: Column) -> Column:
@@ -97,10 +142,11 @@ def bunch_line(ys: Column, h: int, most: int | None = None) -> Column:
 
 
 def forecasts(prepared: DataFrame, models: dict[str, Column]) -> DataFrame:
-    """(series_id, model, step, mean, actual): the given array columns, one row for each step."""
+    """(series_id, model, step, mean, actual): the given array columns, one row for each step; and scale, if series have it."""
     named = F.array(*[F.struct(F.lit(k).alias("model"), v.alias("f")) for k, v in models.items()])
-    rows = prepared.select("series_id", "test", F.explode(named).alias("m")).select("series_id", "m.model", "test", F.posexplode("m.f").alias("i", "mean"))
-    return rows.select("series_id", "model", (F.col("i") + 1).cast("long").alias("step"), "mean", F.get("test", F.col("i")).alias("actual"))
+    kept = [c for c in ("scale",) if c in prepared.columns]
+    rows = prepared.select("series_id", "test", *kept, F.explode(named).alias("m")).select("series_id", "m.model", "test", *kept, F.posexplode("m.f").alias("i", "mean"))
+    return rows.select("series_id", "model", (F.col("i") + 1).cast("long").alias("step"), "mean", F.get("test", F.col("i")).alias("actual"), *kept)
 
 
 def reseasoned(fc: Column) -> Column:
@@ -108,7 +154,7 @@ def reseasoned(fc: Column) -> Column:
 
 
 def benchmark_models(m: int, h: int, alpha: float = 0.3, beta: float = 0.1, phi: float = 0.9) -> dict[str, Column]:
-    """The eight benchmark methods of the M competitions, with the given smoothing parameters."""
+    """The eight benchmark methods, with the given smoothing parameters."""
     des = F.col("des")
     smooth, trend, damped = ses(des, alpha, h), holt(des, alpha, beta, h), holt(des, alpha, beta, h, phi)
     mean = F.zip_with(F.zip_with(smooth, trend, lambda a, b: a + b), damped, lambda a, b: (a + b) / 3)

@@ -79,14 +79,14 @@ def _(spark, d):
 
 @query("join_positional_zip", oracle("SELECT a.series_id, CAST(a.step AS BIGINT) AS step, round(a.f, 6) AS ses, round(b.f, 6) AS theta FROM fc a JOIN fc b ON a.series_id = b.series_id AND a.step = b.step WHERE a.model = 'ses' AND b.model = 'theta'"))
 def _(spark, d):
-    fc, _ = benchmark(spark, d)
+    fc, _ = benchmark(spark, d, models=("ses", "theta"))
     wide = fc.groupBy("series_id", "step").pivot("model", ["ses", "theta"]).agg(F.max("mean"))
     return wide.select("series_id", "step", r6("ses").alias("ses"), r6("theta").alias("theta"))
 
 
 @query("eval_reproduction_diff", oracle("SELECT a.series_id, CAST(a.step AS BIGINT) AS step, round(abs(a.f - b.f), 6) AS difference, round(100 * abs(a.f - b.f) / nullif(b.f, 0), 6) AS percent FROM fc a JOIN fc b ON a.series_id = b.series_id AND a.step = b.step WHERE a.model = 'naive' AND b.model = 'snaive' AND abs(a.f - b.f) > 0.000001"))
 def _(spark, d):
-    fc, _ = benchmark(spark, d)
+    fc, _ = benchmark(spark, d, models=("naive", "snaive"))
     wide = fc.groupBy("series_id", "step").pivot("model", ["naive", "snaive"]).agg(F.max("mean"))
     gap = F.abs(F.col("naive") - F.col("snaive"))
     return wide.where(gap > 1e-6).select("series_id", "step", r6(gap).alias("difference"), r6(F.try_divide(100 * gap, F.col("snaive"))).alias("percent"))
@@ -225,7 +225,10 @@ def _(spark, d):
 @query("snk_fc_long_export", f"WITH {obs_sql(MAIN)} SELECT series_id, year(ds) AS hist_year, month(ds) AS hist_period, CAST(12 AS BIGINT) AS ppy, round(y, 6) AS hist_value, 'segment' AS category FROM obs")
 def _(spark, d):
     obs = series(spark, d, MAIN)
-    return obs.select("series_id", F.year("ds").cast("long").alias("hist_year"), F.month("ds").cast("long").alias("hist_period"), F.lit(12).cast("long").alias("ppy"), r6("y").alias("hist_value"), F.lit("segment").alias("category"))
+    path = files.scratch(spark, "long-export")
+    long = obs.select("series_id", F.year("ds").cast("long").alias("hist_year"), F.month("ds").cast("long").alias("hist_period"), F.lit(12).cast("long").alias("ppy"), r6("y").alias("hist_value"), F.lit("segment").alias("category"))
+    long.write.option("header", True).csv(path)
+    return spark.read.schema(long.schema).option("header", True).csv(path)
 
 
 @query("cv_rolling_abs_error", f"WITH {obs_sql(MAIN)}, o AS (SELECT *, count(*) {_B} AS n, lag(y, 4) OVER (PARTITION BY series_id ORDER BY t) AS n4, lag(y, 12) OVER (PARTITION BY series_id ORDER BY t) AS s4 FROM obs) SELECT series_id, round(avg(abs(y - n4)), 6) AS naive, round(avg(abs(y - s4)), 6) AS snaive, round(sqrt(avg((y - n4) * (y - n4))), 6) AS naive_rms FROM o WHERE t > n - 18 GROUP BY 1")

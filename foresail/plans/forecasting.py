@@ -11,9 +11,12 @@ from ..functions.metrics import r6, seasonal_scale, smape
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..registry import query
+from ..sources import files
 from ..sources.series import SPECS, obs_sql, packed, series, split
 
 MAIN = "M_segment"
+#: Relative errors are counted at this many digits, of which there is a bounded number, before their quantiles are taken.
+QUANTILE_DIGITS = 4
 _B = "OVER (PARTITION BY series_id)"
 
 
@@ -55,11 +58,12 @@ def oracle(text: str, name: str = MAIN) -> str:
     return f"WITH RECURSIVE {obs_sql(name)}{_frame(s.m, s.h)}\n{text}"
 
 
-def benchmark(spark, sf_dir: str, name: str = MAIN) -> tuple[DataFrame, DataFrame]:
-    """(forecasts, prepared) of the eight benchmark methods on a named collection."""
+def benchmark(spark, sf_dir: str, name: str = MAIN, models: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(forecasts, prepared) of the eight benchmark methods, or of those named, on a named collection."""
     s = SPECS[name]
-    prepared = M.prepare(series(spark, sf_dir, name), s.m, s.h)
-    return M.forecasts(prepared, M.benchmark_models(s.m, s.h)), prepared
+    prepared = M.prepare(series(spark, sf_dir, name), s.m, s.h).withColumn("scale", seasonal_scale(F.col("train"), s.m))
+    found = M.benchmark_models(s.m, s.h)
+    return M.forecasts(prepared, {k: v for k, v in found.items() if models is None or k in models}), prepared
 
 
 for _model in ("naive", "snaive", "naive2", "ses", "holt", "damped", "theta", "comb"):
@@ -116,9 +120,8 @@ def _(spark, d):
 
 @query("cmase", oracle("SELECT f.series_id, f.model, round(avg(abs(e.y - f.f)) / (max(s.scale) + 0.0001), 6) AS cmase FROM fc f JOIN te e ON e.series_id = f.series_id AND e.step = f.step JOIN sc s ON s.series_id = f.series_id GROUP BY 1, 2"))
 def _(spark, d):
-    fc, prepared = benchmark(spark, d)
-    scale = prepared.select("series_id", seasonal_scale(F.col("train"), 12).alias("scale"))
-    return fc.join(scale, "series_id").groupBy("series_id", "model").agg(r6(F.avg(F.abs(F.col("actual") - F.col("mean"))) / (F.max("scale") + 1e-4)).alias("cmase"))
+    fc, _ = benchmark(spark, d)
+    return fc.groupBy("series_id", "model").agg(r6(F.avg(F.abs(F.col("actual") - F.col("mean"))) / (F.max("scale") + 1e-4)).alias("cmase"))
 
 
 @query("nmse_vs_naive", oracle("SELECT a.series_id, a.model, round(a.mse / (0.0001 + b.mse), 6) AS nmse FROM er a JOIN er b ON b.series_id = a.series_id AND b.model = 'naive'"))
@@ -171,11 +174,14 @@ def _(spark, d):
 
 @query("snk_submission_wide", oracle("SELECT series_id AS id" + "".join(f", round(max(CASE WHEN step = {k} THEN f END), 6) AS F{k}" for k in range(1, 49)) + " FROM fc WHERE model = 'theta' GROUP BY 1"))
 def _(spark, d):
-    s = SPECS[MAIN]
-    prepared = M.prepare(series(spark, d, MAIN), s.m, s.h)
-    fc = M.forecasts(prepared, {"theta": M.benchmark_models(s.m, s.h)["theta"]})
-    wide = fc.groupBy(F.col("series_id").alias("id")).pivot("step", list(range(1, 49))).agg(F.max("mean"))
-    return wide.select("id", *[r6(F.col(f"`{k}`")).alias(f"F{k}") for k in range(1, 49)])
+    """A CSV of id, F1 .. F48 is written, NA beyond the horizon, and read back."""
+    fc, _ = benchmark(spark, d, models=("theta",))
+    path = files.scratch(spark, "submission")
+    rows = fc.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("step", r6("mean").alias("f")))).alias("at"))  # as long as the horizon
+    names = [f"F{k}" for k in range(1, 49)]
+    wide = rows.select(F.col("series_id").alias("id"), *[F.try_element_at("at", F.lit(k).cast("long")).alias(n) for k, n in enumerate(names, 1)])
+    wide.write.option("header", True).option("nullValue", "NA").csv(path)
+    return spark.read.schema("id string, " + ", ".join(f"{n} double" for n in names)).option("header", True).option("nullValue", "NA").csv(path)
 
 
 _GRID = [round(0.05 * k, 2) for k in range(1, 20)]
@@ -191,11 +197,10 @@ SELECT series_id, CAST(alpha AS DOUBLE) AS alpha, round(sse, 6) AS sse, round(l,
     ),
 )
 def _(spark, d):
-    prepared = M.prepare(series(spark, d, MAIN), 12, 18).select("series_id", "des", F.explode(F.array(*map(F.lit, _GRID))).alias("alpha"))
-    fitted = prepared.withColumn("sse", R.ses_error(F.col("des"), F.col("alpha")))
-    w = W.partitionBy("series_id").orderBy(F.round("sse", 9), "alpha")
-    best = fitted.withColumn("k", F.row_number().over(w)).where("k = 1")
-    return best.select("series_id", "alpha", r6("sse").alias("sse"), r6(R.ses_level(F.col("des"), F.col("alpha"))).alias("level"))
+    grid = F.array(*map(F.lit, _GRID))
+    fits = F.transform(grid, lambda a: F.struct(F.round(R.ses_error(F.col("des"), a), 9).alias("key"), a.alias("alpha")))
+    best = M.prepare(series(spark, d, MAIN), 12, 18).withColumn("alpha", F.array_min(fits)["alpha"])
+    return best.select("series_id", "alpha", r6(R.ses_error(F.col("des"), F.col("alpha"))).alias("sse"), r6(R.ses_level(F.col("des"), F.col("alpha"))).alias("level"))
 
 
 @query(
@@ -268,7 +273,7 @@ def _(spark, d):
 @query(
     "pi_relative_error_quantile",
     oracle(
-        """, qq AS (SELECT f.step, quantile_cont((e.y - f.f) / nullif(f.f, 0), 0.025) AS lo, quantile_cont((e.y - f.f) / nullif(f.f, 0), 0.975) AS hi FROM fc f JOIN te e ON e.series_id = f.series_id AND e.step = f.step WHERE f.model = 'theta' GROUP BY 1)
+        """, qq AS (SELECT f.step, quantile_cont(round((e.y - f.f) / nullif(f.f, 0), 4), 0.025) AS lo, quantile_cont(round((e.y - f.f) / nullif(f.f, 0), 4), 0.975) AS hi FROM fc f JOIN te e ON e.series_id = f.series_id AND e.step = f.step WHERE f.model = 'theta' GROUP BY 1)
 SELECT f.series_id, CAST(f.step AS BIGINT) AS step, round(f.f * (1 + q.lo), 6) AS lower, round(f.f * (1 + q.hi), 6) AS upper FROM fc f JOIN qq q ON q.step = f.step WHERE f.model = 'theta'""",
         "M_nation",
     ),
@@ -278,12 +283,15 @@ def _(spark, d):
     prepared = M.prepare(series(spark, d, "M_nation"), s.m, s.h)
     fc = M.forecasts(prepared, {"theta": M.benchmark_models(s.m, s.h)["theta"]})
     relative = F.try_divide(F.col("actual") - F.col("mean"), F.col("mean"))
-    q = fc.groupBy("step").agg(F.percentile(relative, F.lit(0.025)).alias("lo"), F.percentile(relative, F.lit(0.975)).alias("hi"))
+    # counts of rounded errors, so that a step's errors are pre-aggregated, and no task holds those of all series
+    seen = fc.select("step", F.round(relative, QUANTILE_DIGITS).alias("e")).where("e is not null").groupBy("step", "e").agg(F.count(F.lit(1)).alias("n"))
+    q = seen.groupBy("step").agg(F.percentile("e", F.lit(0.025), F.col("n")).alias("lo"), F.percentile("e", F.lit(0.975), F.col("n")).alias("hi"))
     return fc.join(F.broadcast(q), "step").select("series_id", "step", r6(F.col("mean") * (1 + F.col("lo"))).alias("lower"), r6(F.col("mean") * (1 + F.col("hi"))).alias("upper"))
 
 
 @query("natural_sort_ids", "SELECT id, CAST(row_number() OVER (ORDER BY substr(id, 1, 1), CAST(substr(id, 2) AS INTEGER)) AS BIGINT) AS place FROM (SELECT chr(CAST(65 + n_regionkey AS INTEGER)) || n_nationkey AS id FROM nation)")
 def _(spark, d):
+    """Places are counted in range partitions: the order passes no single task."""
     ids = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.char(65 + F.col("n_regionkey")), F.col("n_nationkey").cast("string")).alias("id"))
-    split_id = ids.withColumn("head", F.substring("id", 1, 1)).withColumn("number", F.expr("cast(substr(id, 2) as int)"))
-    return split_id.select("id", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("head", "number")).cast("long").alias("place"))
+    keyed = ids.withColumn("head", F.substring("id", 1, 1)).withColumn("number", F.expr("cast(substr(id, 2) as int)"))
+    return files.placed(keyed, ["head", "number"], "natural-order").select("id", "place")

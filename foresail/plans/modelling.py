@@ -110,8 +110,8 @@ SELECT series_id, CAST(step + 1 AS BIGINT) AS step, round(w1, 6) AS w_naive2, ro
 )
 def _(spark, d):
     """Polynomially weighted experts, with learning rates 1 / (1 + sum of squared regrets), before each step."""
-    fc, _ = benchmark(spark, d)
-    loss = fc.where(F.col("model").isin("naive2", "ses", "theta")).withColumn("loss", F.pow(F.col("actual") - F.col("mean"), 2))
+    fc, _ = benchmark(spark, d, models=("naive2", "ses", "theta"))
+    loss = fc.withColumn("loss", F.pow(F.col("actual") - F.col("mean"), 2))
     wide = loss.groupBy("series_id", "step").pivot("model", ["naive2", "ses", "theta"]).agg(F.max("loss"))
     rows = wide.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("step", "naive2", "ses", "theta"))).alias("ls"))
     third = F.lit(1.0) / 3
