@@ -57,7 +57,7 @@ def seasonal_by_test(ys: Column, m: int, critical: float = 1.645) -> Column:
     return F.coalesce(F.when((n >= 3 * m) & (F.floor(10 * F.log10(n)) >= m), over), F.lit(False))
 
 
-def prepare(obs: DataFrame, m: int, h: int, test: bool = True) -> DataFrame:
+def prepare(obs: DataFrame, m: int, h: int, test: bool = True, critical: float = 1.645) -> DataFrame:
     """(series_id, n, train, test, des, out, is_seasonal): train and test values, the train deseasonalised where the
     test finds a season (or always), and the seasonal index of each step ahead.
 
@@ -66,7 +66,7 @@ def prepare(obs: DataFrame, m: int, h: int, test: bool = True) -> DataFrame:
     base = split(packed(obs), h)
     if m == 1:
         return base.withColumn("des", F.col("train")).withColumn("out", F.array_repeat(F.lit(1.0), h)).withColumn("is_seasonal", F.lit(False))
-    found = seasonal_by_test(F.col("train"), m) if test else F.lit(True)
+    found = seasonal_by_test(F.col("train"), m, critical) if test else F.lit(True)
     known = F.when(found, seasonal_index(F.col("train"), m))
 
     def parts(si: Column) -> Column:
@@ -90,6 +90,18 @@ def line_of(ys: Column) -> Column:
     return R.let(slope, lambda b: F.struct((sy / n - b * tbar).alias("intercept"), b.alias("slope")))
 
 
+def line_through(points: Column) -> Column:
+    """struct(intercept, slope) of the least-squares line through an array of struct(x, y)."""
+    total = lambda f: F.aggregate(points, F.lit(0.0), lambda a, p: a + f(p))
+    sums = F.struct(total(lambda p: p["x"]).alias("x"), total(lambda p: p["y"]).alias("y"), total(lambda p: p["x"] * p["x"]).alias("xx"), total(lambda p: p["x"] * p["y"]).alias("xy"), F.size(points).alias("n"))
+
+    def line(s: Column) -> Column:
+        slope = F.coalesce(F.try_divide(s["xy"] - s["x"] * s["y"] / s["n"], s["xx"] - s["x"] * s["x"] / s["n"]), F.lit(0.0))
+        return R.let(slope, lambda b: F.struct(((s["y"] - b * s["x"]) / s["n"]).alias("intercept"), b.alias("slope")))
+
+    return R.let(sums, line)
+
+
 def flat(level: Column, h: int) -> Column:
     return F.array_repeat(level, h)
 

@@ -56,15 +56,21 @@ def seasoned(f: Column, s: Column) -> Column:
     return F.when(F.col("season") == "M", f * s).when(F.col("season") == "A", f + s).otherwise(f)
 
 
-def theta_fit(product: Column, theta: Column, alpha: Column) -> Column:
-    """struct(sse, mae, level) of smoothing the theta line of a variant: errors on that line, and on the series."""
-    points = F.zip_with(F.zip_with("des", "train", lambda d, y: F.struct(d.alias("d"), y.alias("y"))), F.slice(F.arrays_zip(F.col("l0").alias("l"), F.col("s").alias("s")), 1, F.col("n").cast("int")), lambda a, b: F.struct(a["d"].alias("d"), a["y"].alias("y"), b["l"].alias("l"), b["s"].alias("s")))
+def theta_fit(points: Column, product: Column, theta: Column, alpha: Column) -> Column:
+    """struct(sse, mae, level) of smoothing the theta line of a variant: errors on that line, and on the series.
+
+    A point has d, the value without season, y, the value, l, the curve, and s, the seasonal index.
+    """
 
     def step(a: Column, x: Column) -> Column:
         z = F.when(product, _power(x["d"], theta) * _power(x["l"], 1 - theta)).otherwise(theta * x["d"] + (1 - theta) * x["l"])
-        level = F.coalesce(a["level"], z)
-        error = x["y"] - seasoned(joined(product, level, x["l"], theta), x["s"])
-        return F.struct((alpha * z + (1 - alpha) * level).alias("level"), (a["sse"] + (z - level) * (z - level)).alias("sse"), (a["ae"] + F.abs(error)).alias("ae"))
+
+        def moved(z: Column) -> Column:
+            level = F.coalesce(a["level"], z)
+            error = x["y"] - seasoned(joined(product, level, x["l"], theta), x["s"])
+            return F.struct((alpha * z + (1 - alpha) * level).alias("level"), (a["sse"] + (z - level) * (z - level)).alias("sse"), (a["ae"] + F.abs(error)).alias("ae"))
+
+        return R.let(z, moved)
 
     start = F.struct(F.lit(None).cast("double").alias("level"), F.lit(0.0).alias("sse"), F.lit(0.0).alias("ae"))
     return R.let(F.aggregate(points, start, step), lambda a: F.struct(F.round(a["sse"], 9).alias("sse"), F.round(a["ae"] / F.col("n"), 9).alias("mae"), a["level"].alias("level")))
@@ -72,18 +78,23 @@ def theta_fit(product: Column, theta: Column, alpha: Column) -> Column:
 
 def fitted(rows: DataFrame, thetas: tuple[float, ...], alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """Variants with, for each model (M, A) and theta, the smoothing that fits its line best: model, theta, alpha, mae, level."""
+    point = lambda y, i: F.struct(F.get("des", i).alias("d"), y.alias("y"), F.get("l0", i).alias("l"), F.get("s", i).alias("s"))
+    menu = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(t).alias("theta")) for k in ("M", "A") for t in thetas])
+
+    def best(points: Column, g: Column) -> Column:
+        def one(alpha: Column) -> Column:
+            fit = theta_fit(points, (g["model"] == "M") & F.col("plus"), g["theta"], alpha)
+            return R.let(fit, lambda f: F.struct(f["sse"].alias("sse"), alpha.alias("alpha"), f["mae"].alias("mae"), f["level"].alias("level")))
 
-    def best(model: str, theta: float) -> Column:
-        product = F.lit(model == "M") & F.col("plus")
-        fits = F.array(*[F.struct(theta_fit(product, F.lit(theta), F.lit(a)).alias("f"), F.lit(a).alias("alpha")) for a in alphas])
-        found = F.array_min(F.transform(fits, lambda x: F.struct(x["f"]["sse"].alias("sse"), x["alpha"].alias("alpha"), x["f"]["mae"].alias("mae"), x["f"]["level"].alias("level"))))
-        return R.let(found, lambda x: F.struct(F.lit(model).alias("model"), F.lit(theta).alias("theta"), x["alpha"].alias("alpha"), x["mae"].alias("mae"), x["level"].alias("level")))
+        found = F.array_min(F.transform(F.array(*map(F.lit, alphas)), one))
+        return R.let(found, lambda x: F.struct(g["model"].alias("model"), g["theta"].alias("theta"), x["alpha"].alias("alpha"), x["mae"].alias("mae"), x["level"].alias("level")))
 
-    made = rows.withColumn("fit", F.explode(F.array(*[best(k, t) for k in ("M", "A") for t in thetas])))
+    # the arrays are columns here, so that no lambda works them out again
+    made = rows.withColumn("fit", F.explode(R.let(F.transform("train", point), lambda points: F.transform(menu, lambda g: best(points, g)))))
     return made.select(*rows.columns, "fit.*")
 
 
-def ahead(rows: DataFrame, h: int) -> Column:
+def ahead_of(h: int) -> Column:
     """The forecasts of a fitted variant, none below zero."""
     product = (F.col("model") == "M") & F.col("plus")
 
@@ -104,7 +115,7 @@ def four_theta(splits: DataFrame, m: int, h: int, critical: float = 1.645, theta
     order = F.struct(F.col("mae"), (F.col("season") == "A").alias("s"), (F.col("model") == "A").alias("k"), (F.col("curve") == "Exp").alias("c"), "theta")
     rows = fitted(variants(splits, m, h, critical), thetas).withColumn("order", order)
     best = rows.withColumn("k", F.row_number().over(W.partitionBy("series_id").orderBy("order"))).where("k = 1")
-    return best.withColumn("f", ahead(best, h)).select("series_id", "season", "curve", "model", "theta", "mae", "f")
+    return best.withColumn("f", ahead_of(h)).select("series_id", "season", "curve", "model", "theta", "mae", "f")
 
 
 def ata_run(ys: Column, p: Column, q: float, phi: Column, product: bool) -> Column:
@@ -149,9 +160,34 @@ def ata(ys: Column, phis: tuple[float, ...], product: bool = False, fixed: bool
 
 
 def ata_ahead(model: Column, h: int, product: bool = False) -> Column:
-    """Forecasts of a fitted ATA model; none is below zero."""
+    """Forecasts of a fitted ATA model; none is below zero, and there are none where there is no model."""
     def at(x: Column, s: Column) -> Column:
         far = F.aggregate(F.sequence(F.lit(1), s), F.lit(0.0), lambda a, k: a + F.pow(x["phi"], k))
         return F.greatest(x["level"] * F.pow(x["trend"], far) if product else x["level"] + far * x["trend"], F.lit(0.0))
 
-    return R.let(model, lambda x: F.transform(steps_of(h), lambda s: at(x, s)))
+    return R.let(model, lambda x: F.when(x.isNotNull(), F.transform(steps_of(h), lambda s: at(x, s))))
+
+
+def dynamic_run(ys: Column, h: int, theta: Column, alpha: Column) -> Column:
+    """struct(sse, f) of the dynamic theta model (Fiorucci et al. 2016): squared one-step errors from the third value on, and h forecasts.
+
+    The level starts at the first value; beyond the last value each forecast stands for the value.
+    """
+    n = F.size(ys)
+
+    def step(s: Column, t: Column) -> Column:
+        mu = s["level"] + (1 - 1 / theta) * (F.pow(1 - alpha, t - 1) * s["a"] + (1 - F.pow(1 - alpha, t)) / alpha * s["b"])
+        return R.let(mu, lambda f: R.let(F.coalesce(F.when(t <= n, F.get(ys, t - 1)), f), lambda y: moved(s, t, f, y)))
+
+    def moved(s: Column, t: Column, f: Column, y: Column) -> Column:
+        b = F.when(t > 1, ((t - 2) * s["b"] + 6.0 / t * (y - s["mean"])) / (t + 1)).otherwise(F.lit(0.0))
+        mean = ((t - 1) * s["mean"] + y) / t
+        error = F.when((t >= 3) & (t <= n), (y - f) * (y - f)).otherwise(F.lit(0.0))
+        return F.struct(
+            (alpha * y + (1 - alpha) * s["level"]).alias("level"), (mean - (t + 1) / 2 * b).alias("a"), b.alias("b"), mean.alias("mean"), (s["sse"] + error).alias("sse"),
+            F.when(t > n, F.concat(s["f"], F.array(f))).otherwise(s["f"]).alias("f"),  # as long as the horizon
+        )
+
+    zero = F.lit(0.0)
+    start = F.struct(F.get(ys, F.lit(0)).alias("level"), zero.alias("a"), zero.alias("b"), zero.alias("mean"), zero.alias("sse"), F.array().cast("array<double>").alias("f"))
+    return F.aggregate(F.sequence(F.lit(1), n + h), start, step)

@@ -237,21 +237,6 @@ def _(spark, d):
     return M.forecasts(made, {"ble": M.bunch_line(F.col("train"), 7, 70)}).select("series_id", "step", r6("mean").alias("mean"))
 
 
-@query(
-    "ata",
-    f"WITH RECURSIVE {obs_sql('Y_nation')}, al AS (SELECT *, count(*) {_B} AS n FROM obs), pp AS (SELECT unnest(range(1, 5)) AS p), ph AS (SELECT unnest([0.8, 0.9, 1.0]) AS phi), "
-    "rc(series_id, p, phi, t, l, b) AS (SELECT series_id, p, CAST(phi AS DOUBLE), t, y, 0.0::DOUBLE FROM al, pp, ph WHERE t = 1 UNION ALL "
-    "SELECT r.series_id, r.p, r.phi, a.t, CASE WHEN a.t > r.p THEN r.p::DOUBLE / a.t ELSE 1.0 END * a.y + (1 - CASE WHEN a.t > r.p THEN r.p::DOUBLE / a.t ELSE 1.0 END) * (r.l + r.phi * r.b), "
-    "1.0::DOUBLE / a.t * (CASE WHEN a.t > r.p THEN r.p::DOUBLE / a.t ELSE 1.0 END * a.y + (1 - CASE WHEN a.t > r.p THEN r.p::DOUBLE / a.t ELSE 1.0 END) * (r.l + r.phi * r.b) - r.l) + (1 - 1.0::DOUBLE / a.t) * r.phi * r.b "
-    "FROM rc r JOIN al a ON a.series_id = r.series_id AND a.t = r.t + 1) "
-    "SELECT r.series_id, CAST(r.p AS BIGINT) AS p, r.phi, round(r.l, 6) AS level, round(r.b, 6) AS trend FROM rc r JOIN (SELECT DISTINCT series_id, n FROM al) z ON z.series_id = r.series_id AND z.n = r.t",
-)
-def _(spark, d):
-    packs = packed(series(spark, d, "Y_nation")).withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("phi", F.explode(F.array(*map(F.lit, (0.8, 0.9, 1.0)))))
-    made = packs.withColumn("s", R.ata_state(F.col("ys"), F.col("p"), 1, F.col("phi")))
-    return made.select("series_id", F.col("p").cast("long").alias("p"), "phi", r6("s.level").alias("level"), r6("s.trend").alias("trend"))
-
-
 @query("pi_median_of_models", oracle("SELECT series_id, CAST(step AS BIGINT) AS step, round(min(f), 6) AS lower, round(median(f), 6) AS mid, round(max(f), 6) AS upper FROM fc GROUP BY 1, 2"))
 def _(spark, d):
     fc, _ = benchmark(spark, d)

@@ -20,80 +20,6 @@ from ..streaming import events as streaming
 from .forecasting import MAIN, benchmark, oracle
 
 _B = "OVER (PARTITION BY series_id)"
-_TRAIN = f", al AS (SELECT *, count(*) {_B} AS big FROM obs), tr AS (SELECT series_id, t, y, big - 18 AS n FROM al WHERE t <= big - 18), l0 AS (SELECT series_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, max(n) AS n FROM tr GROUP BY 1)"
-
-
-def _theta_sql(name: str, thetas: str) -> str:
-    """Fits of the additive theta line for each theta: level after the last value, and the absolute error of one-step fits."""
-    return (
-        f"WITH RECURSIVE {obs_sql(name)}{_TRAIN}, th AS (SELECT CAST(unnest({thetas}) AS DOUBLE) AS theta), "
-        "z AS (SELECT t.series_id, t.t, t.y, h.theta, l.a + l.b * t.t AS line, h.theta * t.y + (1 - h.theta) * (l.a + l.b * t.t) AS z FROM tr t JOIN l0 l ON l.series_id = t.series_id, th h), "
-        "rc(series_id, theta, t, l, ae) AS (SELECT series_id, theta, t, z, abs(y - (z / theta + (1 - 1 / theta) * line)) FROM z WHERE t = 1 UNION ALL "
-        "SELECT r.series_id, r.theta, z.t, 0.3 * z.z + 0.7 * r.l, r.ae + abs(z.y - (r.l / r.theta + (1 - 1 / r.theta) * z.line)) FROM rc r JOIN z ON z.series_id = r.series_id AND z.theta = r.theta AND z.t = r.t + 1), "
-        "fin AS (SELECT r.series_id, r.theta, r.l, r.ae / l.n AS mae, l.a, l.b, l.n FROM rc r JOIN l0 l ON l.series_id = r.series_id AND l.n = r.t)"
-    )
-
-
-def theta_fits(splits: DataFrame, thetas: list[float], alpha: float = 0.3) -> DataFrame:
-    """(series_id, n, theta, intercept, slope, level, mae) of additive theta lines, for each theta."""
-    lined = splits.withColumn("line", M.line_of(F.col("train"))).withColumn("theta", F.explode(F.array(*map(F.lit, thetas))))
-
-    def step(s, x):
-        line = x["line"]
-        z = F.col("theta") * x["y"] + (1 - F.col("theta")) * line
-        fitted = s["level"] / F.col("theta") + (1 - 1 / F.col("theta")) * line
-        first = s["t"] == 0
-        return F.struct(
-            (s["t"] + 1).alias("t"),
-            F.when(first, z).otherwise(alpha * z + (1 - alpha) * s["level"]).alias("level"),
-            (s["ae"] + F.abs(x["y"] - F.when(first, z / F.col("theta") + (1 - 1 / F.col("theta")) * line).otherwise(fitted))).alias("ae"),
-        )
-
-    points = F.transform("train", lambda y, i: F.struct(y.alias("y"), (F.col("line.intercept") + F.col("line.slope") * (i + 1)).alias("line")))
-    start = F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("level"), F.lit(0.0).alias("ae"))
-    done = lined.withColumn("s", F.aggregate(points, start, step))
-    return done.select("series_id", "n", "theta", F.col("line.intercept").alias("intercept"), F.col("line.slope").alias("slope"), F.col("s.level").alias("level"), (F.col("s.ae") / F.col("n")).alias("mae"))
-
-
-@query(
-    "theta_fit",
-    _theta_sql(MAIN, "[1.0, 1.5, 2.0, 3.0]") + " SELECT series_id, theta, CAST(step AS BIGINT) AS step, round(greatest(l / theta + (1 - 1 / theta) * (a + b * (n + step)), 0), 6) AS mean FROM fin, (SELECT unnest(range(1, 19)) AS step)",
-)
-def _(spark, d):
-    fits = theta_fits(split(packed(series(spark, d, MAIN)), 18), [1.0, 1.5, 2.0, 3.0]).withColumn("step", F.explode(M.steps_of(18)))
-    mean = F.greatest(F.col("level") / F.col("theta") + (1 - 1 / F.col("theta")) * (F.col("intercept") + F.col("slope") * (F.col("n") + F.col("step"))), F.lit(0.0))
-    return fits.select("series_id", "theta", F.col("step").cast("long").alias("step"), r6(mean).alias("mean"))
-
-
-_THETAS = [1 + 0.25 * k for k in range(9)]
-
-
-@query(
-    "four_theta",
-    _theta_sql(MAIN, str(_THETAS)) + ", b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(mae, 9), theta) AS k FROM fin) SELECT series_id, theta, round(mae, 6) AS mae, round(l, 6) AS level FROM b WHERE k = 1",
-)
-def _(spark, d):
-    fits = theta_fits(split(packed(series(spark, d, MAIN)), 18), _THETAS)
-    w = W.partitionBy("series_id").orderBy(F.round("mae", 9), "theta")
-    return fits.withColumn("k", F.row_number().over(w)).where("k = 1").select("series_id", "theta", r6("mae").alias("mae"), r6("level").alias("level"))
-
-
-_CURVES = {"Lin": ("y", "t"), "Exp": ("ln(y)", "t"), "Log": ("y", "ln(t)"), "Inv": ("y", "1.0 / t"), "Pow": ("ln(y)", "ln(t)")}
-
-
-@query(
-    "theta_generalized",
-    f"WITH {obs_sql('D_event')}, " + " UNION ALL ".join(
-        [f"cv AS (SELECT 'Lin' AS curve, series_id, regr_intercept(y, t) AS a, regr_slope(y, t) AS b FROM obs WHERE y > 0 GROUP BY 2"]
-        + [f"SELECT '{k}', series_id, regr_intercept({y}, {x}), regr_slope({y}, {x}) FROM obs WHERE y > 0 GROUP BY 2" for k, (y, x) in list(_CURVES.items())[1:]]
-    )
-    + ") SELECT curve, series_id, round(a, 6) AS a, round(b, 6) AS b FROM cv",
-)
-def _(spark, d):
-    obs = series(spark, d, "D_event").where("y > 0").withColumn("t", F.col("t").cast("double"))
-    named = F.array(*[F.struct(F.lit(k).alias("curve"), F.expr(y).alias("v"), F.expr(x).cast("double").alias("x")) for k, (y, x) in _CURVES.items()])
-    rows = obs.select("series_id", F.explode(named).alias("c")).select("series_id", "c.*")
-    return rows.groupBy("curve", "series_id").agg(r6(F.regr_intercept("v", "x")).alias("a"), r6(F.regr_slope("v", "x")).alias("b"))
 
 
 @query(
@@ -132,23 +58,6 @@ def _(spark, d):
     return made.select("series_id", (F.col("i") + 1).cast("long").alias("step"), *[r6(F.get("w", F.lit(k))).alias(f"w_{n}") for k, n in enumerate(names)])
 
 
-@query(
-    "pi_t_regression",
-    f"WITH {obs_sql('D_event')}, l AS (SELECT series_id, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, count(*) AS n, avg(t) AS tb, regr_sxx(y, t) AS sxx, regr_syy(y, t) - regr_slope(y, t) * regr_sxy(y, t) AS sse FROM obs GROUP BY 1) "
-    "SELECT series_id, CAST(step AS BIGINT) AS step, round(a + b * (n + step) - 2.048407 * sqrt(sse / (n - 2)) * sqrt(1 + 1.0 / n + (n + step - tb) * (n + step - tb) / sxx), 6) AS lower, "
-    "round(a + b * (n + step) + 2.048407 * sqrt(sse / (n - 2)) * sqrt(1 + 1.0 / n + (n + step - tb) * (n + step - tb) / sxx), 6) AS upper FROM l, (SELECT unnest(range(1, 8)) AS step)",
-)
-def _(spark, d):
-    fit = series(spark, d, "D_event").groupBy("series_id").agg(
-        F.regr_slope("y", "t").alias("b"), F.regr_intercept("y", "t").alias("a"), F.count(F.lit(1)).alias("n"), F.avg("t").alias("tb"), F.regr_sxx("y", "t").alias("sxx"),
-        (F.regr_syy("y", "t") - F.regr_slope("y", "t") * F.regr_sxy("y", "t")).alias("sse"),
-    )
-    at = F.col("n") + F.col("step")
-    half = 2.048407 * F.sqrt(F.col("sse") / (F.col("n") - 2)) * F.sqrt(1 + 1.0 / F.col("n") + (at - F.col("tb")) * (at - F.col("tb")) / F.col("sxx"))
-    mid = F.col("a") + F.col("b") * at
-    return fit.withColumn("step", F.explode(M.steps_of(7))).select("series_id", F.col("step").cast("long").alias("step"), r6(mid - half).alias("lower"), r6(mid + half).alias("upper"))
-
-
 @query(
     "msis_coverage",
     oracle(
