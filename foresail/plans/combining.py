@@ -178,24 +178,6 @@ def _(spark, d):
     return made.select("series_id", (4 * (F.col("c") + 1) - F.col("back")).cast("long").alias("step"), r6("mean").alias("mean"))
 
 
-@query(
-    "pi_quantile_mixture",
-    oracle(
-        """, g AS (SELECT series_id, step, min(f) AS lo, max(f) AS hi FROM fc GROUP BY 1, 2), gr AS (SELECT g.*, k, lo + (hi - lo) * (k - 1) / 98.0 AS x FROM g, (SELECT unnest(range(1, 100)) AS k)),
-cd AS (SELECT r.series_id, r.step, r.k, r.x, sum(CASE WHEN f.f <= r.x + 1e-9 THEN 1 ELSE 0 END) / 8.0 AS p FROM gr r JOIN fc f ON f.series_id = r.series_id AND f.step = r.step GROUP BY 1, 2, 3, 4)
-SELECT series_id, CAST(step AS BIGINT) AS step, round(min(CASE WHEN p >= 0.25 THEN x END), 6) AS lower, round(min(CASE WHEN p >= 0.75 THEN x END), 6) AS upper FROM cd GROUP BY 1, 2"""
-    ),
-)
-def _(spark, d):
-    """Bounds where the mixture of the models, on a grid of 99 points, first reaches a level."""
-    fc, _ = benchmark(spark, d)
-    own = fc.groupBy("series_id", "step").agg(F.collect_list("mean").alias("fs"))  # as long as there are models
-    lo, hi = F.array_min("fs"), F.array_max("fs")
-    grid = F.transform(F.sequence(F.lit(0), F.lit(98)), lambda k: lo + (hi - lo) * k / 98.0)
-    at = lambda p: F.get(F.filter(grid, lambda x: F.size(F.filter("fs", lambda f: f <= x + 1e-9)) / 8.0 >= p), F.lit(0))
-    return own.select("series_id", "step", r6(at(0.25)).alias("lower"), r6(at(0.75)).alias("upper"))
-
-
 @query("select_mase_gate", oracle("SELECT f.series_id, CAST(f.step AS BIGINT) AS step, round(avg(f.f), 6) AS mean FROM fc f JOIN er e ON e.series_id = f.series_id AND e.model = f.model WHERE f.model <> 'holt' OR coalesce(e.mase, 999) < 2 GROUP BY 1, 2"))
 def _(spark, d):
     fc, prepared = benchmark(spark, d)
@@ -204,14 +186,6 @@ def _(spark, d):
     return E.combine(kept).select("series_id", "step", r6("mean").alias("mean"))
 
 
-@query("fallback_on_error", oracle("SELECT a.series_id, CAST(a.step AS BIGINT) AS step, round(coalesce(CASE WHEN a.series_id < 'F' THEN a.f END, b.f), 6) AS mean FROM fc a JOIN fc b ON a.series_id = b.series_id AND a.step = b.step WHERE a.model = 'theta' AND b.model = 'snaive'"))
-def _(spark, d):
-    fc, _ = benchmark(spark, d)
-    wide = fc.groupBy("series_id", "step").pivot("model", ["snaive", "theta"]).agg(F.max("mean"))
-    first = F.when(F.col("series_id") < "F", F.col("theta"))
-    return wide.select("series_id", "step", r6(F.coalesce(first, "snaive")).alias("mean"))
-
-
 @query("snk_three_files", oracle("SELECT f.series_id, CAST(f.step AS BIGINT) AS step, kind, round(CASE kind WHEN 'lower' THEN min(f.f) WHEN 'point' THEN median(f.f) ELSE max(f.f) END, 6) AS value FROM fc f, (VALUES ('lower'), ('point'), ('upper')) v(kind) GROUP BY 1, 2, 3"))
 def _(spark, d):
     fc, _ = benchmark(spark, d)
@@ -253,4 +227,6 @@ for _key, (_members, _how) in RECIPES.items():
     def _(spark, d, members=_members, how=_how):
         s = SPECS[MAIN]
         made = numeric.fit_each(split(packed(series(spark, d, MAIN)), s.h), list(members), s.m, s.h)
-        return E.combine(made, how).select("series_id", "step", r6(F.greatest("mean", F.lit(0.0))).alias("mean"), F.lit("ok").alias("status"))
+        failed = made.where("status <> 'ok'").groupBy("series_id", "step").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(": ", "model", "status"))), ", ").alias("status"))
+        joined = E.combine(made, how).join(failed, ["series_id", "step"], "left")
+        return joined.select("series_id", "step", r6(F.greatest("mean", F.lit(0.0))).alias("mean"), F.coalesce("status", F.lit("ok")).alias("status"))

@@ -203,23 +203,6 @@ def _(spark, d):
     return best.select("series_id", "alpha", r6(R.ses_error(F.col("des"), F.col("alpha"))).alias("sse"), r6(R.ses_level(F.col("des"), F.col("alpha"))).alias("level"))
 
 
-@query(
-    "combine_aicc_weights",
-    oracle(
-        """, gr AS (SELECT unnest([0.1, 0.3, 0.5]) AS alpha), rc(series_id, alpha, t, l, sse) AS (SELECT d.series_id, g.alpha, d.t, d.y, 0.0::DOUBLE FROM des d, gr g WHERE d.t = 1
-UNION ALL SELECT r.series_id, r.alpha, d.t, r.alpha * d.y + (1 - r.alpha) * r.l, r.sse + (d.y - r.l) * (d.y - r.l) FROM rc r JOIN des d ON d.series_id = r.series_id AND d.t = r.t + 1),
-ai AS (SELECT r.series_id, r.alpha, p.n * ln(r.sse / p.n) + 4 AS a FROM rc r JOIN pk p ON p.series_id = r.series_id AND p.n = r.t),
-wt AS (SELECT *, exp((min(a) OVER (PARTITION BY series_id) - a) / 2) AS w FROM ai)
-SELECT series_id, CAST(alpha AS DOUBLE) AS alpha, round(w / sum(w) OVER (PARTITION BY series_id), 6) AS weight FROM wt"""
-    ),
-)
-def _(spark, d):
-    prepared = M.prepare(series(spark, d, MAIN), 12, 18).select("series_id", "n", "des", F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.5)))).alias("alpha"))
-    sse = prepared.withColumn("sse", R.ses_error(F.col("des"), F.col("alpha")))
-    criteria = sse.select("series_id", "alpha", (F.col("n") * F.ln(F.col("sse") / F.col("n")) + 4).alias("aicc"))
-    return E.aicc_weights(criteria).select("series_id", "alpha", r6("weight").alias("weight"))
-
-
 @query("mean_last_window", oracle("SELECT p.series_id, CAST(s.step AS BIGINT) AS step, round(list_avg(p.raws[p.n - 17:p.n]), 6) AS mean FROM pk p, steps s"))
 def _(spark, d):
     made = split(packed(series(spark, d, MAIN)), 18)
