@@ -27,13 +27,18 @@ def centered_average(obs: DataFrame, m: int, name: str = "trend") -> DataFrame:
 
 
 def ma3x3(obs: DataFrame, column: str = "y") -> DataFrame:
-    """Adds ma: a three-term average of a three-term average, the ends taking the nearest full value."""
-    w = ordered().rowsBetween(-1, 1)
-    once = obs.withColumn("__a", F.when(F.count(column).over(w) == 3, F.avg(column).over(w)))
-    twice = once.withColumn("__b", F.when(F.count("__a").over(w) == 3, F.avg("__a").over(w)))
-    after = F.first("__b", True).over(ordered().rowsBetween(0, W.unboundedFollowing))
-    before = F.last("__b", True).over(ordered().rowsBetween(W.unboundedPreceding, 0))
-    return twice.withColumn("ma", F.coalesce("__b", F.when(F.col("t") <= 2, after).otherwise(before))).drop("__a", "__b")
+    """Adds ma: a three-term average of a three-term average.
+
+    The second place from an end has the single average; the end has the mean of its two values, moved by half of what
+    the next place is above the one after it.
+    """
+    w = ordered()
+    near, n = w.rowsBetween(-1, 1), F.count(F.lit(1)).over(by_series())
+    once = obs.withColumn("__n", n).withColumn("__a", F.when(F.count(column).over(near) == 3, F.avg(column).over(near)))
+    inner = F.when((F.col("t") > 2) & (F.col("t") < F.col("__n") - 1), F.avg("__a").over(near)).otherwise(F.col("__a"))
+    twice = once.withColumn("__b", inner)
+    end = lambda k: (F.col(column) + F.lag(column, -k).over(w)) / 2 + (F.lag("__b", -k).over(w) - F.lag("__b", -2 * k).over(w)) / 2
+    return twice.withColumn("ma", F.when(F.col("t") == 1, end(1)).when(F.col("t") == F.col("__n"), end(-1)).otherwise(F.col("__b"))).drop("__a", "__b", "__n")
 
 
 def autocorrelations(packs: DataFrame, most: int | None = None) -> DataFrame:
@@ -84,11 +89,12 @@ def trimmed_indices(obs: DataFrame, m: int) -> DataFrame:
     made = made.withColumn("__hi", F.max("le").over(w)).withColumn("__lo", F.min("le").over(w)).withColumn("__k", F.count(F.lit(1)).over(by_series()))
     inside = F.avg(F.when((F.col("le") < F.col("__hi")) & (F.col("le") > F.col("__lo")), F.col("le")))
     found = made.groupBy("series_id", "phase").agg(
-        F.count(F.lit(1)).alias("n_ratio"), F.when(F.max("__k") >= 3 * m, F.coalesce(inside, F.avg("le"))).otherwise(F.median("le")).alias("__p"), F.var_pop("le").alias("__v")
+        F.count(F.lit(1)).alias("n_ratio"), F.when(F.max("__k") >= 3 * m, F.coalesce(inside, F.avg("le"))).otherwise(F.median("le")).alias("__p"), F.var_pop("le").alias("__v"), F.avg("le").alias("__a")
     )
+    about = F.col("__v") + (F.col("__a") - F.col("index")) * (F.col("__a") - F.col("index"))  # the mean square about the index
     return found.withColumn("index", F.try_divide("__p", F.avg("__p").over(by_series()))).withColumn(
-        "spread", F.try_divide(F.col("__v"), (F.col("n_ratio") - 1).cast("double"))
-    ).drop("__p", "__v")
+        "spread", F.try_divide(about, (F.col("n_ratio") - 1).cast("double"))
+    ).drop("__p", "__v", "__a")
 
 
 def shrink(indices: DataFrame, m: int) -> DataFrame:
@@ -103,6 +109,19 @@ def shrink(indices: DataFrame, m: int) -> DataFrame:
     return made.join(smoothed, ["series_id", "phase"])
 
 
+def chosen_shrinkage(shrunk: DataFrame) -> DataFrame:
+    """Adds skew, used and shrunk to what `shrink` gives: the plain index, or one of the two that are drawn to one.
+
+    The choice goes by the skewness of the indices and by the weight that draws them.
+    """
+    w = by_series()
+    c = F.col("index") - F.avg("index").over(w)
+    made = shrunk.withColumn("__c", c).withColumn("skew", F.avg(F.col("__c") * F.col("__c") * F.col("__c")).over(w) / F.pow(F.avg(F.col("__c") * F.col("__c")).over(w), F.lit(1.5)))
+    plain, kernel = (F.col("skew") < 0.5) & (F.col("w") < 0.2), (F.col("skew") >= 0.5) & (F.col("w") < 0.5)
+    used = F.when(plain, "classical").when(kernel, "lemon_krutchkoff").otherwise("james_stein")
+    return made.withColumn("used", used).withColumn("shrunk", F.when(plain, F.col("index")).when(kernel, F.col("lemon_krutchkoff")).otherwise(F.col("james_stein"))).drop("__c")
+
+
 def fourier(obs: DataFrame, m: int, terms: int) -> DataFrame:
     """Adds s1, c1 .. : sine and cosine pairs of the period m."""
     for k in range(1, terms + 1):

@@ -216,8 +216,9 @@ _W3 = "OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FO
 @query(
     "win_ma3x3",
     _all(
-        f""", a AS (SELECT *, CASE WHEN count(y) {_W3} = 3 THEN avg(y) {_W3} END AS a FROM obs), b AS (SELECT *, CASE WHEN count(a) {_W3} = 3 THEN avg(a) {_W3} END AS b, count(*) {_B} AS n FROM a)
-SELECT x.series_id, x.t, round(y.b, 6) AS ma FROM b x JOIN b y ON y.series_id = x.series_id AND y.t = least(greatest(x.t, 3), x.n - 2)"""
+        f""", a AS (SELECT *, CASE WHEN count(y) {_W3} = 3 THEN avg(y) {_W3} END AS a, count(*) {_B} AS n FROM obs), b AS (SELECT *, CASE WHEN t > 2 AND t < n - 1 THEN avg(a) {_W3} ELSE a END AS b FROM a)
+SELECT x.series_id, x.t, round(CASE WHEN x.b IS NULL THEN (x.y + y.y) / 2 + (y.b - z.b) / 2 ELSE x.b END, 6) AS ma FROM b x LEFT JOIN b y ON y.series_id = x.series_id AND x.b IS NULL AND y.t = CASE WHEN x.t = 1 THEN 2 ELSE x.n - 1 END
+LEFT JOIN b z ON z.series_id = x.series_id AND x.b IS NULL AND z.t = CASE WHEN x.t = 1 THEN 3 ELSE x.n - 2 END"""
     ),
 )
 def _(spark, d):
@@ -307,8 +308,8 @@ for _suffix, _mult in (("mult", True), ("add", False)):
 
 _TRIM = f""", ma AS ({_ma(12)}), le AS (SELECT series_id, (t - 1) % 12 AS phase, y / nullif(trend, 0) AS le FROM ma WHERE trend IS NOT NULL),
 e AS (SELECT *, max(le) OVER (PARTITION BY series_id, phase) AS hi, min(le) OVER (PARTITION BY series_id, phase) AS lo, count(*) {_B} AS k FROM le),
-p AS (SELECT series_id, phase, count(*) AS n, CASE WHEN max(k) >= 36 THEN coalesce(avg(CASE WHEN le < hi AND le > lo THEN le END), avg(le)) ELSE median(le) END AS p, var_pop(le) / nullif(count(*) - 1, 0) AS spread FROM e GROUP BY 1, 2),
-ix AS (SELECT *, p / avg(p) {_B} AS ix FROM p)"""
+p AS (SELECT series_id, phase, count(*) AS n, CASE WHEN max(k) >= 36 THEN coalesce(avg(CASE WHEN le < hi AND le > lo THEN le END), avg(le)) ELSE median(le) END AS p, var_pop(le) AS v0, avg(le) AS a0 FROM e GROUP BY 1, 2),
+ix AS (SELECT *, (v0 + (a0 - ix) * (a0 - ix)) / nullif(n - 1, 0) AS spread FROM (SELECT *, p / avg(p) {_B} AS ix FROM p))"""
 
 
 @query("decompose_trimmed", _all(_TRIM + " SELECT series_id, CAST(phase AS BIGINT) AS phase, CAST(n AS BIGINT) AS n_ratio, round(ix, 6) AS index FROM ix"))
@@ -316,18 +317,18 @@ def _(spark, d):
     return S.trimmed_indices(series(spark, d, MAIN), 12).select("series_id", "phase", "n_ratio", r6("index").alias("index"))
 
 
-_SHRINK = _TRIM + f""", v AS (SELECT *, avg(spread) {_B} AS v FROM ix), a AS (SELECT *, greatest(sum((ix - 1) * (ix - 1)) {_B} / 11 - v, 0) AS a FROM v),
+SHRUNK = _TRIM + f""", v AS (SELECT *, avg(spread) {_B} AS v FROM ix), a AS (SELECT *, greatest(sum((ix - 1) * (ix - 1)) {_B} / 11 - v, 0) AS a FROM v),
 w AS (SELECT *, 9.0 / 11 * v / nullif(v + a, 0) AS w FROM a)"""
 
 
-@query("shrink_james_stein", _all(_SHRINK + " SELECT series_id, CAST(phase AS BIGINT) AS phase, round(w, 6) AS w, round(w + (1 - w) * ix, 6) AS shrunk FROM w"))
+@query("shrink_james_stein", _all(SHRUNK + " SELECT series_id, CAST(phase AS BIGINT) AS phase, round(w, 6) AS w, round(w + (1 - w) * ix, 6) AS shrunk FROM w"))
 def _(spark, d):
     return S.shrink(S.trimmed_indices(series(spark, d, MAIN), 12), 12).select("series_id", "phase", r6("w").alias("w"), r6("james_stein").alias("shrunk"))
 
 
 @query(
     "shrink_lemon_krutchkoff",
-    _all(_SHRINK + " SELECT x.series_id, CAST(x.phase AS BIGINT) AS phase, round(sum(exp(-(x.ix - z.ix) * (x.ix - z.ix) / (2 * x.v)) * z.ix) / sum(exp(-(x.ix - z.ix) * (x.ix - z.ix) / (2 * x.v))), 6) AS shrunk FROM w x JOIN w z ON x.series_id = z.series_id GROUP BY 1, 2"),
+    _all(SHRUNK + " SELECT x.series_id, CAST(x.phase AS BIGINT) AS phase, round(sum(exp(-(x.ix - z.ix) * (x.ix - z.ix) / (2 * x.v)) * z.ix) / sum(exp(-(x.ix - z.ix) * (x.ix - z.ix) / (2 * x.v))), 6) AS shrunk FROM w x JOIN w z ON x.series_id = z.series_id GROUP BY 1, 2"),
 )
 def _(spark, d):
     return S.shrink(S.trimmed_indices(series(spark, d, MAIN), 12), 12).select("series_id", "phase", r6("lemon_krutchkoff").alias("shrunk"))
