@@ -78,7 +78,10 @@ def theta_fit(points: Column, product: Column, theta: Column, alpha: Column) ->
 
 def fitted(rows: DataFrame, thetas: tuple[float, ...], alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """Variants with, for each model (M, A) and theta, the smoothing that fits its line best: model, theta, alpha, mae, level."""
-    point = lambda y, i: F.struct(F.get("des", i).alias("d"), y.alias("y"), F.get("l0", i).alias("l"), F.get("s", i).alias("s"))
+    first = lambda c: F.slice(c, 1, F.col("n").cast("int"))
+    values = F.zip_with("des", "train", lambda d, y: F.struct(d.alias("d"), y.alias("y")))
+    curves = F.zip_with(first("l0"), first("s"), lambda a, b: F.struct(a.alias("l"), b.alias("s")))
+    points = F.zip_with(values, curves, lambda v, c: F.struct(v["d"].alias("d"), v["y"].alias("y"), c["l"].alias("l"), c["s"].alias("s")))
     menu = F.array(*[F.struct(F.lit(k).alias("model"), F.lit(t).alias("theta")) for k in ("M", "A") for t in thetas])
 
     def best(points: Column, g: Column) -> Column:
@@ -89,8 +92,7 @@ def fitted(rows: DataFrame, thetas: tuple[float, ...], alphas: tuple[float, ...]
         found = F.array_min(F.transform(F.array(*map(F.lit, alphas)), one))
         return R.let(found, lambda x: F.struct(g["model"].alias("model"), g["theta"].alias("theta"), x["alpha"].alias("alpha"), x["mae"].alias("mae"), x["level"].alias("level")))
 
-    # the arrays are columns here, so that no lambda works them out again
-    made = rows.withColumn("fit", F.explode(R.let(F.transform("train", point), lambda points: F.transform(menu, lambda g: best(points, g)))))
+    made = rows.withColumn("fit", F.explode(R.let(points, lambda x: F.transform(menu, lambda g: best(x, g)))))
     return made.select(*rows.columns, "fit.*")
 
 

@@ -30,7 +30,10 @@ def _lines(spark, d, value: Column, name: str, header: str | None = None) -> str
     return path
 
 
-_LETTER = F.substring(F.lit("YQMWDHX"), (1 + F.col("n_nationkey") % 7).cast("int"), F.lit(1))
+def _letter(letters: str) -> Column:
+    return F.substring(F.lit(letters), (1 + F.col("n_nationkey") % len(letters)).cast("int"), F.lit(1))
+
+
 _LETTER_SQL = "substr('YQMWDHX', 1 + CAST(k % 7 AS INTEGER), 1)"
 
 
@@ -42,7 +45,7 @@ _LETTER_SQL = "substr('YQMWDHX', 1 + CAST(k % 7 AS INTEGER), 1)"
 def _(spark, d):
     """Rows of good ids, and the lines of bad ones."""
     k = F.col("k")
-    path = _lines(spark, d, F.concat_ws(",", F.concat(_LETTER, k), k, 2 * k, F.lit(""), 4 * k), "stream-rows")
+    path = _lines(spark, d, F.concat_ws(",", F.concat(_letter("YQMWDHX"), k), k, 2 * k, F.lit(""), 4 * k), "stream-rows")
     rows, bad = files.read_rows(spark, path)
     refused = bad.select(F.col("value").alias("series_id"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("value"), F.lit(True).alias("bad"))
     return rows.withColumn("bad", F.lit(False)).unionByName(refused)
@@ -145,6 +148,15 @@ def _(spark, d):
     return spark.read.parquet(path).join(last, "series_id").select("series_id", "step", r6(F.col("a") + F.col("b") * F.col("y")).alias("mean"))
 
 
+@query("src_model_store", _DIRECT + " SELECT CAST(step AS BIGINT) AS step, count(*) AS models, round(avg(a), 6) AS a, round(avg(b), 6) AS b FROM fit WHERE step <= 3 GROUP BY 1")
+def _(spark, d):
+    """Reads the stored models of some steps only: the others' folders are not opened."""
+    path = files.scratch(spark, "models")
+    direct_lines(series(spark, d, MAIN), 6).write.partitionBy("step").parquet(path)
+    kept = spark.read.schema("series_id string, a double, b double, step long").parquet(path).where("step <= 3")
+    return kept.groupBy("step").agg(F.count(F.lit(1)).alias("models"), r6(F.avg("a")).alias("a"), r6(F.avg("b")).alias("b"))
+
+
 @query("recursive_multistep", f"WITH RECURSIVE {obs_sql(MAIN)}, pr AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS x FROM obs), fit AS (SELECT series_id, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, max_by(y, t) AS y FROM pr GROUP BY 1), rc(series_id, step, a, b, f) AS (SELECT series_id, 1, a, b, a + b * y FROM fit UNION ALL SELECT series_id, step + 1, a, b, a + b * f FROM rc WHERE step < 18) SELECT series_id, CAST(step AS BIGINT) AS step, round(f, 6) AS mean FROM rc")
 def _(spark, d):
     """A line from a value to the next, fed with its own forecasts."""
@@ -164,8 +176,7 @@ _LETTERED = f"SELECT substr('YQMWDH', 1 + CAST(n_nationkey % 6 AS INTEGER), 1) |
 
 
 def _lettered(spark, d) -> DataFrame:
-    letter = F.substring(F.lit("YQMWDH"), (1 + F.col("n_nationkey") % 6).cast("int"), F.lit(1))
-    return read_table(spark, d, "nation").select(F.concat(letter, F.col("n_nationkey").cast("string")).alias("series_id"), "n_name")
+    return read_table(spark, d, "nation").select(F.concat(_letter("YQMWDH"), F.col("n_nationkey").cast("string")).alias("series_id"), "n_name")
 
 
 @query("prep_filter_period", f"SELECT series_id FROM ({_LETTERED}) WHERE substr(series_id, 1, 1) = 'M'")
