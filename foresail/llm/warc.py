@@ -87,34 +87,42 @@ def without_tags(html: Column) -> Column:
 
     What isn't closed by the end makes the second alternative take all that is left, and put it back: nothing behind
     it can be closed either.  An end tag is looked for once, as the first one found is closed if any later one is.
+    Looking ahead for the start keeps places that begin nothing cheap.
     """
-    html = F.regexp_replace(html, "(?s)<!--.*?-->|(<!--.*)", "$1")
+    html = F.regexp_replace(html, "(?s)(?=<!--)(?:<!--.*?-->|(.*))", "$1")
     for name in ("script", "style"):
-        html = F.regexp_replace(html, f"(?is)<{name}[^>]*+>(?>.*?</{name})[^>]*+>|(<{name}.*)", "$1")
+        html = F.regexp_replace(html, f"(?is)(?=<{name})(?:<{name}[^>]*+>(?>.*?</{name})[^>]*+>|(.*))", "$1")
     head, tail = _until_close(html)
     html = F.concat(F.regexp_replace(head, *TAG_STEPS[3]), tail)
-    return F.regexp_replace(html, "(?s)<[^>]*+>|(<.*)", "$1")
+    return F.regexp_replace(html, "(?s)(?=<)(?:<[^>]*+>|(.*))", "$1")
+
+
+def _first_found(html: Column, pattern: str) -> Column:
+    """Group 1 of the first match where it isn't empty; empty if there is none.  Most pages need their first match only."""
+    one = F.regexp_extract(html, pattern, 1)
+    later = F.get(F.filter(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda x: x != ""), F.lit(0))
+    return F.when(one != "", one).otherwise(F.coalesce(later, F.lit("")))
 
 
 def first_title(html: Column) -> Column:
     """What is in the first title element that has text only; empty if there is none."""
-    found = F.regexp_extract_all(_until_close(html)[0], F.lit("(?i)<title[^>]*+>(?:([^<]*+</title>))?"), F.lit(1))
-    return F.regexp_replace(F.coalesce(F.get(F.filter(found, lambda x: x != ""), F.lit(0)), F.lit("")), "(?i)</title>$", "")
+    found = _first_found(_until_close(html)[0], "(?i)<title[^>]*+>(?:([^<]*+</title>))?")
+    return F.regexp_replace(found, "(?i)</title>$", "")
 
 
 def first_language(html: Column) -> Column:
     """The last `lang` of the first html tag that has one; empty if there is none."""
-    found = F.regexp_extract_all(html, F.lit('(?i)<html(?:[^>]* lang="([^"]*+")|[^>]*+)'), F.lit(1))
-    return F.rtrim(F.coalesce(F.get(F.filter(found, lambda x: x != ""), F.lit(0)), F.lit("")), F.lit('"'))
+    return F.rtrim(_first_found(html, '(?i)<html(?:[^>]* lang="([^"]*+")|[^>]*+)'), F.lit('"'))
 
 
 def html_text(html: Column, sql_form: bool = False) -> Column:
     """The visible text of a page, a line for each block."""
     html = without_tags(html)
     html = (decode_closed if sql_form else decode_all)(html)
-    for pattern, by in SPACE_STEPS:
+    # the SPACE_STEPS, without the matches that change nothing
+    for pattern, by in (("[ \t\r\f]{2,}|[\t\r\f]", " "), (" \n ?|\n ", "\n"), ("\n{2,}", "\n")):
         html = F.regexp_replace(html, pattern, by)
-    return html
+    return F.btrim(html, F.lit(" \n"))
 
 
 def _sha(column: Column) -> Column:
