@@ -121,6 +121,7 @@ def test_tiles_lose_no_pair(spark, monkeypatch):
     body = " ".join(f"w{i}" for i in range(200))
     rows = [(i, f"{body} end{i}") for i in range(60)]
     monkeypatch.setattr(ngram_join, "TILE", 7)
+    monkeypatch.setattr(ngram_join, "SMALL", 7)
     found = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.class_id, r.n_links) for r in found} == {(0, 59)}
 
