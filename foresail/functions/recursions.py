@@ -57,22 +57,6 @@ def damped_sum(phi: Column | float, steps: Column) -> Column:
     return F.when(p == 1, steps.cast("double")).otherwise(p * (1 - F.pow(p, steps)) / F.when(p != 1, 1 - p))
 
 
-def ata_state(ys: Column, p: Column, q: Column | int, phi: Column | float) -> Column:
-    """struct(t, level, trend) of the ATA recursion with weights p / t and q / t."""
-    f = _number(phi)
-    q = q if isinstance(q, Column) else F.lit(q)
-
-    def step(s: Column, y: Column) -> Column:
-        t = s["t"] + 1
-        a = F.when(t > p, p / t).otherwise(F.lit(1.0))
-        b = F.when(t > q, q / t).otherwise(F.lit(1.0))
-        level = a * y + (1 - a) * (s["level"] + f * s["trend"])
-        return F.struct(t.alias("t"), level.alias("level"), (b * (level - s["level"]) + (1 - b) * f * s["trend"]).alias("trend"))
-
-    start = F.struct(F.lit(1.0).alias("t"), F.get(ys, F.lit(0)).alias("level"), F.lit(0.0).alias("trend"))
-    return F.aggregate(F.slice(ys, 2, F.greatest(F.size(ys) - 1, F.lit(0))), start, step)
-
-
 def deviations(ys: Column) -> Column:
     """The values less their mean."""
     return let(mean_of(ys), lambda mean: F.transform(ys, lambda y: y - mean))

@@ -175,19 +175,6 @@ def ses_optimised(y: np.ndarray, h: int) -> np.ndarray:
     return np.repeat(run(golden(lambda a: run(a)[0], 0.0, 1.0))[1], h)
 
 
-def boxcox_lambda(y: np.ndarray, m: int) -> float:
-    """Guerrero's power: the least variation of sd / mean**(1 - power) over stretches of one period."""
-    k = max(2, m)
-    blocks = y[len(y) % k :].reshape(-1, k)
-    mean, sd = blocks.mean(1), blocks.std(1, ddof=1)
-
-    def spread(p: float) -> float:
-        r = sd / np.maximum(mean, 1e-12) ** (1 - p)
-        return float(r.std(ddof=1) / max(r.mean(), 1e-12)) if len(r) > 1 else 0.0
-
-    return golden(spread, 0.0, 1.0)
-
-
 def loess(y: np.ndarray, span: float = 0.75) -> np.ndarray:
     """A local linear fit with tricube weights at every point."""
     n = len(y)

@@ -173,7 +173,8 @@ def ata_ahead(model: Column, h: int, product: bool = False) -> Column:
 def dynamic_run(ys: Column, h: int, theta: Column, alpha: Column) -> Column:
     """struct(sse, f) of the dynamic theta model (Fiorucci et al. 2016): squared one-step errors from the third value on, and h forecasts.
 
-    The level starts at the first value; beyond the last value each forecast stands for the value.
+    The level starts at the first value over theta, which keeps a constant series; beyond the last value each forecast
+    stands for the value.
     """
     n = F.size(ys)
 
@@ -191,5 +192,5 @@ def dynamic_run(ys: Column, h: int, theta: Column, alpha: Column) -> Column:
         )
 
     zero = F.lit(0.0)
-    start = F.struct(F.get(ys, F.lit(0)).alias("level"), zero.alias("a"), zero.alias("b"), zero.alias("mean"), zero.alias("sse"), F.array().cast("array<double>").alias("f"))
+    start = F.struct((F.get(ys, F.lit(0)) / theta).alias("level"), zero.alias("a"), zero.alias("b"), zero.alias("mean"), zero.alias("sse"), F.array().cast("array<double>").alias("f"))
     return F.aggregate(F.sequence(F.lit(1), n + h), start, step)

@@ -183,7 +183,7 @@ _DOTM = [(t, a) for t in (1.0, 1.5, 2.0, 3.0, 5.0) for a in T.ALPHAS]
 @query(
     "dotm",
     f"""WITH RECURSIVE {obs_sql(MAIN)}, al AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM obs), tr AS (SELECT series_id, t, y, n - 18 AS n FROM al WHERE t <= n - 18),
-rc(series_id, theta, alpha, t, n, l, a, b, m, f, sse) AS (SELECT r.series_id, g.theta, g.alpha, 0::BIGINT, r.n, r.y, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tr r, (VALUES {", ".join(f"({t}::DOUBLE, {a}::DOUBLE)" for t, a in _DOTM)}) g(theta, alpha) WHERE r.t = 1
+rc(series_id, theta, alpha, t, n, l, a, b, m, f, sse) AS (SELECT r.series_id, g.theta, g.alpha, 0::BIGINT, r.n, r.y / g.theta, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tr r, (VALUES {", ".join(f"({t}::DOUBLE, {a}::DOUBLE)" for t, a in _DOTM)}) g(theta, alpha) WHERE r.t = 1
 UNION ALL SELECT series_id, theta, alpha, k, n, alpha * y + (1 - alpha) * l, m2 - (k + 1) / 2.0 * b2, b2, m2, mu, sse + CASE WHEN k BETWEEN 3 AND n THEN (y - mu) * (y - mu) ELSE 0 END FROM
 (SELECT *, CASE WHEN k > 1 THEN 1.0::DOUBLE / (k + 1) * ((k - 2) * b + 6.0 / k * (y - m)) ELSE 0 END AS b2, 1.0::DOUBLE / k * ((k - 1) * m + y) AS m2 FROM
 (SELECT *, coalesce(y0, mu) AS y FROM (SELECT r.*, r.t + 1 AS k, o.y AS y0, r.l + (1 - 1 / r.theta) * (pow(1 - r.alpha, r.t) * r.a + (1 - pow(1 - r.alpha, r.t + 1)) / r.alpha * r.b) AS mu FROM rc r LEFT JOIN tr o ON o.series_id = r.series_id AND o.t = r.t + 1 WHERE r.t < r.n + 18)))),

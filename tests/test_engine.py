@@ -16,7 +16,9 @@ from foresail import registry
 from foresail.functions import recursions as R
 from foresail.operators import evaluation as E
 from foresail.operators import models as M
-from foresail.operators import numeric, preparation, seasonal
+from foresail.operators import numeric, preparation, resampling, seasonal, smoothing
+from foresail.operators import theta as T
+from foresail.plans import combining, details, selecting, structure
 from foresail.sources import files
 from foresail.sources.series import fill_gaps, packed, scaled, split
 
@@ -50,7 +52,10 @@ def test_query_equals_its_sql(spark, duck, name):
     assert _rows(found.collect(), names) == _rows([dict(zip(names, (r[p] for p in places), strict=True)) for r in expected.fetchall()], names)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+FITTED = {*numeric.MODELS, *combining.RECIPES}
+
+
+@pytest.mark.parametrize("name", sorted(FITTED))
 def test_fitted_models_give_whole_horizons(spark, name):
     rows = registry.QUERIES[name](spark, SF).collect()
     assert len(rows) == 5 * 18 and all(math.isfinite(r["mean"]) for r in rows)
@@ -124,6 +129,118 @@ def test_zero_errors_and_zero_scales_are_null(spark):
     assert rows.smape is None and rows.mase is None
 
 
+def test_queries_without_sql_are_few_and_give_rows(spark):
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) - FITTED == {"src_synthetic_linear", "src_synthetic_uniform", "prep_shuffle", "sample_rows", "hybrid_theta_seasonal"}
+    line = registry.QUERIES["src_synthetic_linear"](spark, SF).toPandas()
+    assert len(line) == 2000 and abs((line.y - 2 - 0.15 * line.t).mean()) < 0.1
+    uniform = registry.QUERIES["src_synthetic_uniform"](spark, SF).toPandas()
+    rest = uniform.y - 10 * uniform.series_id.str[1:].astype(int)
+    assert len(uniform) == 2000 and rest.between(0, 100).all() and (rest % 1 == 0).all()
+    shuffled = registry.QUERIES["prep_shuffle"](spark, SF).toPandas()
+    assert sorted(shuffled.place) == list(range(1, len(shuffled) + 1)) and not shuffled.sort_values("place").t.is_monotonic_increasing
+    assert registry.QUERIES["sample_rows"](spark, SF).count() < len(shuffled) / 3
+    rows = registry.QUERIES["hybrid_theta_seasonal"](spark, SF).collect()
+    assert len(rows) == 90 and all(math.isfinite(r["mean"]) for r in rows)
+
+
+def value_of(spark, ys, column):
+    return packed(obs(spark, a=ys)).withColumn("train", F.col("ys")).select(column.alias("x")).head().x
+
+
+def test_prepared_series_are_those_of_the_decomposition(spark):
+    ys = [x * (1 + 0.02 * k) for k, x in enumerate([1.0, 2.0, 3.0, 4.0, 2.0, 6.0, 1.5] * 8)]
+    table = obs(spark, a=ys, b=ys[:30])
+    train = table.where("series_id = 'a' and t <= 49 or series_id = 'b' and t <= 23")
+    index = {(r.series_id, r.phase): r["index"] for r in seasonal.classical(train, 7).select("series_id", "phase", "index").distinct().collect()}
+    flags = {r.series_id: r.is_seasonal for r in seasonal.seasonality_test(packed(train), 7).collect()}
+    for r in M.prepare(table, 7, 7).collect():
+        assert r.is_seasonal == flags[r.series_id]
+        if r.is_seasonal:
+            assert r.out == pytest.approx([index[r.series_id, (r.n + k) % 7] for k in range(7)])
+            assert r.des == pytest.approx([y / index[r.series_id, t % 7] for t, y in enumerate(r.train)])
+    assert flags["a"]
+
+
+def test_theta_variants_on_lines_and_curves(spark):
+    splits = lambda ys: split(packed(obs(spark, a=ys)), 4)
+    straight, bent = [2 + 3.0 * t for t in range(1, 25)], [1.1**t for t in range(1, 25)]
+    for ys, curve in ((straight, "Lrl"), (bent, "Exp")):
+        best = T.four_theta(splits(ys), 1, 4).head()
+        assert best.curve == curve and best.theta == 3.0  # of its theta line a third counts, the rest is the curve, which is exact
+        assert best.f == pytest.approx(ys[-4:], rel=0.15)
+    flat = T.four_theta(splits([5.0] * 24), 1, 4).head()
+    assert flat.f == pytest.approx([5] * 4) and flat.mae == pytest.approx(0, abs=1e-9)
+    negative = T.four_theta(splits([-y for y in straight]), 1, 4).head()
+    assert negative.f == [0.0] * 4 and negative.curve == "Lrl"
+    assert T.four_theta(splits([1.0, 2.0, 1.0]), 1, 4).count() == 0
+
+
+def test_ata_and_dynamic_theta(spark):
+    five = [5.0] * 12
+    for product in (False, True):
+        for fixed in (False, True):
+            model = T.ata(F.col("ys"), (0.8, 1.0), product, fixed)
+            assert value_of(spark, five, T.ata_ahead(model, 3, product)) == pytest.approx([5] * 3)
+    assert value_of(spark, [1.0, -1.0, 2.0], T.ata_ahead(T.ata(F.col("ys"), (1.0,), True), 3, True)) is None
+    assert value_of(spark, five, T.dynamic_run(F.col("ys"), 3, F.lit(2.0), F.lit(0.3))["f"]) == pytest.approx([5] * 3)
+
+
+def test_loess_settling_and_lags(spark):
+    line = [2 + 3.0 * t for t in range(20)]
+    assert value_of(spark, line, smoothing.loess(F.col("ys"), 0.4)) == pytest.approx(line)
+    mixed = [float(x) for x in np.random.default_rng(3).uniform(1, 9, 25)]
+    assert value_of(spark, mixed, smoothing.loess(F.col("ys"), 0.4)) == pytest.approx(numeric.loess(np.array(mixed), 0.4))
+    rough = [100.0, 100.0, 130.0, 100.0, 100.0]
+    calm = value_of(spark, rough, smoothing.settle(F.col("ys"), F.lit(100.0), F.lit(100.0)))
+    x = [100.0, *calm, 100.0]
+    assert all(abs(300 * (x[i + 1] + x[i - 1] - 2 * x[i]) / (x[i - 1] + x[i] + x[i + 1])) < 1 for i in range(1, 6))
+    ys = [1.0, 2.0, 4.0]
+    for _ in range(20):
+        ys.append(0.5 + 0.4 * ys[-1] - 0.3 * ys[-2] + 0.2 * ys[-3])
+    a = value_of(spark, ys, smoothing.linear_lags(F.col("ys")))
+    assert (a.c, a.a1, a.a2, a.a3) == pytest.approx((0.5, 0.4, -0.3, 0.2), rel=1e-6)
+    assert value_of(spark, ys[:3], smoothing.fed_back(F.col("ys"), smoothing.linear_lags(F.col("ys")), 4)) is None
+    assert value_of(spark, [3.0] * 9, smoothing.complex_run(F.col("ys"), 2, F.lit(1.0), F.lit(1.0))["f"]) == pytest.approx([3, 3])
+
+
+def test_copies_clusters_and_tails(spark):
+    ys = [float(x) for x in np.random.default_rng(4).uniform(1, 9, 30)]
+    copies = value_of(spark, ys, resampling.block_copies(F.col("ys"), 7, 6))
+    t = np.arange(1, 31)
+    line = np.polyval(np.polyfit(t, ys, 1), t)
+    rest = np.array(ys) - line
+    assert len({tuple(c) for c in copies}) > 3
+    for c in copies:
+        own = np.array(c) - line
+        assert all(min(abs(rest - e)) < 1e-9 for e in own)
+    two = [[0.0, 0.0]] * 3 + [[9.0, 9.0]] * 3
+    groups = spark.createDataFrame([(two,)], "c array<array<double>>").withColumn("d", resampling.distances(F.col("c"))).withColumn("b", resampling.best_medoids(F.col("d"), 2, 6))
+    r = groups.withColumn("own", resampling.nearest(F.col("d"), F.col("b.set"))).select("own", resampling.silhouette(F.col("d"), F.col("own")).alias("w")).head()
+    assert len(set(r.own[:3])) == len(set(r.own[3:])) == 1 and r.w == pytest.approx(1)
+    tail = lambda x, k: spark.range(1).select(resampling.chi_square_tail(F.lit(x), F.lit(k), 10).alias("p")).head().p
+    assert (tail(3.841459, 1), tail(5.991465, 2), tail(18.307038, 10)) == pytest.approx((0.05,) * 3, abs=1e-6)
+
+
+def test_hierarchies_bounds_and_lookups(spark):
+    ys = [1.0, 2.0, 3.0, 4.0] * 10
+    assert value_of(spark, ys, structure.thief(F.col("ys"), 4, 6, "snaive")) == pytest.approx([1, 2, 3, 4, 1, 2])
+    assert value_of(spark, [5.0] * 40, structure.thief(F.col("ys"), 4, 6, "ses")) == pytest.approx([5] * 6)
+    up = value_of(spark, [1.0, 3.0, 9.0, 27.0], details.tame_upper(F.col("ys"), F.lit(2)))
+    assert up == pytest.approx([2, 2.05, 2.1, 2.15])
+    assert value_of(spark, [1.0, 3.0, 9.0, 27.0], details.tame_upper(F.col("ys"), F.lit(1))) == [1, 3, 9, 27]
+    for v, q in ((5, 2.5706), (10, 2.2281), (28, 2.0484), (100, 1.984)):
+        assert spark.range(1).select(selecting.t_quantile(F.lit(float(v))).alias("q")).head().q == pytest.approx(q, abs=2e-3)
+    origins = lambda n, h: spark.range(1).select(selecting.block_origins(F.lit(n).cast("long"), h).alias("o")).head().o
+    assert origins(200, 10) == list(range(100, 200, 10)) and origins(60, 6) == list(range(48, 55))
+
+
+def test_places_need_no_single_task(spark):
+    df = spark.range(1000).withColumn("k", F.xxhash64("id")).repartition(7)
+    rows = files.placed(df, ["k"], "places").orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1, 1001)) and [r.k for r in rows] == sorted(r.k for r in rows)
+    assert files.placed(df.limit(0), ["k"], "places").count() == 0
+
+
 def test_the_order_of_rows_does_not_matter(spark):
     table = obs(spark, a=range(1, 40), b=[3, 1, 2] * 13)
     mixed = table.orderBy(F.rand(1)).repartition(3)
