@@ -56,8 +56,9 @@ NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
 def value_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
     """The values of a string column at which its rows are cut into `cells` runs of nearly equal counts.
 
-    Whole values are compared.  Each distinct value is sorted once, with its count; what the driver gets is a count
-    for each range of values, and at most `cells` - 1 values.
+    Whole values are compared.  A value stands as often as there are cuts among its rows, so that few values still
+    span all cells.  Each distinct value is sorted once, with its count; what the driver gets is a count for each
+    range of values, and at most `cells` - 1 values.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -81,11 +82,12 @@ def value_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
         for batch in batches:
             end = batch.column("ends").to_numpy() + before[np.searchsorted(seen, batch.column("part").to_numpy())]
             start = end - batch.column("n").to_numpy()
-            cut = (start * cells // total < end * cells // total) & (end < total)
-            yield pa.RecordBatch.from_pydict({"value": batch.column("value").filter(pa.array(cut))})
+            times = np.minimum(end * cells // total, cells - 1) - start * cells // total
+            kept = np.flatnonzero(times > 0)
+            yield pa.RecordBatch.from_pydict({"value": batch.column("value").take(pa.array(kept)), "times": pa.array(times[kept])})
 
-    found = held.select("value", "n", "ends", "part").mapInArrow(crossed, "value string").collect() if total else []
-    return sorted((r.value for r in found), key=str.encode)
+    found = held.select("value", "n", "ends", "part").mapInArrow(crossed, "value string, times long").collect() if total else []
+    return sorted((r.value for r in found for _ in range(r.times)), key=str.encode)
 
 
 def hilbert_keys(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
@@ -105,7 +107,7 @@ def hilbert_keys(df: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     numbers = [f"__d{i}" for i in range(len(dims)) if not exact[i]]
     cuts_at = [i / cells for i in range(1, cells)]
     found = held.agg(F.lit(0).alias("none"), *[F.percentile_approx(c, cuts_at, 1000).alias(c) for c in numbers]).head()
-    cuts = [value_cuts(held, f"__d{i}", cells) if exact[i] else sorted(set(found[f"__d{i}"] or ())) for i in range(len(dims))]
+    cuts = [value_cuts(held, f"__d{i}", cells) if exact[i] else sorted(found[f"__d{i}"] or ()) for i in range(len(dims))]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -196,6 +196,9 @@ def test_shards_tell_long_strings_apart(spark):
     source = made.doc_id % 50
     assert made.groupby(source).shard.nunique().max() <= 4  # of 16 shards, a reader of one source opens four at most
     assert hilbert.value_cuts(df.limit(0), "source", 32) == []
+    few = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(400)], "id long, lang string")
+    assert hilbert.value_cuts(few, "lang", 32) == [*"a" * 8, *"b" * 8, *"c" * 8, *"d" * 7]  # four values span all cells
+    assert hilbert.value_cuts(few.where("lang = 'b'"), "lang", 32) == ["b"] * 31
 
 
 def test_equal_rows_lie_in_several_ranges_and_columns_are_those_of_the_text(spark):
