@@ -215,7 +215,8 @@ def test_equal_rows_lie_in_several_ranges_and_columns_are_those_of_the_text(spar
 
 
 def test_labels_without_a_short_text_take_no_place(spark):
-    docs = [(i, " ".join(f"w{(i * 7 + k) % 97}" for k in range(30)) + (" vilescum" if i % 2 else "")) for i in range(200)]
+    rng = random.Random(2)
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(30)) + (" vilescum" if i % 2 else "")) for i in range(200)]
     docs += [(1000 + i, "long " * 20_000) for i in range(30)]
     labels = [(i, i % 2) for i in range(200)] + [(1000 + i, 1) for i in range(30)] + [(5000 + i, i % 2) for i in range(500)] + [(0, 1)]
     model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), rows=20)
