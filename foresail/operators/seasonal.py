@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.recursions import acf, deviations
+from ..functions.recursions import acf, deviations, let
 from .preparation import by_series, ordered
 
 #: One-sided 95 % normal quantile of the test.
@@ -44,8 +44,9 @@ def ma3x3(obs: DataFrame, column: str = "y") -> DataFrame:
 def autocorrelations(packs: DataFrame, most: int | None = None) -> DataFrame:
     """(series_id, lag, r) for lags 1 .. min(n - 1, floor(10 log10 n)), or up to `most`."""
     top = F.least(F.col("n") - 1, F.floor(10 * F.log10(F.col("n")))) if most is None else F.least(F.col("n") - 1, F.lit(most))
-    lagged = packs.where(F.col("n") > 1).withColumn("dev", deviations(F.col("ys"))).withColumn("lag", F.explode(F.sequence(F.lit(1), top.cast("int"))))
-    return lagged.select("series_id", "n", F.col("lag").cast("long").alias("lag"), acf(F.col("dev"), F.col("lag")).alias("r"))
+    each = lambda dev: F.transform(F.sequence(F.lit(1), top.cast("int")), lambda k: F.struct(k.cast("long").alias("lag"), acf(dev, k).alias("r")))
+    # folded on the row of the series: what is exploded are numbers, not copies of the series
+    return packs.where(F.col("n") > 1).select("series_id", "n", F.explode(let(deviations(F.col("ys")), each)).alias("x")).select("series_id", "n", "x.lag", "x.r")
 
 
 def seasonality_test(packs: DataFrame, m: int, critical: float = CRITICAL, squared_first: bool = True, default_lags: bool = True) -> DataFrame:
