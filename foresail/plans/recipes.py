@@ -45,27 +45,47 @@ def _(spark, d):
     return made.select("series_id", F.posexplode("f").alias("i", "f")).select("series_id", (F.col("i") + 1).cast("long").alias("t"), r6("f").alias("trend"))
 
 
-@query(
-    "stl_loess",
-    f"""WITH {obs_sql('D_event')}, al AS (SELECT series_id, t, y, count(*) {_B} AS n FROM obs), {_loess_sql('al', 'y', 'l1')}, d1 AS (SELECT a.*, a.y - l.f AS r FROM al a JOIN l1 l ON l.series_id = a.series_id AND l.t = a.t),
+#: Tables d2: (series_id, t, n, y, trend), and q2: (series_id, phase, s), of the decomposition below.
+_STL = f"""WITH RECURSIVE {obs_sql('D_event')}, al AS (SELECT series_id, t, y, count(*) {_B} AS n FROM obs), {_loess_sql('al', 'y', 'l1')}, d1 AS (SELECT a.*, a.y - l.f AS r FROM al a JOIN l1 l ON l.series_id = a.series_id AND l.t = a.t),
 p1 AS (SELECT series_id, (t - 1) % 7 AS phase, avg(r) AS p FROM d1 GROUP BY 1, 2), s1 AS (SELECT a.*, a.y - (p.p - q.p) AS z FROM al a JOIN p1 p ON p.series_id = a.series_id AND p.phase = (a.t - 1) % 7 JOIN (SELECT series_id, avg(p) AS p FROM p1 GROUP BY 1) q ON q.series_id = a.series_id),
-{_loess_sql('s1', 'z', 'l2')}, d2 AS (SELECT a.*, l.f AS trend, a.y - l.f AS r FROM al a JOIN l2 l ON l.series_id = a.series_id AND l.t = a.t), p2 AS (SELECT series_id, (t - 1) % 7 AS phase, avg(r) AS p FROM d2 GROUP BY 1, 2), q2 AS (SELECT *, p - avg(p) {_B} AS s FROM p2)
-SELECT d.series_id, d.t, round(d.trend, 6) AS trend, round(q.s, 6) AS seasonal, round(d.y - d.trend - q.s, 6) AS remainder FROM d2 d JOIN q2 q ON q.series_id = d.series_id AND q.phase = (d.t - 1) % 7""",
-)
-def _(spark, d):
-    """A periodic season and a local trend, taken out of each other twice."""
+{_loess_sql('s1', 'z', 'l2')}, d2 AS (SELECT a.*, l.f AS trend, a.y - l.f AS r FROM al a JOIN l2 l ON l.series_id = a.series_id AND l.t = a.t), p2 AS (SELECT series_id, (t - 1) % 7 AS phase, avg(r) AS p FROM d2 GROUP BY 1, 2), q2 AS (SELECT *, p - avg(p) {_B} AS s FROM p2)"""
+
+
+def decomposed(packs: DataFrame, m: int, span: float = _SPAN) -> DataFrame:
+    """Adds trend, a value for each point, and s, one for each phase: a periodic season and a local trend, taken out of each other twice."""
     def season(rest: Column) -> Column:
-        means = R.let(rest, lambda r: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda p: R.mean_of(F.transform(F.sequence(p, F.size(r) - 1, F.lit(7)), lambda j: F.get(r, j)))))
+        means = R.let(rest, lambda r: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda p: R.mean_of(F.transform(F.sequence(p, F.size(r) - 1, F.lit(m)), lambda j: F.get(r, j)))))
         return R.let(means, lambda x: R.let(R.mean_of(x), lambda level: F.transform(x, lambda v: v - level)))
 
-    own = packed(series(spark, d, "D_event"))
     less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
-    own = own.withColumn("trend", L.loess(F.col("ys"), _SPAN)).withColumn("s", season(less("ys", "trend")))
-    own = own.withColumn("trend", L.loess(F.transform("ys", lambda y, i: y - F.get("s", i % 7)), _SPAN)).withColumn("s", season(less("ys", "trend")))
+    own = packs.withColumn("trend", L.loess(F.col("ys"), span)).withColumn("s", season(less("ys", "trend")))
+    clear = R.let(F.col("s"), lambda s: F.transform("ys", lambda y, i: y - F.get(s, i % m)))
+    return own.withColumn("trend", L.loess(clear, span)).withColumn("s", season(less("ys", "trend")))
+
+
+@query("stl_loess", _STL + " SELECT d.series_id, d.t, round(d.trend, 6) AS trend, round(q.s, 6) AS seasonal, round(d.y - d.trend - q.s, 6) AS remainder FROM d2 d JOIN q2 q ON q.series_id = d.series_id AND q.phase = (d.t - 1) % 7")
+def _(spark, d):
+    own = decomposed(packed(series(spark, d, "D_event")), 7)
     rows = own.select("series_id", "s", F.posexplode(F.arrays_zip("ys", "trend")).alias("i", "x")).withColumn("seasonal", F.get("s", F.col("i") % 7))
     return rows.select("series_id", (F.col("i") + 1).cast("long").alias("t"), r6("x.trend").alias("trend"), r6("seasonal").alias("seasonal"), r6(F.col("x.ys") - F.col("x.trend") - F.col("seasonal")).alias("remainder"))
 
 
+@query(
+    "stl_forecast",
+    _STL + """, ad AS (SELECT d.series_id, d.t, d.n, d.y - q.s AS z FROM d2 d JOIN q2 q ON q.series_id = d.series_id AND q.phase = (d.t - 1) % 7), rc(series_id, t, n, l) AS (SELECT series_id, t, n, z FROM ad WHERE t = 1 UNION ALL SELECT r.series_id, a.t, a.n, 0.3 * a.z + 0.7 * r.l FROM rc r JOIN ad a ON a.series_id = r.series_id AND a.t = r.t + 1)
+SELECT r.series_id, CAST(s.step AS BIGINT) AS step, round(r.l + q.s, 6) AS mean FROM rc r JOIN (SELECT unnest(range(1, 8)) AS step) s ON true JOIN q2 q ON q.series_id = r.series_id AND q.phase = (r.n + s.step - 1) % 7 WHERE r.t = r.n""",
+)
+def _(spark, d):
+    """The series without its season is smoothed with level weight 0.3, and the season put back."""
+    own = decomposed(packed(series(spark, d, "D_event")), 7)
+
+    def ahead(s: Column) -> Column:
+        level = R.ses_level(F.transform("ys", lambda y, i: y - F.get(s, i % 7)), 0.3)
+        return R.let(level, lambda v: F.transform(M.steps_of(7), lambda k: v + F.get(s, ((F.col("n") + k - 1) % 7).cast("int"))))
+
+    return _steps(own.withColumn("f", R.let(F.col("s"), ahead)))
+
+
 _CES = [(a, b) for a in (0.8, 1.0, 1.2, 1.4) for b in (0.9, 1.0, 1.1)]
 
 

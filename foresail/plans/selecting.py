@@ -69,6 +69,16 @@ def _(spark, d):
     return _members(spark, d).groupBy("series_id", "step").agg(at(F.col("mean")).alias("mean"), at(F.col("mean") - half).alias("lower"), at(F.col("mean") + half).alias("upper"))
 
 
+@query("thetaf", oracle(_MEMBERS_SQL + f" SELECT f.series_id, CAST(f.step AS BIGINT) AS step, round(f.f, 6) AS mean, round(f.f - {_Z} * i.wide, 6) AS lower, round(f.f + {_Z} * i.wide, 6) AS upper FROM fc f JOIN iv i ON i.series_id = f.series_id AND i.step = f.step WHERE f.model = 'theta' AND i.alpha = 0.3"))
+def _(spark, d):
+    """The theta method with its own seasonal adjustment, and the interval of the smoothing in it."""
+    prepared = M.prepare(series(spark, d, MAIN), SPECS[MAIN].m, _H)
+    point = M.forecasts(prepared, {"theta": M.benchmark_models(SPECS[MAIN].m, _H)["theta"]}).select("series_id", "step", F.col("mean").alias("f"))
+    rows = point.join(members(prepared, _H).where("alpha = 0.3").select("series_id", "step", "wide"), ["series_id", "step"])
+    half = _Z * F.col("wide")
+    return rows.select("series_id", "step", r6("f").alias("mean"), r6(F.col("f") - half).alias("lower"), r6(F.col("f") + half).alias("upper"))
+
+
 #: Normal quantiles of the levels 0.01 .. 0.99.
 _Q99 = [round(NormalDist().inv_cdf(k / 100), 9) for k in range(1, 100)]
 
