@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hilbert, media, ngram_join, packing, pii, quality, toxicity, warc
+from . import bpe, chat, hilbert, media, ngram_join, packing, periodic, pii, quality, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_table(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_warc_derivatives,
         op9_hilbert_shards,
         op10_compression_toxicity,
+        op11_periodic_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op8_warc_derivatives": warc.oracle()}
