@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hilbert, media, ngram_join, packing, periodic, pii, quality, spelling, toxicity, warc
+from . import bpe, chat, hilbert, kneser, media, ngram_join, packing, periodic, pii, quality, spelling, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(_read(spark, sf_dir, "documents"))
 
 
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.score_table(_read(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_table(_read(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_hilbert_shards,
         op10_compression_toxicity,
         op11_periodic_runs,
+        op12_kneser_ney,
         op13_spelling_variants,
     )
 }
