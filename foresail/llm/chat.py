@@ -45,12 +45,21 @@ def unescape_role(text: str) -> str:
 
 @dataclass
 class Flattened:
-    """What a visitor makes of the parts of one turn."""
+    """What a visitor makes of the parts of one turn.
+
+    Texts that follow each other are escaped as one, so that no control string can begin in one and end in another.
+    """
 
     body: list[str] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     expanded: int = 0
 
+    def end_text(self) -> None:
+        if self.texts:
+            self.body.append(escape("".join(self.texts)))
+            self.texts.clear()
+
 
 class PartVisitor:
     """Visits the parts of a turn in order.  The sizes say how many tokens an attachment becomes in a model.
@@ -66,10 +75,11 @@ class PartVisitor:
         for part in parts or ():
             if part is not None:
                 getattr(self, f"visit_{part.get('type')}", self.visit_text)(part, out)
+        out.end_text()
         return out
 
     def visit_text(self, part: dict, out: Flattened) -> None:
-        out.body.append(escape(part.get("text") or ""))
+        out.texts.append(part.get("text") or "")
 
     def visit_image(self, part: dict, out: Flattened) -> None:
         across, down = (max(1, -(-(part.get(k) or 0) // self.patch)) for k in ("width", "height"))
@@ -85,6 +95,7 @@ class PartVisitor:
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
         out.attachments.append({"kind": kind, "ref": part.get("ref"), "position": len(out.attachments), "tokens": tokens})
+        out.end_text()
         out.body.append(f"<|{kind}:{len(out.attachments) - 1}|>")
         out.expanded += tokens
 
