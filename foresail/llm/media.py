@@ -121,9 +121,13 @@ def chunk_refs(lists: DataFrame) -> DataFrame:
 def train_dictionary(docs: DataFrame) -> bytes:
     """A zstandard dictionary for the texts of docs, from a bounded sample; empty if there is too little text.
 
-    It only makes packs smaller: what they hold does not depend on it.
+    It makes packs smaller.  As their bytes depend on it, the sample is the texts of least hashed keys of the whole
+    table, in that order: the same for any order and partitioning of the rows.
     """
-    heads = docs.select(F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("x")).where(F.octet_length("x") > 64).limit(SAMPLE_TEXTS).collect()
+    head = F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES)
+    long = docs.where(F.octet_length(F.col("text").cast("binary")) > 64).select(F.xxhash64("key").alias("h"), "key")
+    drawn = long.distinct().orderBy("h", "key").limit(SAMPLE_TEXTS)  # each task keeps as many at most
+    heads = docs.join(F.broadcast(drawn), "key").select("h", "key", head.alias("x")).distinct().orderBy("h", "key").collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.x) for r in heads]).as_bytes()
     except (zstandard.ZstdError, ValueError):
