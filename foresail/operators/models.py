@@ -77,7 +77,7 @@ def prepare(obs: DataFrame, m: int, h: int, test: bool = True, critical: float =
         return F.struct(F.when(on, des).otherwise(F.col("train")).alias("des"), F.when(on, out).otherwise(ones).alias("out"), on.alias("on"))
 
     made = base.withColumn("p", R.let(known, parts))
-    return made.select("series_id", "n", "train", "test", F.col("p.des").alias("des"), F.col("p.out").alias("out"), F.col("p.on").alias("is_seasonal"))
+    return made.select("series_id", "n", "train", "test", F.col("p.des").alias("des"), F.col("p.out").alias("out"), F.col("p.on").alias("is_seasonal"), *[c for c in base.columns if c == "unit"])
 
 
 def line_of(ys: Column) -> Column:
@@ -154,9 +154,9 @@ def bunch_line(ys: Column, h: int, most: int | None = None) -> Column:
 
 
 def forecasts(prepared: DataFrame, models: dict[str, Column]) -> DataFrame:
-    """(series_id, model, step, mean, actual): the given array columns, one row for each step; and scale, if series have it."""
+    """(series_id, model, step, mean, actual): the given array columns, one row for each step; and scale and unit, if series have them."""
     named = F.array(*[F.struct(F.lit(k).alias("model"), v.alias("f")) for k, v in models.items()])
-    kept = [c for c in ("scale",) if c in prepared.columns]
+    kept = [c for c in ("scale", "unit") if c in prepared.columns]
     rows = prepared.select("series_id", "test", *kept, F.explode(named).alias("m")).select("series_id", "m.model", "test", *kept, F.posexplode("m.f").alias("i", "mean"))
     return rows.select("series_id", "model", (F.col("i") + 1).cast("long").alias("step"), "mean", F.get("test", F.col("i")).alias("actual"), *kept)
 

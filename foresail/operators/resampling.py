@@ -78,15 +78,23 @@ def silhouette(d: Column, own: Column) -> Column:
     return R.mean_of(F.transform(d, width))
 
 
-def chi_square_tail(x: Column, degrees: Column, most: int, terms: int = 200) -> Column:
-    """The chance that a chi-square value with `degrees`, at most `most`, is over x: one less the series of the incomplete gamma function."""
-    half = x / 2
-    gammas = F.array(*[F.lit(math.gamma(k / 2 + 1)) for k in range(1, most + 1)])
-    a = degrees / 2.0
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
-
-    def step(s: Column, k: Column) -> Column:
+def chi_square_tail(x: Column, degrees: Column, most: int) -> Column:
+    """The chance that a chi-square value with `degrees`, at most `most`, is over x.
+
+    One less the series of the incomplete gamma function where x is small, where all its terms fall; the continued
+    fraction of the upper one, from its far end, where x is large.  Both need some sqrt(degrees) steps.
+    """
+    half, a = x / 2, degrees / 2.0
+    log_gammas = F.array(*[F.lit(math.lgamma(k / 2)) for k in range(1, most + 1)])
+    steps = F.sequence(F.lit(1), F.lit(60 + 8 * math.isqrt(most)))
+
+    def term(s: Column, k: Column) -> Column:
         return R.let(s["term"] * half / (a + k), lambda v: F.struct(v.alias("term"), (s["sum"] + v).alias("sum")))
 
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["sum"]
-    return 1 - F.exp(-half) * F.pow(half, a) / F.get(gammas, degrees - 1) * total
+    def whole(front: Column) -> Column:
+        series = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), term)["sum"]
+        last = F.size(steps)
+        fraction = F.aggregate(F.reverse(steps), half + 2 * last + 1 - a, lambda f, k: half + 2 * k - 1 - a - k * (k - a) / f)
+        return F.when(x <= 0, 1.0).when(half < a + 1, 1 - front * series / a).otherwise(front / fraction)
+
+    return R.let(F.exp(a * F.ln(F.when(x > 0, half)) - half - F.get(log_gammas, degrees - 1)), whole)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import recursions as R
+from ..sources.files import scratch
 
 
 def loess(ys: Column, span: float) -> Column:
@@ -49,12 +52,34 @@ def local_variation(x: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(x) - 2), lambda i: R.let(F.get(x, i + 1) + F.get(x, i - 1), lambda around: F.coalesce(F.abs(F.try_divide(300 * (around - 2 * F.get(x, i)), around + F.get(x, i))), F.lit(0.0))))
 
 
-def settle(ys: Column, back: Column, ahead: Column, limit: float = 1.0, rounds: int = 500) -> Column:
-    """The series with its roughest point moved half way to the mean of its neighbours, until none varies by `limit`.
+def settle(rows: DataFrame, ys: Column, back: Column, ahead: Column, name: str, limit: float = 1.0, moves: int = 256, most: int = 400) -> DataFrame:
+    """rows with `name`: the series with its roughest point moved half way to the mean of its neighbours, until none varies by `limit`.
 
-    `back` and `ahead` stand before and behind the series.  After `rounds` moves the series is taken as it is.  Of
-    equals the first point moves.  Values that are not positive become 1.
+    `back` and `ahead` stand before and behind the series.  Of equals the first point moves.  Values that are not
+    positive become 1.  Rows are written after each `moves`, and only those with a point over the limit go on; what is
+    rough after `most` times as many moves does not settle and is null.
     """
+    todo, done = rows.withColumn(name, F.concat(F.array(back), ys, F.array(ahead))), []
+    for _ in range(most):
+        made, path = todo.withColumn(name, _moved(F.col(name), limit, moves)), scratch(rows.sparkSession, "settling")
+        made.withColumn("__rough", F.array_max(_variation(F.col(name))) >= limit).write.parquet(path)
+        held = rows.sparkSession.read.parquet(path)
+        done.append(held.where("not coalesce(__rough, false)").drop("__rough"))
+        todo = held.where("__rough").drop("__rough")
+        if todo.isEmpty():
+            break
+    else:
+        done.append(todo.withColumn(name, F.lit(None).cast("array<double>")))
+    settled = reduce(DataFrame.unionByName, done)
+    positive = R.let(F.col(name), lambda x: F.transform(F.slice(x, 2, F.size(x) - 2), lambda y: F.when(y <= 0, 1.0).otherwise(y)))
+    return settled.withColumn(name, F.when(F.col(name).isNotNull(), positive))
+
+
+def _variation(x: Column) -> Column:
+    return F.transform(local_variation(x), lambda v: F.round(v, 9))
+
+
+def _moved(xs: Column, limit: float, moves: int) -> Column:
     def move(x: Column, _: Column) -> Column:
         def worst(v: Column) -> Column:
             top = F.array_max(v)
@@ -62,10 +87,9 @@ def settle(ys: Column, back: Column, ahead: Column, limit: float = 1.0, rounds:
             half = F.transform(x, lambda y, k: F.when(k == i, (y + (F.get(x, i - 1) + F.get(x, i + 1)) / 2) / 2).otherwise(y))
             return F.when(top >= limit, half).otherwise(x)
 
-        return R.let(F.transform(local_variation(x), lambda v: F.round(v, 9)), worst)
+        return R.let(_variation(x), worst)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.concat(F.array(back), ys, F.array(ahead)), move)
-    return R.let(done, lambda x: F.transform(F.slice(x, 2, F.size(x) - 2), lambda y: F.when(y <= 0, 1.0).otherwise(y)))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(moves)), xs, move)
 
 
 def complex_run(ys: Column, h: int, a: Column, b: Column) -> Column:

@@ -14,7 +14,7 @@ from ..operators.preparation import ordered
 from ..registry import query
 from ..sources import files
 from ..sources.series import SPECS, obs_sql, packed, series, split
-from .forecasting import MAIN, benchmark, oracle
+from .forecasting import UNITS, MAIN, benchmark, oracle
 
 _B = "OVER (PARTITION BY series_id)"
 #: Horizon and seasonal length by the letter that an id begins with.
@@ -186,21 +186,23 @@ def _(spark, d):
     return E.combine(kept).select("series_id", "step", r6("mean").alias("mean"))
 
 
-@query("snk_three_files", oracle("SELECT f.series_id, CAST(f.step AS BIGINT) AS step, kind, round(CASE kind WHEN 'lower' THEN min(f.f) WHEN 'point' THEN median(f.f) ELSE max(f.f) END, 6) AS value FROM fc f, (VALUES ('lower'), ('point'), ('upper')) v(kind) GROUP BY 1, 2, 3"))
+@query("snk_three_files", oracle(UNITS + " SELECT f.series_id, CAST(f.step AS BIGINT) AS step, kind, round(CASE kind WHEN 'lower' THEN min(f.f * unit) WHEN 'point' THEN median(f.f * unit) ELSE max(f.f * unit) END, 4) AS value FROM fc f JOIN un u ON u.series_id = f.series_id, (VALUES ('lower'), ('point'), ('upper')) v(kind) GROUP BY 1, 2, 3"))
 def _(spark, d):
+    """Bounds and points in the unit of the facts, a folder each."""
     fc, _ = benchmark(spark, d)
     path = files.scratch(spark, "three-files")
+    fc = fc.withColumn("mean", F.col("mean") * F.col("unit"))
     bounds = fc.groupBy("series_id", "step").agg(F.min("mean").alias("lower"), F.median("mean").alias("point"), F.max("mean").alias("upper"))
     long = bounds.unpivot(["series_id", "step"], ["lower", "point", "upper"], "kind", "value")
-    long.select("series_id", "step", "kind", r6("value").alias("value")).write.partitionBy("kind").parquet(path)
+    long.select("series_id", "step", "kind", F.round("value", 4).alias("value")).write.partitionBy("kind").parquet(path)
     return spark.read.parquet(path).select("series_id", "step", "kind", "value")
 
 
-@query("snk_fc_long_export", f"WITH {obs_sql(MAIN)} SELECT series_id, year(ds) AS hist_year, month(ds) AS hist_period, CAST(12 AS BIGINT) AS ppy, round(y, 6) AS hist_value, 'segment' AS category FROM obs")
+@query("snk_fc_long_export", f"WITH {obs_sql(MAIN)} SELECT series_id, year(ds) AS hist_year, month(ds) AS hist_period, CAST(12 AS BIGINT) AS ppy, round(value, 4) AS hist_value, 'segment' AS category FROM obs")
 def _(spark, d):
     obs = series(spark, d, MAIN)
     path = files.scratch(spark, "long-export")
-    long = obs.select("series_id", F.year("ds").cast("long").alias("hist_year"), F.month("ds").cast("long").alias("hist_period"), F.lit(12).cast("long").alias("ppy"), r6("y").alias("hist_value"), F.lit("segment").alias("category"))
+    long = obs.select("series_id", F.year("ds").cast("long").alias("hist_year"), F.month("ds").cast("long").alias("hist_period"), F.lit(12).cast("long").alias("ppy"), F.round("value", 4).alias("hist_value"), F.lit("segment").alias("category"))
     long.write.option("header", True).csv(path)
     return spark.read.schema(long.schema).option("header", True).csv(path)
 

@@ -239,13 +239,21 @@ def _(spark, d):
     return s.withColumn("place", place.cast("long")).where("place <= 3").select("series_id", "model", "place")
 
 
+#: Columns that a table may have at most.
+TRANSPOSED = 5000
+
+
 @query("reshape_transpose", f"WITH {obs_sql('D_event')}, i AS (SELECT t, " + ", ".join(f"round(max(CASE WHEN k = {k} THEN y END), 6) AS s{k}" for k in range(1, 6)) + " FROM (SELECT *, dense_rank() OVER (ORDER BY series_id) AS k FROM obs) GROUP BY 1) SELECT * FROM i")
 def _(spark, d):
-    """Points in time as rows and the given series as columns."""
+    """Points in time as rows and all series as columns; more than TRANSPOSED series are an error, not left out."""
     obs = series(spark, d, "D_event")
     ids = files.placed(obs.select("series_id").distinct(), ["series_id"], "columns")
-    wide = obs.join(ids, "series_id").groupBy("t").pivot("place", [1, 2, 3, 4, 5]).agg(F.max("y"))
-    return wide.select("t", *[r6(F.col(f"`{k}`")).alias(f"s{k}") for k in range(1, 6)])
+    n = ids.count()
+    if n > TRANSPOSED:
+        raise ValueError(f"{n} series are too many for columns")
+    places = range(1, n + 1)
+    wide = obs.join(ids, "series_id").groupBy("t").pivot("place", list(places)).agg(F.max("y"))
+    return wide.select("t", *[r6(F.col(f"`{k}`")).alias(f"s{k}") for k in places])
 
 
 @query("prep_shuffle")

@@ -172,12 +172,16 @@ def _(spark, d):
     return both.groupingSets([[p, m], [s, m], [m]], p, s, m).agg(r6(F.avg("smape")).alias("smape"), F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_submission_wide", oracle("SELECT series_id AS id" + "".join(f", round(max(CASE WHEN step = {k} THEN f END), 6) AS F{k}" for k in range(1, 49)) + " FROM fc WHERE model = 'theta' GROUP BY 1"))
+#: Common table expressions un: (series_id, unit), that forecasts are multiplied by before they leave.
+UNITS = ", un AS (SELECT series_id, max(unit) AS unit FROM obs GROUP BY 1)"
+
+
+@query("snk_submission_wide", oracle(UNITS + " SELECT f.series_id AS id" + "".join(f", round(max(CASE WHEN step = {k} THEN f * unit END), 4) AS F{k}" for k in range(1, 49)) + " FROM fc f JOIN un u ON u.series_id = f.series_id WHERE model = 'theta' GROUP BY 1"))
 def _(spark, d):
-    """A CSV of id, F1 .. F48 is written, NA beyond the horizon, and read back."""
+    """A CSV of id, F1 .. F48 is written in the unit of the facts, NA beyond the horizon, and read back."""
     fc, _ = benchmark(spark, d, models=("theta",))
     path = files.scratch(spark, "submission")
-    rows = fc.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("step", r6("mean").alias("f")))).alias("at"))  # as long as the horizon
+    rows = fc.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("step", F.round(F.col("mean") * F.col("unit"), 4).alias("f")))).alias("at"))  # as long as the horizon
     names = [f"F{k}" for k in range(1, 49)]
     wide = rows.select(F.col("series_id").alias("id"), *[F.try_element_at("at", F.lit(k).cast("long")).alias(n) for k, n in enumerate(names, 1)])
     wide.write.option("header", True).option("nullValue", "NA").csv(path)

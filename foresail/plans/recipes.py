@@ -155,25 +155,24 @@ def _(spark, d):
     return _steps(short, "method").select("series_id", "step", "method", "mean").unionByName(long)
 
 
-_NLS_ROUNDS = 500
 _NLS = f"""hl0(series_id, t, l, b) AS (SELECT d.series_id, 1::BIGINT, d.y, e.y - d.y FROM ser d JOIN ser e ON e.series_id = d.series_id AND e.t = 2 WHERE d.t = 1 UNION ALL SELECT o.series_id, d.t, 0.3 * d.y + 0.7 * (o.l + 0.9 * o.b), 0.1 * (0.3 * d.y + 0.7 * (o.l + 0.9 * o.b) - o.l) + 0.9 * 0.9 * o.b FROM hl0 o JOIN ser d ON d.series_id = o.series_id AND d.t = o.t + 1),
 rv AS (SELECT series_id, max(n) {_B} + 1 - t AS t, y, n FROM ser), hb0(series_id, t, l, b) AS (SELECT d.series_id, 1::BIGINT, d.y, e.y - d.y FROM rv d JOIN rv e ON e.series_id = d.series_id AND e.t = 2 WHERE d.t = 1 UNION ALL SELECT o.series_id, d.t, 0.3 * d.y + 0.7 * (o.l + 0.9 * o.b), 0.1 * (0.3 * d.y + 0.7 * (o.l + 0.9 * o.b) - o.l) + 0.9 * 0.9 * o.b FROM hb0 o JOIN rv d ON d.series_id = o.series_id AND d.t = o.t + 1),
 xs AS (SELECT s.series_id, list(s.y ORDER BY s.t) AS ys, max(s.n) AS n FROM ser s GROUP BY 1), x0 AS (SELECT x.series_id, x.n, list_concat(list_concat([b.l + 0.9 * b.b], x.ys), [a.l + 0.9 * a.b]) AS xs FROM xs x JOIN hl0 a ON a.series_id = x.series_id AND a.t = x.n JOIN hb0 b ON b.series_id = x.series_id AND b.t = x.n),
 st(series_id, n, k, xs, go) AS (SELECT series_id, n, 0, xs, true FROM x0 UNION ALL SELECT series_id, n, k + 1, CASE WHEN top >= 1 THEN list_transform(range(1, n + 3), lambda i: CASE WHEN i = place + 1 THEN (xs[i] + (xs[i - 1] + xs[i + 1]) / 2) / 2 ELSE xs[i] END) ELSE xs END, top >= 1 FROM
- (SELECT *, list_max(lv) AS top, list_position(lv, list_max(lv)) AS place FROM (SELECT *, list_transform(range(2, n + 2), lambda i: round(abs(300 * (xs[i + 1] + xs[i - 1] - 2 * xs[i]) / (xs[i + 1] + xs[i - 1] + xs[i])), 9)) AS lv FROM st WHERE k < {_NLS_ROUNDS} AND go))),
+ (SELECT *, list_max(lv) AS top, list_position(lv, list_max(lv)) AS place FROM (SELECT *, list_transform(range(2, n + 2), lambda i: round(abs(300 * (xs[i + 1] + xs[i - 1] - 2 * xs[i]) / (xs[i + 1] + xs[i - 1] + xs[i])), 9)) AS lv FROM st WHERE go))),
 sm0 AS (SELECT series_id, n, max_by(xs, k) AS xs FROM st GROUP BY 1, 2), nls AS (SELECT series_id, n, CAST(u.t AS BIGINT) AS t, CASE WHEN xs[u.t + 1] <= 0 THEN 1.0 ELSE xs[u.t + 1] END AS y FROM sm0 JOIN (SELECT unnest(range(1, 2000)) AS t) u ON u.t <= n)"""
 
 
-def settled(ys: Column) -> Column:
-    """The series smoothed at its roughest points, with a damped forecast behind it and one of the reversed series before."""
+def settled(rows: DataFrame, ys: Column) -> DataFrame:
+    """rows with s: the series smoothed at its roughest points, a damped forecast behind it and one of the reversed series before."""
     one = lambda xs: F.get(M.holt(xs, 0.3, 0.1, 1, 0.9), F.lit(0))
-    return L.settle(ys, one(F.reverse(ys)), one(ys), rounds=_NLS_ROUNDS)
+    return L.settle(rows, ys, one(F.reverse(ys)), one(ys), "s")
 
 
 @query("smooth_nls_max", f"WITH RECURSIVE {obs_sql('Y_nation')}, ser AS (SELECT series_id, t, y * 100 AS y, count(*) {_B} AS n FROM obs), {_NLS} SELECT series_id, t, round(y, 6) AS smooth FROM nls")
 def _(spark, d):
     own = packed(series(spark, d, "Y_nation").withColumn("y", F.col("y") * 100))
-    made = own.withColumn("s", settled(F.col("ys"))).select("series_id", F.posexplode("s").alias("i", "s"))
+    made = settled(own, F.col("ys")).select("series_id", F.posexplode("s").alias("i", "s"))
     return made.select("series_id", (F.col("i") + 1).cast("long").alias("t"), r6("s").alias("smooth"))
 
 
@@ -197,7 +196,7 @@ SELECT r.series_id, CAST(s.step AS BIGINT) AS step, round((r.l + exp(l.a + l.b *
 )
 def _(spark, d):
     """Yearly series, which have no season to shrink: smoothed at the roughest points, then theta on an exponential curve."""
-    own = packed(series(spark, d, "Y_nation").withColumn("y", F.col("y") * 100)).withColumn("s", settled(F.col("ys")))
+    own = settled(packed(series(spark, d, "Y_nation").withColumn("y", F.col("y") * 100)), F.col("ys"))
     return _steps(own.withColumn("f", exponential_theta(F.col("s"), 2)))
 
 
@@ -206,7 +205,7 @@ def _(spark, d):
     """Monthly series with the chosen shrinkage of their season taken out before, and put back behind."""
     obs = series(spark, d, MAIN).withColumn("y", F.col("y") * 100)
     shrunk = S.chosen_shrinkage(S.shrink(S.trimmed_indices(obs, 12), 12)).groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("phase", "shrunk"))), lambda x: x["shrunk"]).alias("si"))
-    own = packed(obs).join(shrunk, "series_id").withColumn("s", settled(F.transform("ys", lambda y, i: F.try_divide(y, F.get("si", i % 12)))))
+    own = settled(packed(obs).join(shrunk, "series_id"), F.transform("ys", lambda y, i: F.try_divide(y, F.get("si", i % 12))))
     back = F.zip_with(exponential_theta(F.col("s"), 18), F.transform(M.steps_of(18), lambda s: F.get("si", ((F.col("n") + s - 1) % 12).cast("int"))), lambda f, x: f * x)
     return _steps(own.withColumn("f", back))
 

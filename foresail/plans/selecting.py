@@ -12,9 +12,12 @@ from ..functions import recursions as R
 from ..functions.metrics import r6, smape
 from ..operators import evaluation as E
 from ..operators import models as M
+from ..operators import theta as T
 from ..registry import query
 from ..sources.series import SPECS, obs_sql, packed, series, split
+from ..sources.files import placed
 from .forecasting import MAIN, benchmark, oracle
+from .thetas import _BEST, _ahead_sql, variants_sql
 
 _B = "OVER (PARTITION BY series_id)"
 _H = SPECS[MAIN].h
@@ -215,12 +218,25 @@ def _(spark, d):
     return best.select("series_id", "model", r6("smape").alias("smape"))
 
 
-@query("gate_rf_long", "WITH g AS (SELECT o_orderkey AS id, o_orderkey * 7 % 100000 AS i, o_orderkey % 400 AS n FROM orders) SELECT CAST(id AS BIGINT) AS id, m.model FROM g, (VALUES ('linear'), ('forest'), ('lazy')) m(model) WHERE m.model <> 'forest' OR NOT (n > 200 AND i > 95000)")
+#: Collections of six frequencies, and the index before the first series of each in one numbering of all series.
+NUMBERED = {"Y_nation": 0, "Q_nation": 23000, "M_segment": 47000, "W_priority": 95000, "D_event": 95359, "H_event": 99586}
+
+
+def _numbered_sql() -> str:
+    parts = [f"SELECT '{SPECS[n].letter}' AS period, series_id, {first} + row_number() OVER (ORDER BY series_id) AS i, n FROM (WITH {obs_sql(n)} SELECT series_id, count(*) AS n FROM obs GROUP BY 1)" for n, first in NUMBERED.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query("gate_rf_long", f"SELECT g.period, g.series_id, CAST(g.i AS BIGINT) AS i, CAST(g.n AS BIGINT) AS n, m.model FROM ({_numbered_sql()}) g, (VALUES ('linear'), ('forest'), ('lazy')) m(model) WHERE m.model <> 'forest' OR NOT (g.n > 200 AND g.i > 95000)")
 def _(spark, d):
-    """Candidates by series; forests are not tried on long series of the last indices."""
-    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"))
-    own = rows.withColumn("i", F.col("id") * 7 % 100000).withColumn("n", F.col("id") % 400).withColumn("model", F.explode(F.array(*map(F.lit, ("linear", "forest", "lazy")))))
-    return own.where((F.col("model") != "forest") | ~((F.col("n") > 200) & (F.col("i") > 95000))).select("id", "model")
+    """Candidates by series; forests are not tried on series of over 200 values behind index 95000."""
+    made = None
+    for name, first in NUMBERED.items():
+        sizes = series(spark, d, name).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+        rows = placed(sizes, ["series_id"], "numbered").select(F.lit(SPECS[name].letter).alias("period"), "series_id", (F.col("place") + first).alias("i"), "n")
+        made = rows if made is None else made.unionByName(rows)
+    own = made.withColumn("model", F.explode(F.array(*map(F.lit, ("linear", "forest", "lazy")))))
+    return own.where((F.col("model") != "forest") | ~((F.col("n") > 200) & (F.col("i") > 95000)))
 
 
 #: A model that fails where a value is not positive: a line of the logarithms.  D_event less 0.6 has such series.
@@ -287,13 +303,20 @@ def _(spark, d):
     return rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("continuations"), r6(F.median("l")).alias("mean"), r6(F.stddev_samp("l")).alias("spread"))
 
 
-@query("amar_stat_predictors", oracle(", k AS (SELECT unnest(range(1, 13)) AS place) SELECT t.series_id, CAST(k.place AS BIGINT) AS place, CAST(s.step AS BIGINT) AS step, coalesce(round(f.f, 6), 0.0) AS mean FROM (SELECT DISTINCT series_id FROM tr) t, k, steps s LEFT JOIN fc f ON f.series_id = t.series_id AND f.step = s.step AND f.model = ['naive', 'snaive', 'naive2', 'ses', 'holt', 'damped', 'theta', 'comb'][k.place]"))
+#: Four-theta forecasts of the adjusted values, as if these were a series of their own: fq.
+_NINTH = ", adj AS (SELECT series_id, t, y FROM des UNION ALL SELECT series_id, n + step, NULL FROM oi), fq AS (" + variants_sql(MAIN, T.THETAS).replace(obs_sql(MAIN), "obs AS (SELECT * FROM adj)") + _BEST + _ahead_sql("best") + ")"
+
+
+@query("amar_stat_predictors", oracle(_NINTH + ", k AS (SELECT unnest(range(1, 13)) AS place) SELECT t.series_id, CAST(k.place AS BIGINT) AS place, CAST(s.step AS BIGINT) AS step, coalesce(round(CASE WHEN k.place = 9 THEN q.mean ELSE f.f END, 6), 0.0) AS mean FROM (SELECT DISTINCT series_id FROM tr) t, k, steps s LEFT JOIN fc f ON f.series_id = t.series_id AND f.step = s.step AND f.model = ['naive', 'snaive', 'naive2', 'ses', 'holt', 'damped', 'theta', 'comb'][k.place] LEFT JOIN fq q ON q.series_id = t.series_id AND q.step = s.step"))
 def _(spark, d):
-    """Predictors by number: the eight methods, and zeros beyond."""
+    """Predictors by number: the eight methods, the four-theta method on the adjusted values, and zeros beyond."""
     s = SPECS[MAIN]
     prepared = M.prepare(series(spark, d, MAIN), s.m, s.h)
+    ninth = T.four_theta(prepared.select("series_id", "n", F.col("des").alias("train"), "test"), s.m, s.h)
+    prepared = prepared.join(ninth.select("series_id", F.col("f").alias("ninth")), "series_id", "left")
     named = {str(k): v for k, v in enumerate(M.benchmark_models(s.m, s.h).values(), 1)}
-    named |= {str(k): F.array_repeat(F.lit(0.0), s.h) for k in range(len(named) + 1, 13)}
+    zeros = F.array_repeat(F.lit(0.0), s.h)
+    named |= {"9": F.coalesce("ninth", zeros)} | {str(k): zeros for k in range(10, 13)}
     return M.forecasts(prepared, named).select("series_id", F.col("model").cast("long").alias("place"), "step", r6("mean").alias("mean"))
 
 

@@ -188,7 +188,7 @@ def _(spark, d):
 
 
 _LAGS = 10
-_LJUNG = f"WITH {obs_sql('D_event')}, df AS (SELECT series_id, t, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS e FROM obs), rs AS (SELECT series_id, t, e - avg(e) {_B} AS e, count(*) {_B} AS n FROM df WHERE e IS NOT NULL), ss AS (SELECT series_id, sum(e * e) AS s FROM rs GROUP BY 1), ac AS (SELECT a.series_id, b.t - a.t AS lag, max(a.n) AS n, sum(a.e * b.e) / max(s.s) AS r FROM rs a JOIN rs b ON b.series_id = a.series_id AND b.t > a.t AND b.t <= a.t + 14 JOIN ss s ON s.series_id = a.series_id GROUP BY 1, 2), qq AS (SELECT series_id, lag, n, r, n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY series_id ORDER BY lag) AS q FROM ac), pv AS (SELECT q.*, (SELECT 1 - sum(exp(k * ln(q.q / 2) + q.lag / 2.0 * ln(q.q / 2) - q.q / 2 - lgamma(q.lag / 2.0 + k + 1))) FROM (SELECT unnest(range(0, 200)) AS k)) AS p FROM qq q WHERE lag <= {_LAGS})"
+_LJUNG = f"WITH {obs_sql('D_event')}, df AS (SELECT series_id, t, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS e FROM obs), rs AS (SELECT series_id, t, e - avg(e) {_B} AS e, count(*) {_B} AS n FROM df WHERE e IS NOT NULL), ss AS (SELECT series_id, sum(e * e) AS s FROM rs GROUP BY 1), ac AS (SELECT a.series_id, b.t - a.t AS lag, max(a.n) AS n, sum(a.e * b.e) / max(s.s) AS r FROM rs a JOIN rs b ON b.series_id = a.series_id AND b.t > a.t AND b.t <= a.t + 14 JOIN ss s ON s.series_id = a.series_id GROUP BY 1, 2), qq AS (SELECT series_id, lag, n, r, n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY series_id ORDER BY lag) AS q FROM ac), pv AS (SELECT q.*, (SELECT 1 - sum(exp(k * ln(q.q / 2) + q.lag / 2.0 * ln(q.q / 2) - q.q / 2 - lgamma(q.lag / 2.0 + k + 1))) FROM (SELECT unnest(range(0, CAST(200 + 2 * q.q AS BIGINT))) AS k)) AS p FROM qq q WHERE lag <= {_LAGS})"
 
 
 def _box(spark, d) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .files import scratch
+
 
 @dataclass(frozen=True)
 class SeriesSpec:
@@ -64,27 +66,40 @@ def fill_gaps(sums: DataFrame, unit: str) -> DataFrame:
     return filled.withColumn("t", F.row_number().over(W.partitionBy("series_id").orderBy("ds")).cast("long"))
 
 
-def scaled(obs: DataFrame) -> DataFrame:
-    """obs with y, the value over the mean of its series."""
-    return obs.withColumn("y", F.try_divide("value", F.avg("value").over(W.partitionBy("series_id"))))
+def scaled(obs: DataFrame, h: int = 0) -> DataFrame:
+    """obs with y, the value over the mean of its series without the last h values, and that mean as unit.
+
+    A series of h values or fewer has no others: its unit is their mean.
+    """
+    w = W.partitionBy("series_id")
+    first = F.avg(F.when(F.col("t") <= F.col("__n") - h, F.col("value"))).over(w)
+    made = obs.withColumn("__n", F.count(F.lit(1)).over(w)).withColumn("unit", F.coalesce(first, F.avg("value").over(w))).drop("__n")
+    return made.withColumn("y", F.try_divide("value", "unit"))
 
 
 def series(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """(series_id, ds, t, value, y) of a named collection."""
+    """(series_id, ds, t, value, y, unit) of a named collection: y is the value over the unit of its series.
+
+    The sums are written first, so that the facts are read once.
+    """
     spec = SPECS[name]
-    return scaled(fill_gaps(facts(spark, sf_dir, spec), spec.unit)).select("series_id", "ds", "t", "value", "y")
+    sums, path = facts(spark, sf_dir, spec), scratch(spark, "sums")
+    sums.write.parquet(path)
+    held = spark.read.schema(sums.schema).parquet(path)
+    return scaled(fill_gaps(held, spec.unit), spec.h).select("series_id", "ds", "t", "value", "y", "unit")
 
 
 def packed(obs: DataFrame, value: str = "y") -> DataFrame:
-    """(series_id, n, ys): each series as one array, oldest first.  The length of a series bounds the row."""
-    found = obs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("v")))).alias("p"))
-    return found.select("series_id", F.size("p").cast("long").alias("n"), F.transform("p", lambda x: x["v"]).alias("ys"))
+    """(series_id, n, ys): each series as one array, oldest first, and its unit, if it has one.  The length of a series bounds the row."""
+    unit = [F.max("unit").alias("unit")] if "unit" in obs.columns else []
+    found = obs.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("v")))).alias("p"), *unit)
+    return found.select("series_id", F.size("p").cast("long").alias("n"), F.transform("p", lambda x: x["v"]).alias("ys"), *(["unit"] if unit else []))
 
 
 def split(packs: DataFrame, h: int) -> DataFrame:
     """(series_id, n, train, test): the last h values are the test; series of h values or fewer have no row."""
     return packs.where(F.col("n") > h).select(
-        "series_id", (F.col("n") - h).alias("n"), F.slice("ys", 1, (F.col("n") - h).cast("int")).alias("train"), F.slice("ys", (F.col("n") - h + 1).cast("int"), h).alias("test")
+        "series_id", (F.col("n") - h).alias("n"), F.slice("ys", 1, (F.col("n") - h).cast("int")).alias("train"), F.slice("ys", (F.col("n") - h + 1).cast("int"), h).alias("test"), *[c for c in packs.columns if c == "unit"]
     )
 
 
@@ -97,4 +112,6 @@ def obs_sql(name: str) -> str:
 spine AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL '{_STEP[s.unit]}')) AS ds FROM (SELECT DISTINCT series_id FROM base), (SELECT min(ds) lo, max(ds) hi FROM base)),
 filled AS (SELECT p.series_id, p.ds, coalesce(b.value, 0.0) AS value, CAST(row_number() OVER (PARTITION BY p.series_id ORDER BY p.ds) AS BIGINT) AS t
   FROM spine p LEFT JOIN base b ON p.series_id = b.series_id AND p.ds = b.ds),
-obs AS (SELECT *, value / nullif(avg(value) OVER (PARTITION BY series_id), 0) AS y FROM filled)"""
+sized AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS many FROM filled),
+united AS (SELECT * EXCLUDE (many), coalesce(avg(CASE WHEN t <= many - {s.h} THEN value END) OVER (PARTITION BY series_id), avg(value) OVER (PARTITION BY series_id)) AS unit FROM sized),
+obs AS (SELECT *, value / nullif(unit, 0) AS y FROM united)"""

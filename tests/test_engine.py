@@ -191,7 +191,14 @@ def test_loess_settling_and_lags(spark):
     mixed = [float(x) for x in np.random.default_rng(3).uniform(1, 9, 25)]
     assert value_of(spark, mixed, smoothing.loess(F.col("ys"), 0.4)) == pytest.approx(numeric.loess(np.array(mixed), 0.4))
     rough = [100.0, 100.0, 130.0, 100.0, 100.0]
-    calm = value_of(spark, rough, smoothing.settle(F.col("ys"), F.lit(100.0), F.lit(100.0)))
+    rows = spark.createDataFrame([(rough,), ([100.0] * 5,), ([1.0, 90.0, 3.0, 70.0, 2.0],)], "ys array<double>")
+    found = smoothing.settle(rows, F.col("ys"), F.lit(100.0), F.lit(100.0), "s", moves=4)
+    assert found.count() == 3
+    calm = next(r.s for r in found.collect() if r.ys == rough)
+    for r in found.collect():
+        around = [100.0, *r.s, 100.0]
+        assert all(abs(300 * (around[i + 1] + around[i - 1] - 2 * around[i]) / (around[i - 1] + around[i] + around[i + 1])) < 1 + 1e-6 for i in range(1, 6))
+    assert smoothing.settle(rows, F.col("ys"), F.lit(100.0), F.lit(100.0), "s", moves=1, most=2).where("s is null").count() == 2
     x = [100.0, *calm, 100.0]
     assert all(abs(300 * (x[i + 1] + x[i - 1] - 2 * x[i]) / (x[i - 1] + x[i] + x[i + 1])) < 1 for i in range(1, 6))
     ys = [1.0, 2.0, 4.0]
