@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import mix64, scratch_dir, segment_hashes, text_chunks, utf8
 
 #: Bytes of text whose tokens a task counts or scores at once.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 6 << 20
 #: Tokens that a task counts before it passes the counts on.
 HELD_TOKENS = 1 << 22
 #: A word of this share of the tokens or more has its followers dealt out among all shards.
