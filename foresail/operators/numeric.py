@@ -135,14 +135,6 @@ def ar_forecast(y: np.ndarray, h: int, most: int = 6) -> np.ndarray:
     return np.array(held[-h:])
 
 
-def arma_log_return(y: np.ndarray, h: int, most: int = 2000) -> np.ndarray:
-    """An autoregression of log returns, integrated back; all values must be positive."""
-    y = y[-most:]
-    if (y <= 0).any():
-        raise ValueError("a value is not positive")
-    return y[-1] * np.exp(np.cumsum(ar_forecast(np.diff(np.log(y)), h, 4)))
-
-
 def theta_optimised(y: np.ndarray, h: int) -> np.ndarray:
     """The theta method with the level parameter and theta that fit the past best."""
     n = len(y)
@@ -247,7 +239,6 @@ MODELS: dict[str, Callable[[np.ndarray, int, int, int], np.ndarray]] = {
     "theta_optimised": lambda y, m, h, seed: theta_optimised(y, h),
     "ets_auto": lambda y, m, h, seed: ets_auto(y, m, h),
     "ar": lambda y, m, h, seed: ar_forecast(y, h),
-    "arma_log_return": lambda y, m, h, seed: arma_log_return(y, h),
     "stl_ets": lambda y, m, h, seed: stl_forecast(y, m, h),
     "bagged_theta": lambda y, m, h, seed: bagged(y, m, h, seed),
     "temporal_hierarchy": lambda y, m, h, seed: temporal_hierarchy(y, m, h),

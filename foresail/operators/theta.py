@@ -114,10 +114,34 @@ def four_theta(splits: DataFrame, m: int, h: int, critical: float = 1.645, theta
     equals the first counts, in the order season M before A, model M before A, curve Lrl before Exp.  Values may have
     any scale, which no choice depends on.
     """
+    return four_theta_fit(splits, m, h, critical, thetas).select("series_id", "season", "curve", "model", "theta", "mae", "f")
+
+
+def four_theta_fit(splits: DataFrame, m: int, h: int, critical: float = 1.645, thetas: tuple[float, ...] = THETAS) -> DataFrame:
+    """`four_theta` with n and e, the one-step errors of the variant on the values."""
     order = F.struct(F.col("mae"), (F.col("season") == "A").alias("s"), (F.col("model") == "A").alias("k"), (F.col("curve") == "Exp").alias("c"), "theta")
     rows = fitted(variants(splits, m, h, critical), thetas).withColumn("order", order)
     best = rows.withColumn("k", F.row_number().over(W.partitionBy("series_id").orderBy("order"))).where("k = 1")
-    return best.withColumn("f", ahead_of(h)).select("series_id", "season", "curve", "model", "theta", "mae", "f")
+    return best.withColumn("f", ahead_of(h)).withColumn("e", errors_of()).select("series_id", "n", "season", "curve", "model", "theta", "mae", "f", "e")
+
+
+def errors_of() -> Column:
+    """The one-step errors of a fitted variant, whose level starts at the first value of its theta line."""
+    product, theta, alpha = (F.col("model") == "M") & F.col("plus"), F.col("theta"), F.col("alpha")
+
+    def step(a: Column, i: Column) -> Column:
+        d, line = F.get("des", i), F.get("l0", i)
+        z = F.when(product, _power(d, theta) * _power(line, 1 - theta)).otherwise(theta * d + (1 - theta) * line)
+
+        def moved(z: Column) -> Column:
+            level = F.coalesce(a["level"], z)
+            error = F.get("train", i) - seasoned(joined(product, level, line, theta), F.get("s", i))
+            return F.struct((alpha * z + (1 - alpha) * level).alias("level"), F.concat(a["e"], F.array(error)).alias("e"))
+
+        return R.let(z, moved)
+
+    start = F.struct(F.lit(None).cast("double").alias("level"), F.array().cast("array<double>").alias("e"))
+    return F.aggregate(F.sequence(F.lit(0), F.size("train") - 1), start, step)["e"]
 
 
 def ata_run(ys: Column, p: Column, q: float, phi: Column, product: bool) -> Column:

@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
-from .plans import combining, details, forecasting, modelling, preparing, recipes, selecting, structure, thetas  # noqa: E402, F401  the plans register themselves
+from .plans import arma, combining, details, forecasting, modelling, preparing, recipes, selecting, structure, thetas  # noqa: E402, F401  the plans register themselves

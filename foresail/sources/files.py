@@ -22,6 +22,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, read again from the shared folder: what was worked out once is not worked out again for each use."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_wide(obs: DataFrame, path: str, value: str = "y") -> None:
     """One line a series: id, then its values oldest first; trailing columns stay empty.  Widths come from one maximum."""
     width = obs.agg(F.max("t")).head()[0] or 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .files import scratch
+from .files import written
 
 
 @dataclass(frozen=True)
@@ -83,9 +83,7 @@ def series(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     The sums are written first, so that the facts are read once.
     """
     spec = SPECS[name]
-    sums, path = facts(spark, sf_dir, spec), scratch(spark, "sums")
-    sums.write.parquet(path)
-    held = spark.read.schema(sums.schema).parquet(path)
+    held = written(facts(spark, sf_dir, spec), "sums")
     return scaled(fill_gaps(held, spec.unit), spec.h).select("series_id", "ds", "t", "value", "y", "unit")
 
 
