@@ -7,7 +7,6 @@ shocks, and one of the values on their lags and on those of the shocks.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,12 +118,11 @@ def menu_of(orders: list[tuple[int, int]]) -> Column:
     return F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in orders])
 
 
-def fit_orders(rows: DataFrame, menu: Column, lead: int, most: int, more: Callable[[Column], Column] | None = None) -> DataFrame:
+def fit_orders(rows: DataFrame, menu: Column, lead: int, most: int) -> DataFrame:
     """Each row with its centred values xs once for each order of its menu: p, q, a, the weights, sse and aicc.
 
     All orders are measured on the same places, those behind the long autoregression (of `most` terms, or a quarter of
-    the values) and `lead`, the largest lag.  `more` works out another column, d, from the errors.  A row's fits are
-    one array, which is written before it is filtered or exploded: an expression of this size is not to be worked out
+    the values) and `lead`, the largest lag.  A row's fits are one array, which is written before it is filtered or exploded: an expression of this size is not to be worked out
     for every use of a part of it.
     """
     xs = F.col("xs")
@@ -138,7 +136,7 @@ def fit_orders(rows: DataFrame, menu: Column, lead: int, most: int, more: Callab
             def row(sse: Column) -> Column:
                 aicc = F.when(n > k + 1, n * F.ln(sse / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1))
                 parts = [o["p"].alias("p"), o["q"].alias("q"), a.alias("a"), sse.alias("sse"), aicc.alias("aicc")]
-                return F.struct(*parts, *([more(e).alias("d")] if more else []))
+                return F.struct(*parts)
 
             return R.let(_dot(late, late), row)
 

@@ -100,6 +100,13 @@ query("rec_039_y_q", f"SELECT 'Y' AS period, * FROM ({theta_arma_sql('Y_nation')
 #: Orders up to four, and larger ones, of which the three with the best diagnostics are kept.
 _GRID = [(p, q) for p in range(1, 6) for q in range(1, 6)]
 _LEAD = 5
+def _steady() -> Column:
+    """Whether values and errors of a fit both die away; one that does not failed."""
+    shocks = F.transform(F.slice("a", F.col("p") + 1, F.col("q")), lambda x: -x)
+    return F.col("a").isNotNull() & A.is_stationary(F.slice("a", 1, F.col("p"))) & A.is_stationary(shocks)
+
+
+
 _DIAGNOSTICS = ("lb_out", "lb_mean", "acf_in", "acf_mean")
 
 
@@ -136,10 +143,12 @@ def chosen_orders(rows: DataFrame, h: int) -> DataFrame:
 
     All orders are fitted to the whole series and their residuals diagnosed.  Those up to four whose diagnostics are
     good in more than half of the lags, and the three best of the others by the sum of the four figures, are
-    fitted again before each fold and measured on it; what fails on over half of the folds has no score.
+    fitted again before each fold and measured on it; what fails on over half of the folds has no score.  A fit whose
+    autoregression, or whose shocks, do not die away counts as failed.
     """
-    fits = A.fit_orders(centred(rows, F.col("rs")), A.menu_of(_GRID), _LEAD, LONG, lambda e: diagnostics(e, h)).where(F.col("a").isNotNull())
-    fits = fits.select("series_id", "p", "q", "d.*")
+    fits = A.fit_orders(centred(rows, F.col("rs")), A.menu_of(_GRID), _LEAD, LONG).where(_steady())
+    fits = written(fits.select("series_id", "p", "q", A.arma_errors(F.col("xs"), F.col("a"), F.col("p"), F.col("q")).alias("e")), "errors")
+    fits = written(fits.select("series_id", "p", "q", diagnostics(F.col("e"), h).alias("d")), "diagnostics").select("series_id", "p", "q", "d.*")
     large = (F.col("p") > 4) | (F.col("q") > 4)
     total = sum((F.col(c) for c in _DIAGNOSTICS[1:]), F.col(_DIAGNOSTICS[0]))
     some = fits.where(large).withColumn("k", F.row_number().over(W.partitionBy("series_id").orderBy(F.round(total, 6).desc(), "p", "q"))).where("k <= 3")
@@ -149,7 +158,7 @@ def chosen_orders(rows: DataFrame, h: int) -> DataFrame:
     folds = folds.select("series_id", "lo", train.alias("train"), F.slice("rs", F.col("lo"), F.lit(h)).alias("test"))
     menus = kept.groupBy("series_id").agg(F.collect_list(F.struct("p", "q")).alias("menu"))  # no more than there are orders
     made = A.fit_orders(centred(folds.join(menus, "series_id"), F.col("train")), F.col("menu"), _LEAD, LONG)
-    ahead = F.transform(A.forecast(h), lambda f: f + F.col("level"))
+    ahead = F.when(_steady(), F.transform(A.forecast(h), lambda f: f + F.col("level")))
     steps = F.transform(F.slice("train", 2, F.size("train") - 1), lambda x, i: F.abs(x - F.get("train", i)))
     made = written(made.select("series_id", "p", "q", "test", ahead.alias("f"), R.mean_of(steps).alias("scale")), "folds")
     error = lambda f: R.mean_of(F.zip_with("test", "f", f))
@@ -169,14 +178,14 @@ def _log_return_sql(name: str, h: int) -> str:
     return f"""WITH {obs_sql(name)}, ps AS (SELECT series_id FROM obs GROUP BY 1 HAVING min(y) > 0), lr AS (SELECT o.series_id, t, y, ln(y / lag(y) OVER (PARTITION BY o.series_id ORDER BY t)) AS r FROM obs o JOIN ps ON ps.series_id = o.series_id),
 rw AS (SELECT series_id, list(r ORDER BY t) AS xs0 FROM lr WHERE r IS NOT NULL GROUP BY 1), la AS (SELECT series_id, max_by(y, t) AS last FROM lr GROUP BY 1),
 src AS (SELECT series_id, list_transform(xs0, lambda v: v - list_avg(xs0)) AS xs, list_avg(xs0) AS level FROM rw), {L.arma_tables('src', _GRID, LONG, 'w')},
-ex AS (SELECT series_id, p, q, len(e) AS n, unnest(e) AS e, unnest(range(1, len(e) + 1)) AS t FROM w_fit WHERE a IS NOT NULL), dv AS (SELECT *, e - avg(e) OVER (PARTITION BY series_id, p, q) AS c FROM ex), sq AS (SELECT series_id, p, q, sum(c * c) AS s FROM dv GROUP BY ALL),
+ex AS (SELECT series_id, p, q, len(e) AS n, unnest(e) AS e, unnest(range(1, len(e) + 1)) AS t FROM w_fit WHERE a IS NOT NULL AND {L.stationary('list_slice(a, 1, p)')} AND {L.stationary('list_transform(list_slice(a, p + 1, p + q), lambda m: -m)')}), dv AS (SELECT *, e - avg(e) OVER (PARTITION BY series_id, p, q) AS c FROM ex), sq AS (SELECT series_id, p, q, sum(c * c) AS s FROM dv GROUP BY ALL),
 ac AS (SELECT a.series_id, a.p, a.q, b.t - a.t AS lag, max(a.n) AS n, sum(a.c * b.c) / max(s.s) AS r FROM dv a JOIN dv b ON b.series_id = a.series_id AND b.p = a.p AND b.q = a.q AND b.t > a.t AND b.t - a.t <= greatest({h}, floor(10 * log10(a.n))) JOIN sq s ON s.series_id = a.series_id AND s.p = a.p AND s.q = a.q GROUP BY ALL),
 qs AS (SELECT *, n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY series_id, p, q ORDER BY lag) AS q0 FROM ac), pv AS (SELECT series_id, p, q AS q_order, lag, q0 AS q FROM qs WHERE lag <= {h}), pw AS (SELECT q.*, {p_value} AS pval FROM pv q),
 d1 AS (SELECT series_id, p, q_order AS q, avg(CASE WHEN pval >= 0.05 THEN 1.0 ELSE 0.0 END) AS lb_out, avg(pval) AS lb_mean FROM pw GROUP BY ALL), d2 AS (SELECT series_id, p, q, avg(CASE WHEN abs(r) <= 0.05 THEN 1.0 ELSE 0.0 END) AS acf_in, avg(-abs(r)) AS acf_mean FROM ac GROUP BY ALL), dg AS (SELECT d1.*, acf_in, acf_mean FROM d1 JOIN d2 ON d2.series_id = d1.series_id AND d2.p = d1.p AND d2.q = d1.q),
 lg AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(lb_out + lb_mean + acf_in + acf_mean, 6) DESC, p, q) AS k FROM dg WHERE {big}), kp AS (SELECT series_id, p, q FROM dg WHERE NOT {big} AND lb_out > 0.5 AND acf_in > 0.5 UNION ALL SELECT series_id, p, q FROM lg WHERE k <= 3),
 fl AS (SELECT series_id, lo, list_slice(xs0, 1, lo - 1) AS train, list_slice(xs0, lo, lo + {h - 1}) AS test FROM (SELECT series_id, xs0, unnest({fold}) AS lo FROM rw)),
 fs AS (SELECT series_id, lo, list_transform(train, lambda v: v - list_avg(train)) AS xs FROM fl), {L.arma_tables('fs', _GRID, LONG, 'f', 'series_id, lo')},
-fa AS (SELECT f.series_id, f.lo, f.p, f.q, {L.ahead(h)} AS f FROM f_fit f WHERE (f.series_id, f.p, f.q) IN (SELECT (series_id, p, q) FROM kp)),
+fa AS (SELECT f.series_id, f.lo, f.p, f.q, CASE WHEN {L.stationary('list_slice(a, 1, p)')} AND {L.stationary('list_transform(list_slice(a, p + 1, p + q), lambda m: -m)')} THEN {L.ahead(h)} END AS f FROM f_fit f WHERE (f.series_id, f.p, f.q) IN (SELECT (series_id, p, q) FROM kp)),
 er AS (SELECT a.series_id, a.p, a.q, a.f IS NULL AS failed, list_avg(list_transform(a.f, lambda x, i: 2 * abs(l.test[i] - x - list_avg(l.train)) / (abs(l.test[i]) + abs(x + list_avg(l.train))))) AS smape, list_avg(list_transform(a.f, lambda x, i: abs(l.test[i] - x - list_avg(l.train)))) / list_avg(list_transform(list_slice(l.train, 2, len(l.train)), lambda x, i: abs(x - l.train[i]))) AS mase FROM fa a JOIN fl l ON l.series_id = a.series_id AND l.lo = a.lo),
 me AS (SELECT series_id, p, q, avg(smape) AS smape, avg(mase) AS mase FROM er GROUP BY ALL HAVING avg(CAST(failed AS DOUBLE)) <= 0.5),
 rk AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round((smape / rs + mase / rm) / 2, 6), p, q) AS place FROM (SELECT *, sqrt(sum(smape * smape) OVER (PARTITION BY series_id) / greatest(count(*) OVER (PARTITION BY series_id) - 1, 1)) AS rs, sqrt(sum(mase * mase) OVER (PARTITION BY series_id) / greatest(count(*) OVER (PARTITION BY series_id) - 1, 1)) AS rm FROM me)),
