@@ -150,12 +150,13 @@ def first_best(scored: DataFrame, by: str) -> DataFrame:
     return scored.withColumn("k", F.row_number().over(w)).where((F.col("k") == 1) & F.col(by).isNotNull()).select("series_id", "place", F.col(by).alias("score"))
 
 
-def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0, lead: int = 4, origins: int = 12) -> DataFrame:
+def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0) -> DataFrame:
     """(series_id, stage, place, score): the candidate whose holdout error is within the gate, else the model that folds choose.
 
     Series of over 24 values are held against their last `holdout` values, shorter ones against the last h.  The folds
-    of those that fail the gate are every origin from `origins` before the end on that has a value at `lead`; the score
-    is the mean absolute error there.  Only series that fail are copied to folds.
+    of those that fail the gate are every origin from 12 before the end on (6 in short series) that has a value 4 (3)
+    ahead; the score is the mean absolute error there.  Only series that fail are copied to folds.  One that is too
+    short for folds keeps the best of its holdout.
     """
     n = F.size("ys")
     held = F.when(n > 24, F.lit(holdout)).otherwise(F.lit(h))
@@ -166,13 +167,17 @@ def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0, lead: int
     errors = fc.join(tests, ["series_id", "step"]).groupBy("series_id", "place").agg(F.avg(F.coalesce(smape(F.col("actual"), F.col("mean")), F.lit(0.0))).alias("smape"))
     best = written(first_best(errors, "smape"), "holdout")
     passed = best.where(F.col("score") <= gate).select("series_id", F.lit("holdout").alias("stage"), "place", "score")
-    failing = packs.join(best.where(F.col("score") <= gate).select("series_id"), "series_id", "left_anti").where(n > origins + 4)
-    folds = failing.select("series_id", "ys", F.explode(F.sequence(n - origins, n - lead)).alias("origin"))
-    parts = folds.select("series_id", "origin", F.slice("ys", 1, F.col("origin")).alias("ys"), F.lit(lead).alias("h"), F.lit(lead + 1).alias("window"))
-    fc = candidates(base_models(parts), ["series_id", "origin"], dict(enumerate(FOLDED, 1))).where(F.col("step") == lead)
-    actual = folds.select("series_id", "origin", F.get("ys", F.col("origin") + lead - 1).alias("actual"))
-    scored = fc.join(actual, ["series_id", "origin"]).groupBy("series_id", "place").agg(F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("error"))
-    return passed.unionByName(first_best(scored, "error").select("series_id", F.lit("folds").alias("stage"), "place", "score"))
+    failing = packs.join(best.where(F.col("score") <= gate).select("series_id"), "series_id", "left_anti")
+    lead, origins = F.when(n > 24, 4).otherwise(3), F.when(n > 24, 12).otherwise(6)
+    failing = failing.withColumn("h", lead).withColumn("start", n - origins).where(F.col("start") > 4)
+    folds = failing.select("series_id", "ys", "h", F.explode(F.sequence("start", n - F.col("h"))).alias("origin"))
+    parts = folds.select("series_id", "origin", F.slice("ys", 1, F.col("origin")).alias("ys"), "h", (F.col("h") + 1).alias("window"))
+    fc = candidates(base_models(parts), ["series_id", "origin"], dict(enumerate(FOLDED, 1)))
+    actual = folds.select("series_id", "origin", F.col("h").alias("step"), F.get("ys", F.col("origin") + F.col("h") - 1).alias("actual"))
+    scored = fc.join(actual, ["series_id", "origin", "step"]).groupBy("series_id", "place").agg(F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("error"))
+    folded = written(first_best(scored, "error").select("series_id", F.lit("folds").alias("stage"), "place", "score"), "folded")
+    left = best.where(F.col("score") > gate).join(folded.select("series_id"), "series_id", "left_anti")
+    return passed.unionByName(folded).unionByName(left.select("series_id", F.lit("too short").alias("stage"), "place", "score"))
 
 
 def select_and_forecast(packs: DataFrame, h: int, holdout: int, gate: float = 3.0) -> DataFrame:
@@ -181,6 +186,6 @@ def select_and_forecast(packs: DataFrame, h: int, holdout: int, gate: float = 3.
     base = base_models(packs.select("series_id", "ys", F.lit(h).alias("h"), F.lit(h + 1).alias("window")))
     final = {p: FINAL.get(p, ms) for p, ms in enumerate(CANDIDATES, 1)} | {100 + p: ms for p, ms in enumerate(FOLDED, 1)}
     made = candidates(written(base, "finals"), ["series_id"], final)
-    code = F.when(F.col("stage") == "holdout", F.col("place")).otherwise(F.col("place") + 100)
+    code = F.when(F.col("stage") != "folds", F.col("place")).otherwise(F.col("place") + 100)
     rows = made.join(chosen.select("series_id", "stage", "score", code.alias("place")), ["series_id", "place"])
     return rows.select("series_id", "stage", (F.col("place") % 100).alias("place"), "score", "step", "mean", (F.col("mean") - Z * F.col("wide")).alias("lower"), (F.col("mean") + Z * F.col("wide")).alias("upper"))

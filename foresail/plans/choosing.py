@@ -58,7 +58,7 @@ def candidates_sql(base: str, t: str, named: dict[int, tuple[str, ...]]) -> str:
     return f"{t} AS (SELECT b.series_id, m.place, b.step, avg(b.f) AS mean, avg(b.w) AS wide FROM {base} b JOIN (VALUES {members}) m(place, model, size) ON m.model = b.model WHERE b.f IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = max(m.size))"
 
 
-def selection_sql(name: str, holdout: int, gate: float = 3.0, lead: int = 4, origins: int = 12) -> str:
+def selection_sql(name: str, holdout: int, gate: float = 3.0) -> str:
     """Common table expressions ch: (series_id, stage, place, score), and fo, its forecasts of the whole series."""
     h = SPECS[name].h
     final = {p: S.FINAL.get(p, ms) for p, ms in enumerate(S.CANDIDATES, 1)} | {100 + p: ms for p, ms in enumerate(S.FOLDED, 1)}
@@ -66,11 +66,11 @@ def selection_sql(name: str, holdout: int, gate: float = 3.0, lead: int = 4, ori
 i1 AS (SELECT series_id, list_slice(ys0, 1, n0 - h) AS ys, h, h + 1 AS win FROM hd WHERE n0 > h + 4), {base_sql('i1', 'a')}, {candidates_sql('a_base', 'c1', dict(enumerate(S.CANDIDATES, 1)))},
 e1 AS (SELECT c.series_id, place, avg(coalesce(200 * abs(ys0[n0 - h + step] - mean) / nullif(abs(ys0[n0 - h + step]) + abs(mean), 0), 0)) AS score FROM c1 c JOIN hd ON hd.series_id = c.series_id GROUP BY 1, 2),
 b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(score, 6), place) AS k FROM e1 WHERE score IS NOT NULL) WHERE k = 1), ps AS (SELECT series_id, place, score FROM b1 WHERE score <= {gate}),
-fl AS (SELECT series_id, ys0, n0, unnest(range(n0 - {origins}, n0 - {lead} + 1)) AS origin FROM pk WHERE n0 > {origins} + 4 AND series_id NOT IN (SELECT series_id FROM ps)),
-i2 AS (SELECT series_id || '|' || origin AS series_id, list_slice(ys0, 1, origin) AS ys, {lead} AS h, {lead + 1} AS win FROM fl), {base_sql('i2', 'b')}, {candidates_sql('b_base', 'c2', dict(enumerate(S.FOLDED, 1)))},
-e2 AS (SELECT f.series_id, c.place, avg(abs(f.ys0[f.origin + {lead}] - c.mean)) AS score FROM c2 c JOIN fl f ON f.series_id || '|' || f.origin = c.series_id WHERE c.step = {lead} GROUP BY 1, 2),
+fl AS (SELECT series_id, ys0, lead, unnest(range(start, n0 - lead + 1)) AS origin FROM (SELECT *, CASE WHEN n0 > 24 THEN 4 ELSE 3 END AS lead, n0 - CASE WHEN n0 > 24 THEN 12 ELSE 6 END AS start FROM pk) WHERE start > 4 AND series_id NOT IN (SELECT series_id FROM ps)),
+i2 AS (SELECT series_id || '|' || origin AS series_id, list_slice(ys0, 1, origin) AS ys, lead AS h, lead + 1 AS win FROM fl), {base_sql('i2', 'b')}, {candidates_sql('b_base', 'c2', dict(enumerate(S.FOLDED, 1)))},
+e2 AS (SELECT f.series_id, c.place, avg(abs(f.ys0[f.origin + f.lead] - c.mean)) AS score FROM c2 c JOIN fl f ON f.series_id || '|' || f.origin = c.series_id AND c.step = f.lead GROUP BY 1, 2),
 b2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(score, 6), place) AS k FROM e2) WHERE k = 1),
-ch AS (SELECT series_id, 'holdout' AS stage, place, score FROM ps UNION ALL SELECT series_id, 'folds', place, score FROM b2),
+ch AS (SELECT series_id, 'holdout' AS stage, place, score FROM ps UNION ALL SELECT series_id, 'folds', place, score FROM b2 UNION ALL SELECT series_id, 'too short', place, score FROM b1 WHERE score > {gate} AND series_id NOT IN (SELECT series_id FROM b2)),
 i3 AS (SELECT series_id, ys0 AS ys, {h} AS h, {h + 1} AS win FROM pk), {base_sql('i3', 'd')}, {candidates_sql('d_base', 'c3', final)},
 fo AS (SELECT h.*, c.step, c.mean, c.mean - {S.Z} * c.wide AS lower, c.mean + {S.Z} * c.wide AS upper FROM ch h JOIN c3 c ON c.series_id = h.series_id AND c.place = h.place + CASE WHEN h.stage = 'folds' THEN 100 ELSE 0 END)"""
 
