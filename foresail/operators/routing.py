@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,14 +89,23 @@ def hourly_season(rows: DataFrame) -> Column:
     return F.when((F.size("ys") > WEEK + 1) & (variance(gap(WEEK)) < variance(days)), F.lit(WEEK)).otherwise(F.lit(24))
 
 
-def by_selection(rows: DataFrame) -> DataFrame:
-    """(period, series_id, f): the mean of the three models that do best on the last h values, fitted to all; rows have ys, m and h."""
+def by_selection(rows: DataFrame, seventh: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(period, series_id, step, mean): the mean of the three models that do best on the last h values, fitted to all.
+
+    Rows have period, series_id, ys, m and h.  `seventh` gives (id, f) for rows (id, ys, m, h): the forecasts of the
+    seventh model, which is tried on the same two parts of each series as the six others.
+    """
     h, n = F.col("h"), F.size("ys")
-    both = rows.select("period", "series_id", "m", "h", F.explode(F.array(F.struct(F.lit("held").alias("part"), F.slice("ys", 1, n - h).alias("ys"), F.slice("ys", n - h + 1, h).alias("test")), F.struct(F.lit("all"), F.col("ys"), F.array().cast("array<double>")))).alias("x"))
-    both = written(adjusted(both.select("period", "series_id", "m", "h", "x.*"), "ys", "m", h), "adjusted")
-    fc = written(both.select("period", "series_id", "part", "test", F.explode(six_models(both, "ys", "m", h)).alias("x")).select("period", "series_id", "part", "test", "x.model", "x.f"), "six-models")
+    part = lambda k, ys, test: F.struct(F.lit(k).alias("part"), ys.alias("ys"), test.alias("test"))
+    parts = F.array(part("held", F.slice("ys", 1, n - h), F.slice("ys", n - h + 1, h)), part("all", F.col("ys"), F.array().cast("array<double>")))
+    both = rows.select("period", "series_id", "m", "h", F.explode(parts).alias("x")).select("period", "series_id", "m", "h", "x.*")
+    both = both.withColumn("id", F.concat_ws("|", "period", "part", "series_id"))
+    both = written(adjusted(both, "ys", "m", h), "adjusted")
+    six = both.select("id", F.explode(six_models(both, "ys", "m", h)).alias("x")).select("id", "x.model", "x.f")
+    fc = six.unionByName(seventh(both.select("id", "ys", "m", "h")).select("id", F.lit("four theta").alias("model"), "f"))
+    fc = written(fc.join(both.select("id", "period", "series_id", "part", "test"), "id"), "seven-models")
     error = R.mean_of(F.zip_with("test", "f", lambda y, f: F.coalesce(smape(y, f), F.lit(0.0))))
     order = F.row_number().over(W.partitionBy("period", "series_id").orderBy(F.round(error, 6), F.array_position(F.array(*map(F.lit, SEVEN)), F.col("model"))))
     best = fc.where("part = 'held'").withColumn("k", order).where(F.col("k") <= MEMBERS).select("period", "series_id", "model")
     steps = fc.where("part = 'all'").join(best, ["period", "series_id", "model"]).select("period", "series_id", F.posexplode("f").alias("i", "f"))
-    return steps.groupBy("period", "series_id", "i").agg(F.avg("f").alias("mean"))
+    return steps.groupBy("period", "series_id", "i").agg(F.avg("f").alias("mean")).select("period", "series_id", (F.col("i") + 1).alias("step"), "mean")

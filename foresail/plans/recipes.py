@@ -144,17 +144,6 @@ def _(spark, d):
 _TOP = f", top AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(smape, 9), model) AS k FROM er WHERE model IN {_SIX}) SELECT f.series_id, CAST(f.step AS BIGINT) AS step, 'three of seven' AS method, round(avg(f.f), 6) AS mean FROM fc f JOIN top t ON t.series_id = f.series_id AND t.model = f.model AND t.k <= 3 GROUP BY 1, 2"
 
 
-@query("predilab_select", f"SELECT * FROM ({variants_sql('Q_nation', T.THETAS)}{_BEST} SELECT series_id, step, 'four theta' AS method, mean FROM ({_ahead_sql('best')})) UNION ALL SELECT * FROM ({oracle(_TOP, 'D_event')})")
-def _(spark, d):
-    """Series of less than 24 values before the origin by 4Theta; of the others here the daily ones by the best three of seven."""
-    q, e = SPECS["Q_nation"], SPECS["D_event"]
-    short = T.four_theta(split(packed(series(spark, d, "Q_nation")), q.h), q.m, q.h).withColumn("method", F.lit("four theta"))
-    fc, prepared = benchmark(spark, d, "D_event", _SIX)
-    chosen = E.best_models(E.scores(fc, prepared, e.m).withColumn("smape", F.round("smape", 9)), 3).select("series_id", "model")
-    long = E.combine(fc.join(chosen, ["series_id", "model"])).select("series_id", "step", F.lit("three of seven").alias("method"), r6("mean").alias("mean"))
-    return _steps(short, "method").select("series_id", "step", "method", "mean").unionByName(long)
-
-
 _NLS = f"""hl0(series_id, t, l, b) AS (SELECT d.series_id, 1::BIGINT, d.y, e.y - d.y FROM ser d JOIN ser e ON e.series_id = d.series_id AND e.t = 2 WHERE d.t = 1 UNION ALL SELECT o.series_id, d.t, 0.3 * d.y + 0.7 * (o.l + 0.9 * o.b), 0.1 * (0.3 * d.y + 0.7 * (o.l + 0.9 * o.b) - o.l) + 0.9 * 0.9 * o.b FROM hl0 o JOIN ser d ON d.series_id = o.series_id AND d.t = o.t + 1),
 rv AS (SELECT series_id, max(n) {_B} + 1 - t AS t, y, n FROM ser), hb0(series_id, t, l, b) AS (SELECT d.series_id, 1::BIGINT, d.y, e.y - d.y FROM rv d JOIN rv e ON e.series_id = d.series_id AND e.t = 2 WHERE d.t = 1 UNION ALL SELECT o.series_id, d.t, 0.3 * d.y + 0.7 * (o.l + 0.9 * o.b), 0.1 * (0.3 * d.y + 0.7 * (o.l + 0.9 * o.b) - o.l) + 0.9 * 0.9 * o.b FROM hb0 o JOIN rv d ON d.series_id = o.series_id AND d.t = o.t + 1),
 xs AS (SELECT s.series_id, list(s.y ORDER BY s.t) AS ys, max(s.n) AS n FROM ser s GROUP BY 1), x0 AS (SELECT x.series_id, x.n, list_concat(list_concat([b.l + 0.9 * b.b], x.ys), [a.l + 0.9 * a.b]) AS xs FROM xs x JOIN hl0 a ON a.series_id = x.series_id AND a.t = x.n JOIN hb0 b ON b.series_id = x.series_id AND b.t = x.n),

@@ -35,6 +35,7 @@ SPECS: dict[str, SeriesSpec] = {
     "Y_nation": SeriesSpec(*_ORDERS, "n_name", "o_orderdate", "o_totalprice", "year", 1, 2, "Y"),
     "M_brand": SeriesSpec(("lineitem", "part"), (("l_partkey", "p_partkey"),), "p_brand", "l_shipdate", "l_extendedprice", "month", 12, 18, "M"),
     "W_priority": SeriesSpec(("orders",), (), "o_orderpriority", "o_orderdate", "o_totalprice", "week", 52, 13, "W"),
+    "W_plain": SeriesSpec(("orders",), (), "o_orderpriority", "o_orderdate", "o_totalprice", "week", 1, 13, "W"),
     "D_event": SeriesSpec(("events",), (), "event_type", "ts", "value", "day", 7, 7, "D"),
     "H_event": SeriesSpec(("events",), (), "event_type", "ts", "value", "hour", 24, 48, "H"),
 }
