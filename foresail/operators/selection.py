@@ -35,6 +35,12 @@ CANDIDATES = (
     ("tbats",), ("arima",), ("ets",), ("ets",), ("tbats", "arima", "ets"), ("theta",), ("avg",), ("naive",), ("ses.3",), ("ses.1",), ("ses",), ("holt",), ("damped",), SIMPLE,
     ("arima", "ets", "ets", "theta"), ("arima", "theta"), ("ets", "theta"), ("theta", "ses.3"), ("ses.3", "ses.1"), ("ses.3", "ses.1", "ses"), ("loess-ets",), ("loess-theta",), ("loess-arima",),
 )
+#: The same for series with a season, which are adjusted before some models; nnetar failed too.
+SEASONAL = (
+    ("tbats",), ("arima",), ("ets",), ("tbats", "arima", "ets"), ("stl-theta",), ("stl-ets",), ("nnetar",), ("theta",), ("avg",), ("naive",), ("ses.3",), ("ses.1",), ("ses",), ("holt",), ("damped",), SIMPLE,
+    ("arima", "ets", "theta"), ("arima", "theta"), ("ets", "theta"), ("theta", "ses.3"), ("ses.3", "ses.1"), ("arima", "ets"), ("snaive",), ("stl-theta", "stl-ets"), ("arima", "ets", "theta", "stl-theta", "stl-ets"),
+)
+SEASONAL_FOLDED = (("ets",), ("holt",), ("theta",), ("naive",), ("damped",), ("arima",), ("tbats",), ("snaive",), ("stl-theta",), ("stl-ets",))
 #: What is fitted to the whole series for a candidate, where it isn't its own members.
 FINAL = {15: ("arima", "ets", "theta"), 18: ("theta", "ses.1")}
 #: The models that folds choose among, by place.
@@ -82,10 +88,19 @@ def _theta(ys: Column, fit: Column, h: Column) -> Column:
     return F.struct(made.alias("f"), _of(fit, n, h)["w"].alias("w"))
 
 
-def base_models(rows: DataFrame) -> DataFrame:
+def _season(m: int) -> Column:
+    """The means by phase of what a local line leaves, less their mean."""
+    rest = F.zip_with("ys", "lo", lambda a, b: a - b)
+    means = R.let(rest, lambda r: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda p: R.mean_of(F.filter(r, lambda _, j: j % m == p))))
+    return R.let(means, lambda x: R.let(R.mean_of(x), lambda level: F.transform(x, lambda v: v - level)))
+
+
+def base_models(rows: DataFrame, m: int = 1) -> DataFrame:
     """(keys, h, model, f, w) for rows of (keys, ys, h, window): forecasts of every base model, and standard deviations of their errors.
 
-    A series of fewer than five values, or a model that can't be fitted, has a null.
+    With a season m there are seasonal naive forecasts, and models of the values without the season that a local line
+    leaves, for series of two seasons or more.  A series of fewer than five values, or a model that can't be fitted,
+    has no row or a null.
     """
     keys = [c for c in rows.columns if c not in ("ys", "h", "window")]
     ys, h, n = F.col("ys"), F.col("h").cast("int"), F.size("ys")
@@ -93,6 +108,12 @@ def base_models(rows: DataFrame) -> DataFrame:
     for kind in GRIDS:
         fits = fits.withColumn(kind, fit_kind(ys, kind)).withColumn(f"lo_{kind}", fit_kind(F.col("lo"), kind))
     fits = written(fits, "smoothings")
+    if m > 1:
+        fits = fits.withColumn("season", F.when(n >= 2 * m, _season(m)))
+        fits = written(fits.withColumn("sa", F.when(F.col("season").isNotNull(), F.transform("ys", lambda y, i: y - F.get("season", i % m)))), "seasons")
+        for kind in GRIDS:
+            fits = fits.withColumn(f"sa_{kind}", F.when(F.col("sa").isNotNull(), fit_kind(F.col("sa"), kind)))
+        fits = written(fits, "adjusted")
     best = lambda at: R.let(F.array_min(F.array(*[F.struct(F.round(F.coalesce(F.col(f"{at}{k}.aicc"), F.lit(float("inf"))), 6).alias("x"), F.lit(i).alias("i"), F.col(f"{at}{k}").alias("fit")) for i, k in enumerate(GRIDS)])), lambda x: x["fit"])
     rms = F.sqrt(R.mean_of(F.zip_with(F.slice("ys", 2, n - 1), F.slice("ys", 1, n - 1), lambda a, b: (a - b) * (a - b))))
     naive = R.let(rms, lambda s: F.struct(F.array_repeat(F.element_at(ys, -1), h).alias("f"), F.transform(F.sequence(F.lit(1), h), lambda k: s * F.sqrt(k)).alias("w")))
@@ -103,6 +124,12 @@ def base_models(rows: DataFrame) -> DataFrame:
         "avg": R.let(naive, lambda x: F.struct(F.array_repeat(flat, h).alias("f"), x["w"].alias("w"))), "ses": _of(F.col("ses"), n, h), "holt": _of(F.col("holt"), n, h), "damped": _of(F.col("damped"), n, h),
         "loess-ets": R.let(best("lo_"), lambda x: _of(x, n, h)), "loess-theta": _theta(F.col("lo"), F.col("lo_ses"), h),
     }
+    if m > 1:
+        apart = F.zip_with(F.slice("ys", m + 1, F.greatest(n - m, F.lit(0))), F.slice("ys", 1, F.greatest(n - m, F.lit(0))), lambda a, b: (a - b) * (a - b))
+        again = R.let(F.sqrt(R.mean_of(apart)), lambda s: F.struct(F.transform(F.sequence(F.lit(1), h), lambda k: F.get(ys, n - m + (k - 1) % m)).alias("f"), F.transform(F.sequence(F.lit(1), h), lambda k: s * F.sqrt(F.floor((k - 1) / m) + 1)).alias("w")))
+        back = lambda x: F.struct(F.transform(x["f"], lambda f, i: f + F.get("season", (n + i) % m)).alias("f"), x["w"].alias("w"))
+        seasonal = F.col("season").isNotNull()
+        models |= {"snaive": F.when(n > m, again), "stl-ets": F.when(seasonal, R.let(R.let(best("sa_"), lambda x: _of(x, n, h)), back)), "stl-theta": F.when(seasonal, R.let(_theta(F.col("sa"), F.col("sa_ses"), h), back))}
     menu = F.array(*[F.struct(F.lit(k).alias("model"), v.alias("m")) for k, v in models.items()])
     simple = fits.select(*keys, "h", F.explode(menu).alias("x")).select(*keys, "h", "x.model", "x.m.f", "x.m.w")
     return simple.unionByName(_arima(rows, keys))
@@ -150,7 +177,12 @@ def first_best(scored: DataFrame, by: str) -> DataFrame:
     return scored.withColumn("k", F.row_number().over(w)).where((F.col("k") == 1) & F.col(by).isNotNull()).select("series_id", "place", F.col(by).alias("score"))
 
 
-def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0) -> DataFrame:
+def _menus(m: int) -> tuple[tuple, tuple, dict]:
+    """Candidates of the holdout and of the folds by place, and what is fitted to the whole series in place of some."""
+    return (CANDIDATES, FOLDED, FINAL) if m == 1 else (SEASONAL, SEASONAL_FOLDED, {})
+
+
+def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0, m: int = 1) -> DataFrame:
     """(series_id, stage, place, score): the candidate whose holdout error is within the gate, else the model that folds choose.
 
     Series of over 24 values are held against their last `holdout` values, shorter ones against the last h.  The folds
@@ -158,11 +190,11 @@ def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0) -> DataFra
     ahead; the score is the mean absolute error there.  Only series that fail are copied to folds.  One that is too
     short for folds keeps the best of its holdout.
     """
-    n = F.size("ys")
+    n, (menu, folded_menu, _) = F.size("ys"), _menus(m)
     held = F.when(n > 24, F.lit(holdout)).otherwise(F.lit(h))
     rows = packs.select("series_id", "ys").withColumn("h", held).where(n > F.col("h") + 4)
     first = rows.select("series_id", F.slice("ys", 1, (n - F.col("h")).cast("int")).alias("ys"), "h", (F.col("h") + 1).alias("window"))
-    fc = candidates(base_models(first), ["series_id"], dict(enumerate(CANDIDATES, 1)))
+    fc = candidates(base_models(first, m), ["series_id"], dict(enumerate(menu, 1)))
     tests = rows.select("series_id", F.posexplode(F.slice("ys", (n - F.col("h") + 1).cast("int"), F.col("h").cast("int"))).alias("i", "actual")).withColumn("step", F.col("i") + 1)
     errors = fc.join(tests, ["series_id", "step"]).groupBy("series_id", "place").agg(F.avg(F.coalesce(smape(F.col("actual"), F.col("mean")), F.lit(0.0))).alias("smape"))
     best = written(first_best(errors, "smape"), "holdout")
@@ -172,7 +204,7 @@ def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0) -> DataFra
     failing = failing.withColumn("h", lead).withColumn("start", n - origins).where(F.col("start") > 4)
     folds = failing.select("series_id", "ys", "h", F.explode(F.sequence("start", n - F.col("h"))).alias("origin"))
     parts = folds.select("series_id", "origin", F.slice("ys", 1, F.col("origin")).alias("ys"), "h", (F.col("h") + 1).alias("window"))
-    fc = candidates(base_models(parts), ["series_id", "origin"], dict(enumerate(FOLDED, 1)))
+    fc = candidates(base_models(parts, m), ["series_id", "origin"], dict(enumerate(folded_menu, 1)))
     actual = folds.select("series_id", "origin", F.col("h").alias("step"), F.get("ys", F.col("origin") + F.col("h") - 1).alias("actual"))
     scored = fc.join(actual, ["series_id", "origin", "step"]).groupBy("series_id", "place").agg(F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("error"))
     folded = written(first_best(scored, "error").select("series_id", F.lit("folds").alias("stage"), "place", "score"), "folded")
@@ -180,11 +212,12 @@ def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0) -> DataFra
     return passed.unionByName(folded).unionByName(left.select("series_id", F.lit("too short").alias("stage"), "place", "score"))
 
 
-def select_and_forecast(packs: DataFrame, h: int, holdout: int, gate: float = 3.0) -> DataFrame:
+def select_and_forecast(packs: DataFrame, h: int, holdout: int, gate: float = 3.0, m: int = 1) -> DataFrame:
     """(series_id, stage, place, step, mean, lower, upper): the chosen candidate of each series, fitted to all of it."""
-    chosen = written(choose(packs, h, holdout, gate), "chosen")
-    base = base_models(packs.select("series_id", "ys", F.lit(h).alias("h"), F.lit(h + 1).alias("window")))
-    final = {p: FINAL.get(p, ms) for p, ms in enumerate(CANDIDATES, 1)} | {100 + p: ms for p, ms in enumerate(FOLDED, 1)}
+    chosen = written(choose(packs, h, holdout, gate, m), "chosen")
+    base = base_models(packs.select("series_id", "ys", F.lit(h).alias("h"), F.lit(h + 1).alias("window")), m)
+    menu, folded_menu, other = _menus(m)
+    final = {p: other.get(p, ms) for p, ms in enumerate(menu, 1)} | {100 + p: ms for p, ms in enumerate(folded_menu, 1)}
     made = candidates(written(base, "finals"), ["series_id"], final)
     code = F.when(F.col("stage") != "folds", F.col("place")).otherwise(F.col("place") + 100)
     rows = made.join(chosen.select("series_id", "stage", "score", code.alias("place")), ["series_id", "place"])

@@ -335,18 +335,36 @@ def _(spark, d):
     return made.select("series_id", "again", F.posexplode("f").alias("i", "f")).select("series_id", (F.col("i") + 1).cast("long").alias("step"), "again", r6("f").alias("mean"))
 
 
+#: Random walks of orders 0, 1 and 2 of (series_id, ys): that whose differences vary least, with its upper bounds.
+_WALKS = """d AS (SELECT *, z - lag(z) OVER w AS d1 FROM zs WINDOW w AS (PARTITION BY series_id, kind ORDER BY t)), e AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY series_id, kind ORDER BY t) AS d2 FROM d), s AS (SELECT series_id, kind, avg(z) AS m, stddev_samp(z) AS s0, sqrt(avg(d1 * d1)) AS s1, sqrt(avg(d2 * d2)) AS s2, max_by(z, t) AS last, max_by(d1, t) AS slope FROM e GROUP BY 1, 2),
+u AS (SELECT *, CASE WHEN s2 < least(s0, s1) THEN 2 WHEN s1 < s0 THEN 1 ELSE 0 END AS k FROM s, (SELECT unnest(range(1, 19)) AS step)), v AS (SELECT *, CASE k WHEN 0 THEN m + 1.96 * s0 WHEN 1 THEN last + 1.96 * s1 * sqrt(step) ELSE last + step * slope + 1.96 * s2 * sqrt(step * (step + 1) * (2 * step + 1) / 6.0) END AS up FROM u),
+g AS (SELECT *, max(CASE WHEN step = 1 THEN up END) OVER w AS u1, max(CASE WHEN step = 2 THEN up END) OVER w AS u2, max(CASE WHEN step = 18 THEN up END) OVER w AS u18 FROM v WINDOW w AS (PARTITION BY series_id, kind))"""
+
+
 @query(
     "prep_explosive_upper_fix",
-    f"WITH {obs_sql(MAIN)}, d AS (SELECT *, y - lag(y) OVER w AS d1 FROM obs WINDOW w AS (PARTITION BY series_id ORDER BY t)), e AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY series_id ORDER BY t) AS d2 FROM d), s AS (SELECT series_id, count(*) AS n, stddev_samp(y) AS s0, stddev_samp(d1) AS s1, stddev_samp(d2) AS s2, max_by(y, t) AS last FROM e GROUP BY 1), "
-    "u AS (SELECT *, last + 0.001 * exp(step * CASE WHEN series_id < 'F' THEN 1.0 ELSE 0.1 END) AS up, series_id < 'F' AS twice FROM s, (SELECT unnest(range(1, 19)) AS step)), g AS (SELECT *, max(CASE WHEN step = 1 THEN up END) OVER w AS u1, max(CASE WHEN step = 2 THEN up END) OVER w AS u2, max(CASE WHEN step = 18 THEN up END) OVER w AS u18 FROM u WINDOW w AS (PARTITION BY series_id)) "
-    "SELECT series_id, CAST(step AS BIGINT) AS step, round(CASE WHEN twice AND u18 / nullif(u1, 0) > 10 THEN (u1 + u2) / 2 * (1 + 0.025 * (step - 1)) ELSE up END, 6) AS upper FROM g",
+    f"WITH {obs_sql(MAIN)}, c1 AS (SELECT series_id, t, y, sum(y - 1) OVER (PARTITION BY series_id ORDER BY t) AS c FROM obs), zs AS (SELECT series_id, 'values' AS kind, t, y AS z FROM c1 UNION ALL SELECT series_id, 'twice summed', t, sum(c) OVER (PARTITION BY series_id ORDER BY t) FROM c1), {_WALKS} "
+    "SELECT series_id, kind, CAST(k AS BIGINT) AS differences, CAST(step AS BIGINT) AS step, round(CASE WHEN k > 1 AND u18 / nullif(u1, 0) > 10 THEN (u1 + u2) / 2 * (1 + 0.025 * (step - 1)) ELSE up END, 6) AS upper FROM g",
 )
 def _(spark, d):
-    """Upper bounds that explode, of models that difference more than once, grow by a fortieth a step in place."""
-    last = series(spark, d, MAIN).groupBy("series_id").agg(F.max_by("y", "t").alias("last")).withColumn("twice", F.col("series_id") < "F")
-    rate = F.when(F.col("twice"), 1.0).otherwise(0.1)
-    up = last.withColumn("up", F.transform(M.steps_of(18), lambda s: F.col("last") + 0.001 * F.exp(s * rate)))
-    return up.select("series_id", F.posexplode(tame_upper(F.col("up"), F.when(F.col("twice"), 2).otherwise(1))).alias("i", "u")).select("series_id", (F.col("i") + 1).cast("long").alias("step"), r6("u").alias("upper"))
+    """Upper bounds of random walks of the order whose differences vary least; those of two differences that explode grow by a fortieth a step.
+
+    The series, and twice summed what they are above their unit, which takes two differences.
+    """
+    own = packed(series(spark, d, MAIN)).select("series_id", "ys")
+    sums = lambda xs: F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, 1, i + 1), F.lit(0.0), lambda a, x: a + x))
+    twice = R.let(R.let(F.transform("ys", lambda y: y - 1), sums), sums)
+    kinds = F.array(F.struct(F.lit("values").alias("kind"), F.col("ys").alias("z")), F.struct(F.lit("twice summed").alias("kind"), twice.alias("z")))
+    rows = own.select("series_id", F.explode(kinds).alias("x")).select("series_id", "x.kind", "x.z")
+    gaps = lambda xs: R.let(xs, lambda x: F.zip_with(F.slice(x, 2, F.size(x) - 1), F.slice(x, 1, F.size(x) - 1), lambda a, b: a - b))
+    root = lambda xs: F.sqrt(R.mean_of(F.transform(xs, lambda x: x * x)))
+    rows = rows.withColumn("d1", gaps(F.col("z"))).withColumn("d2", gaps(F.col("d1"))).withColumn("m", R.mean_of(F.col("z")))
+    rows = rows.withColumn("s0", root(R.deviations(F.col("z"))) * F.sqrt(F.size("z") / (F.size("z") - 1))).withColumn("s1", root(F.col("d1"))).withColumn("s2", root(F.col("d2")))
+    rows = rows.withColumn("k", F.when(F.col("s2") < F.least("s0", "s1"), 2).when(F.col("s1") < F.col("s0"), 1).otherwise(0))
+    last, slope = F.element_at("z", -1), F.element_at("d1", -1)
+    at = lambda s: F.when(F.col("k") == 0, F.col("m") + 1.96 * F.col("s0")).when(F.col("k") == 1, last + 1.96 * F.col("s1") * F.sqrt(s)).otherwise(last + s * slope + 1.96 * F.col("s2") * F.sqrt(s * (s + 1) * (2 * s + 1) / 6))
+    made = rows.withColumn("up", F.transform(M.steps_of(18), at)).select("series_id", "kind", "k", F.posexplode(tame_upper(F.col("up"), F.col("k"))).alias("i", "u"))
+    return made.select("series_id", "kind", F.col("k").cast("long").alias("differences"), (F.col("i") + 1).cast("long").alias("step"), r6("u").alias("upper"))
 
 
 def tame_upper(upper: Column, differences: Column) -> Column:

@@ -176,15 +176,19 @@ def _(spark, d):
 
 @query(
     "seasonal_dec_shrunk",
-    _all(_CHOSEN + f", nn AS (SELECT series_id, max(t) AS n FROM obs GROUP BY 1) SELECT m.series_id, CAST(s.step AS BIGINT) AS step, round(m.six, 6) AS index, m.used FROM mw m JOIN nn n ON n.series_id = m.series_id JOIN (SELECT unnest(range(1, {_H + 1})) AS step) s ON (n.n - 24 + s.step - 1) % 12 = m.phase"),
+    _all(_CHOSEN + f""", nn AS (SELECT series_id, max(t) AS n FROM obs GROUP BY 1), dv0 AS (SELECT series_id, t, y - avg(y) {_B} AS e FROM obs), rr0 AS (SELECT a.series_id, b.t - a.t AS lag, sum(a.e * b.e) / (SELECT sum(z.e * z.e) FROM dv0 z WHERE z.series_id = a.series_id) AS r FROM dv0 a JOIN dv0 b ON b.series_id = a.series_id AND b.t > a.t AND b.t <= a.t + 12 GROUP BY 1, 2),
+ te0 AS (SELECT n.series_id, coalesce(n.n >= 36 AND floor(10 * log10(n.n)) >= 12 AND abs(max(CASE WHEN lag = 12 THEN r END)) > 1.645 * sqrt((1 + 2 * sum(CASE WHEN lag < 12 THEN r * r END)) / n.n), false) AS seasonal FROM nn n LEFT JOIN rr0 r ON r.series_id = n.series_id GROUP BY n.series_id, n.n)""" + f" SELECT m.series_id, CAST(s.step AS BIGINT) AS step, CASE WHEN te0.seasonal THEN round(m.six, 6) ELSE 1.0 END AS index, CASE WHEN te0.seasonal THEN m.used ELSE 'none' END AS used FROM mw m JOIN te0 ON te0.series_id = m.series_id JOIN nn n ON n.series_id = m.series_id JOIN (SELECT unnest(range(1, {_H + 1})) AS step) s ON (n.n - 24 + s.step - 1) % 12 = m.phase"),
 )
 def _(spark, d):
-    """The index of each step ahead from the chosen shrinkage, as it stands two cycles before; the season is taken whatever the test says."""
+    """The index of each step ahead from the chosen shrinkage, as it stands two cycles before; 1 where the test finds no season."""
     obs = series(spark, d, MAIN)
+    found = S.seasonality_test(packed(obs), 12).select("series_id", "is_seasonal")
     made = S.chosen_shrinkage(S.shrink(S.trimmed_indices(obs, 12), 12))
     steps = obs.groupBy("series_id").agg(F.max("t").alias("n")).withColumn("step", F.explode(M.steps_of(_H)))
     at = steps.withColumn("phase", (F.col("n") - 24 + F.col("step") - 1) % 12)
-    return at.join(made, ["series_id", "phase"]).select("series_id", F.col("step").cast("long").alias("step"), r6("shrunk").alias("index"), "used")
+    on = F.col("is_seasonal")
+    rows = at.join(made, ["series_id", "phase"]).join(found, "series_id")
+    return rows.select("series_id", F.col("step").cast("long").alias("step"), F.when(on, r6("shrunk")).otherwise(F.lit(1.0)).alias("index"), F.when(on, F.col("used")).otherwise(F.lit("none")).alias("used"))
 
 
 _LAGS = 10

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from ..functions import recursions as R
@@ -164,7 +166,7 @@ def ata_four(prepared, phis: tuple[float, ...], h: int):
     return fc.groupBy("series_id", "step").agg(F.greatest(F.avg("mean"), F.lit(0.0)).alias("mean"))
 
 
-for _key, _name in (("combine_ata4", "D_event"), ("rec_252_q_m_d", "Q_nation")):
+for _key, _name in (("combine_ata4", "D_event"), ("rec_252_q_m_d", "Q_nation"), ("rec_252_m", "M_segment")):
 
     @query(
         _key,
@@ -177,24 +179,59 @@ for _key, _name in (("combine_ata4", "D_event"), ("rec_252_q_m_d", "Q_nation")):
         return ata_four(prepared, _SEASONAL, s.h).select("series_id", "step", r6("mean").alias("mean"))
 
 
-_DOTM = [(t, a) for t in (1.0, 1.5, 2.0, 3.0, 5.0) for a in T.ALPHAS]
+#: Weekly series of fewer values have no season.
+WEEKLY_LEAST = 104
+_WEEKLY = SPECS["W_priority"]
 
 
 @query(
-    "dotm",
-    f"""WITH RECURSIVE {obs_sql(MAIN)}, al AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM obs), tr AS (SELECT series_id, t, y, n - 18 AS n FROM al WHERE t <= n - 18),
+    "rec_252_w",
+    f"WITH RECURSIVE {obs_sql('W_priority')}{_frame(_WEEKLY.m, _WEEKLY.h, False).replace('coalesce(true, false)', f'coalesce(s.n >= {WEEKLY_LEAST}, false)')}, src AS (SELECT series_id, t, n, y AS x FROM des), {_ata_sql('src', _SEASONAL)} "
+    f"SELECT a.series_id, a.step, round(greatest(avg({_ATA_MEAN} * o.ix), 0), 6) AS mean FROM {_ata_far(_WEEKLY.h)} a JOIN oi o ON o.series_id = a.series_id AND o.step = a.step GROUP BY 1, 2",
+)
+def _(spark, d):
+    """Weekly series: the mean of the four ATA models, with a season of 52 weeks whatever a test says, where there are two years."""
+    prepared = M.prepare(series(spark, d, "W_priority"), _WEEKLY.m, _WEEKLY.h, test=False)
+    few = F.col("n") < WEEKLY_LEAST
+    prepared = prepared.withColumn("des", F.when(few, F.col("train")).otherwise(F.col("des"))).withColumn("out", F.when(few, F.array_repeat(F.lit(1.0), _WEEKLY.h)).otherwise(F.col("out")))
+    return ata_four(prepared, _SEASONAL, _WEEKLY.h).select("series_id", "step", r6("mean").alias("mean"))
+
+
+_DOTM = [(t, a) for t in (1.0, 1.5, 2.0, 3.0, 5.0) for a in T.ALPHAS]
+
+
+_DOTM_SQL = f"""WITH RECURSIVE {obs_sql(MAIN)}, al AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM obs), tr AS (SELECT series_id, t, y, n - 18 AS n FROM al WHERE t <= n - 18),
 rc(series_id, theta, alpha, t, n, l, a, b, m, f, sse) AS (SELECT r.series_id, g.theta, g.alpha, 0::BIGINT, r.n, r.y / g.theta, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM tr r, (VALUES {", ".join(f"({t}::DOUBLE, {a}::DOUBLE)" for t, a in _DOTM)}) g(theta, alpha) WHERE r.t = 1
 UNION ALL SELECT series_id, theta, alpha, k, n, alpha * y + (1 - alpha) * l, m2 - (k + 1) / 2.0 * b2, b2, m2, mu, sse + CASE WHEN k BETWEEN 3 AND n THEN (y - mu) * (y - mu) ELSE 0 END FROM
 (SELECT *, CASE WHEN k > 1 THEN 1.0::DOUBLE / (k + 1) * ((k - 2) * b + 6.0 / k * (y - m)) ELSE 0 END AS b2, 1.0::DOUBLE / k * ((k - 1) * m + y) AS m2 FROM
 (SELECT *, coalesce(y0, mu) AS y FROM (SELECT r.*, r.t + 1 AS k, o.y AS y0, r.l + (1 - 1 / r.theta) * (pow(1 - r.alpha, r.t) * r.a + (1 - pow(1 - r.alpha, r.t + 1)) / r.alpha * r.b) AS mu FROM rc r LEFT JOIN tr o ON o.series_id = r.series_id AND o.t = r.t + 1 WHERE r.t < r.n + 18)))),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(sse, 9), theta, alpha) AS k FROM rc WHERE t = n) WHERE k = 1)
-SELECT r.series_id, r.theta, r.alpha, CAST(r.t - r.n AS BIGINT) AS step, round(r.f, 6) AS mean FROM rc r JOIN best b ON b.series_id = r.series_id AND b.theta = r.theta AND b.alpha = r.alpha WHERE r.t > r.n""",
-)
-def _(spark, d):
-    """The dynamic theta model with theta and level weight from a grid; its line is estimated anew at every point."""
+"""
+
+
+def _dynamic(spark, d):
+    """(series_id, n, b): the fit of each series, struct(sse, theta, alpha, f)."""
     s = SPECS[MAIN]
     made = split(packed(series(spark, d, MAIN)), s.h)
     named = F.array(*[F.struct(F.lit(t).alias("theta"), F.lit(a).alias("alpha")) for t, a in _DOTM])
     fits = F.transform(named, lambda g: R.let(T.dynamic_run(F.col("train"), s.h, g["theta"], g["alpha"]), lambda x: F.struct(F.round(x["sse"], 9).alias("sse"), g["theta"].alias("theta"), g["alpha"].alias("alpha"), x["f"].alias("f"))))
-    rows = made.withColumn("b", F.array_min(fits)).select("series_id", "b.theta", "b.alpha", F.posexplode("b.f").alias("i", "f"))
+    return made.select("series_id", "n", F.array_min(fits).alias("b"))
+
+
+@query("dotm", _DOTM_SQL + " SELECT r.series_id, r.theta, r.alpha, CAST(r.t - r.n AS BIGINT) AS step, round(r.f, 6) AS mean FROM rc r JOIN best b ON b.series_id = r.series_id AND b.theta = r.theta AND b.alpha = r.alpha WHERE r.t > r.n")
+def _(spark, d):
+    """The dynamic theta model with theta and level weight from a grid; its line is estimated anew at every point."""
+    rows = _dynamic(spark, d).select("series_id", "b.theta", "b.alpha", F.posexplode("b.f").alias("i", "f"))
     return rows.select("series_id", "theta", "alpha", (F.col("i") + 1).cast("long").alias("step"), r6("f").alias("mean"))
+
+
+#: Half of what a level of 97.5 % leaves out is above the interval.
+_Z975 = NormalDist().inv_cdf(0.9875)
+
+
+@query("rec_251", _DOTM_SQL + f" SELECT r.series_id, CAST(r.t - r.n AS BIGINT) AS step, round(r.f, 6) AS mean, round(r.f - {_Z975} * sqrt(b.sse / (r.n - 2) * (1 + (r.t - r.n - 1) * b.alpha * b.alpha)), 6) AS lower, round(r.f + {_Z975} * sqrt(b.sse / (r.n - 2) * (1 + (r.t - r.n - 1) * b.alpha * b.alpha)), 6) AS upper FROM rc r JOIN best b ON b.series_id = r.series_id AND b.theta = r.theta AND b.alpha = r.alpha WHERE r.t > r.n")
+def _(spark, d):
+    """The dynamic theta model with bounds of 97.5 %: the errors of its level grow as those of smoothing do."""
+    rows = _dynamic(spark, d).select("series_id", "n", "b.sse", "b.alpha", F.posexplode("b.f").alias("i", "f"))
+    wide = _Z975 * F.sqrt(F.col("sse") / (F.col("n") - 2) * (1 + F.col("i") * F.col("alpha") * F.col("alpha")))
+    return rows.select("series_id", (F.col("i") + 1).cast("long").alias("step"), r6("f").alias("mean"), r6(F.col("f") - wide).alias("lower"), r6(F.col("f") + wide).alias("upper"))
