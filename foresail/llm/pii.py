@@ -480,8 +480,33 @@ def labels_of(field: Field, number: np.ndarray, row: np.ndarray, told: np.ndarra
     return labels
 
 
+#: Words of English, French, German and Spanish that are no names of a mailbox or host.
+_NO_NAMES = frozenset("a an and are as at be by de del der die dot el en et for from in is it la le les of on or that the to und was we with you".split())
+
+
+def _spelt_out(text: str) -> bool:
+    """Whether text reads as an address in words: a name, at, and names parted by dots, of which the last is of letters only."""
+    words = [w.strip("()[]{}<>,;:").lower() for w in text.split()]
+    if "at" not in words[1:-1]:
+        return False
+    at = words.index("at", 1)
+    names, dots = words[at + 1 :: 2], words[at + 2 :: 2]
+    whole = len(names) >= 2 and len(dots) == len(names) - 1 and all(d == "dot" for d in dots)
+    return whole and all(n and n not in _NO_NAMES for n in [*words[:at], *names]) and names[-1].isalpha() and 2 <= len(names[-1]) <= 6
+
+
+def _holds(kind: str, text: str) -> bool:
+    """What a span of the field must be as well: an address with a sign or in words, a card with a right last digit."""
+    if kind == "email":
+        return "@" in text or _spelt_out(text)
+    if kind == "card":
+        d = _digits(text)
+        return 12 <= len(d) <= 19 and _luhn(d)
+    return True
+
+
 def field_spans(held: list[str], column: pa.Array, field: Field) -> dict[int, list[tuple[int, int, str]]]:
-    """What the field finds, by number of the text."""
+    """What the field finds, by number of the text; an exact check drops addresses that aren't any and cards with wrong digits."""
     start, end, row, hashes = word_places(column)
     out: dict[int, list[tuple[int, int, str]]] = {}
     if not len(start):
@@ -502,7 +527,7 @@ def field_spans(held: list[str], column: pa.Array, field: Field) -> dict[int, li
             a += 1
         while b > a and text[b - 1] in _EDGE:
             b -= 1
-        if a < b:
+        if a < b and _holds(name[2:], text[a:b]):
             out.setdefault(int(row[hit[i]]), []).append((a, b, name[2:]))
         i = j
     return out

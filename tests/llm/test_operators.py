@@ -529,3 +529,27 @@ def test_stored_media_do_not_depend_on_the_order_of_rows(spark):
     turned = docs.orderBy(F.col("doc_id").desc()).repartition(7)
     rows = [{tuple(r) for r in media.media_digests(d).collect()} for d in (docs.coalesce(1), turned)]
     assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("the cat sat on the mat at the dot of noon and left", []),
+        ("inththndly at at at ndnt was said at the end of it", []),
+        ("write to maria7 at mail3 dot com before noon", ["email"]),
+        ("look at the dot on the map and at the key", []),
+        ("she was at home at six and a dot was seen", []),
+        ("card 4111 1111 1111 1111 was used", ["card"]),
+        ("card 4111 1111 1111 1112 was used", []),
+        ("visit us at shop dot", []),
+    ],
+)
+def test_personal_data_in_hand_written_rows(text, kinds):
+    """Rows that the labelled table doesn't make: near misses of spelt addresses and card numbers."""
+    _, found = pii.all_spans([text], pa.array([text]), pii.default_field())
+    assert [k for _, _, k in found[0] if k in ("email", "card")] == kinds
+
+
+@pytest.mark.parametrize("text, right", [("jo at mail dot com", True), ("(jo) at [mail] dot uk", True), ("jo at mail dot sub dot org", True), ("mat at the dot of", False), ("at mail dot com", False), ("jo at at dot com", False), ("jo at mail dot", False), ("jo at mail dot c0m", False)])
+def test_addresses_in_words(text, right):
+    assert pii._spelt_out(text) is right
