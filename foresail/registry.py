@@ -22,4 +22,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return register
 
 
-from .plans import arma, choosing, combining, details, forecasting, modelling, preparing, recipes, routing, selecting, states, structure, thetas  # noqa: E402, F401  the plans register themselves
+from .plans import arma, choosing, combining, details, forecasting, modelling, nets, preparing, recipes, routing, selecting, states, structure, thetas  # noqa: E402, F401  the plans register themselves
