@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import recursions as R
 from ..functions.metrics import r6
+from ..operators import clusters as C
 from ..operators import models as M
 from ..operators import resampling as B
 from ..operators import seasonal as S
 from ..registry import query
+from ..sources.files import written
 from ..sources.series import SPECS, obs_sql, packed, series, split
 from .forecasting import MAIN
 from .preparing import SHRUNK, _all
@@ -138,29 +140,41 @@ cl AS (SELECT * FROM (SELECT b.series_id, b.k, b.cost, d.i, t.medoid, row_number
 
 @query("pam_cluster", _medoids_sql((3,)) + " SELECT series_id, i AS copy, CAST(medoid AS BIGINT) AS medoid, round(cost, 6) AS cost FROM cl")
 def _(spark, d):
-    """Each copy with the medoid of its cluster: of all sets of three, the one with the least sum of distances."""
-    rows = _copies(spark, d).withColumn("d", B.distances(F.col("copies"))).withColumn("best", B.best_medoids(F.col("d"), 3, _COPIES))
+    """Each copy with the medoid of its cluster, of three found by building and swapping."""
+    rows = written(_copies(spark, d).select("series_id", B.distances(F.col("copies")).alias("d")), "distances")
+    rows = written(rows.withColumn("best", C.pam(F.col("d"), F.lit(3))), "medoids")
     made = rows.select("series_id", "best.cost", F.posexplode(B.nearest(F.col("d"), F.col("best.set"))).alias("i", "medoid"))
     return made.select("series_id", (F.col("i") + 1).cast("long").alias("copy"), (F.col("medoid") + 1).cast("long").alias("medoid"), r6("cost").alias("cost"))
 
 
+_SIZES = (2, 3, 4)
+
+
 @query(
     "silhouette_k",
-    _medoids_sql((2, 3))
+    _medoids_sql(_SIZES)
     + """, sz AS (SELECT series_id, k, medoid, count(*) AS n FROM cl GROUP BY 1, 2, 3), mn AS (SELECT a.series_id, a.k, a.i, a.medoid AS own, b.medoid AS other, sum(d.d) / CASE WHEN a.medoid = b.medoid THEN nullif(count(*) - 1, 0) ELSE count(*) END AS d
 FROM cl a JOIN cl b ON b.series_id = a.series_id AND b.k = a.k JOIN ds d ON d.series_id = a.series_id AND d.i = a.i AND d.j = b.i GROUP BY 1, 2, 3, 4, 5), ab AS (SELECT series_id, k, i, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM mn GROUP BY 1, 2, 3),
 si AS (SELECT series_id, k, round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS width FROM ab GROUP BY 1, 2) SELECT series_id, CAST(k AS BIGINT) AS k, width, row_number() OVER (PARTITION BY series_id ORDER BY width DESC, k) = 1 AS chosen FROM si""",
 )
 def _(spark, d):
-    """The mean silhouette of two and of three clusters, and which is larger."""
-    rows = _copies(spark, d).withColumn("d", B.distances(F.col("copies"))).withColumn("k", F.explode(F.array(F.lit(2), F.lit(3))))
-    best = F.when(F.col("k") == 2, B.best_medoids(F.col("d"), 2, _COPIES)).otherwise(B.best_medoids(F.col("d"), 3, _COPIES))
-    width = B.silhouette(F.col("d"), F.col("own"))
-    made = rows.withColumn("best", best).withColumn("own", B.nearest(F.col("d"), F.col("best.set"))).select("series_id", F.col("k").cast("long").alias("k"), r6(width).alias("width"))
+    """The mean silhouette of two to four clusters, and which is largest."""
+    rows = written(_copies(spark, d).select("series_id", B.distances(F.col("copies")).alias("d")), "distances").withColumn("k", F.explode(F.array(*map(F.lit, _SIZES))))
+    rows = written(rows.withColumn("best", C.pam(F.col("d"), F.col("k"))), "medoids")
+    rows = written(rows.withColumn("own", B.nearest(F.col("d"), F.col("best.set"))), "members")
+    made = rows.select("series_id", F.col("k").cast("long").alias("k"), r6(B.silhouette(F.col("d"), F.col("own"))).alias("width"))
     first = F.row_number().over(W.partitionBy("series_id").orderBy(F.col("width").desc(), "k")) == 1
     return made.withColumn("chosen", first)
 
 
+@query("bagged_cluster_ets")
+def _(spark, d):
+    """A hundred copies of each monthly series, thirty good ones in clusters by silhouette, ten of these forecast."""
+    prepared = M.prepare(series(spark, d, MAIN), 12, _H)
+    rows = C.bagged_clusters(prepared, 12, _H)
+    return rows.select("series_id", F.col("step").cast("long").alias("step"), *[r6(c).alias(c) for c in ("lower", "mean", "upper")])
+
+
 #: The choice of shrinkage: W from the shrinking query, skewness of the indices.
 _CHOSEN = SHRUNK + f""", lk AS (SELECT x.series_id, x.phase, sum(exp(-(x.ix - z.ix) * (x.ix - z.ix) / (2 * x.v)) * z.ix) / sum(exp(-(x.ix - z.ix) * (x.ix - z.ix) / (2 * x.v))) AS lk FROM w x JOIN w z ON x.series_id = z.series_id GROUP BY 1, 2),
 c0 AS (SELECT *, ix - avg(ix) {_B} AS c FROM w), sk AS (SELECT *, avg(c * c * c) {_B} / pow(avg(c * c) {_B}, 1.5) AS skew FROM c0),
