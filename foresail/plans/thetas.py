@@ -186,13 +186,17 @@ _WEEKLY = SPECS["W_priority"]
 
 @query(
     "rec_252_w",
-    f"WITH RECURSIVE {obs_sql('W_priority')}{_frame(_WEEKLY.m, _WEEKLY.h, False).replace('coalesce(true, false)', f'coalesce(s.n >= {WEEKLY_LEAST}, false)')}, src AS (SELECT series_id, t, n, y AS x FROM des), {_ata_sql('src', _SEASONAL)} "
+    f"WITH RECURSIVE {obs_sql('W_priority')}{_frame(_WEEKLY.m, _WEEKLY.h, False).replace('coalesce(true, false)', f'coalesce(s.n >= {WEEKLY_LEAST}, false)').replace('CASE WHEN f.seasonal THEN i.ix', 'CASE WHEN f.seasonal AND min(i.ix) OVER (PARTITION BY i.series_id) > 0 THEN i.ix')}, src AS (SELECT series_id, t, n, y AS x FROM des), {_ata_sql('src', _SEASONAL)} "
     f"SELECT a.series_id, a.step, round(greatest(avg({_ATA_MEAN} * o.ix), 0), 6) AS mean FROM {_ata_far(_WEEKLY.h)} a JOIN oi o ON o.series_id = a.series_id AND o.step = a.step GROUP BY 1, 2",
 )
 def _(spark, d):
-    """Weekly series: the mean of the four ATA models, with a season of 52 weeks whatever a test says, where there are two years."""
+    """Weekly series: the mean of the four ATA models, with a season of 52 weeks whatever a test says, where there are two years.
+
+    A series with a week that is always empty has no season, as its values can't be divided by it.
+    """
     prepared = M.prepare(series(spark, d, "W_priority"), _WEEKLY.m, _WEEKLY.h, test=False)
-    few = F.col("n") < WEEKLY_LEAST
+    few = F.col("few")
+    prepared = prepared.withColumn("few", (F.col("n") < WEEKLY_LEAST) | F.exists("des", lambda y: y.isNull()))
     prepared = prepared.withColumn("des", F.when(few, F.col("train")).otherwise(F.col("des"))).withColumn("out", F.when(few, F.array_repeat(F.lit(1.0), _WEEKLY.h)).otherwise(F.col("out")))
     return ata_four(prepared, _SEASONAL, _WEEKLY.h).select("series_id", "step", r6("mean").alias("mean"))
 
