@@ -182,6 +182,21 @@ def _menus(m: int) -> tuple[tuple, tuple, dict]:
     return (CANDIDATES, FOLDED, FINAL) if m == 1 else (SEASONAL, SEASONAL_FOLDED, {})
 
 
+def fold_scores(packs: DataFrame, m: int = 1) -> DataFrame:
+    """(series_id, place, error): the mean absolute error of the models that folds choose among, for each series.
+
+    Folds are every origin from 12 before the end on (6 in series of up to 24 values) that has a value 4 (3) ahead.
+    """
+    n, (_, folded_menu, _) = F.size("ys"), _menus(m)
+    lead, origins = F.when(n > 24, 4).otherwise(3), F.when(n > 24, 12).otherwise(6)
+    rows = packs.withColumn("h", lead).withColumn("start", n - origins).where(F.col("start") > 4)
+    folds = rows.select("series_id", "ys", "h", F.explode(F.sequence("start", n - F.col("h"))).alias("origin"))
+    parts = folds.select("series_id", "origin", F.slice("ys", 1, F.col("origin")).alias("ys"), "h", (F.col("h") + 1).alias("window"))
+    fc = candidates(base_models(parts, m), ["series_id", "origin"], dict(enumerate(folded_menu, 1)))
+    actual = folds.select("series_id", "origin", F.col("h").alias("step"), F.get("ys", F.col("origin") + F.col("h") - 1).alias("actual"))
+    return fc.join(actual, ["series_id", "origin", "step"]).groupBy("series_id", "place").agg(F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("error"))
+
+
 def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0, m: int = 1) -> DataFrame:
     """(series_id, stage, place, score): the candidate whose holdout error is within the gate, else the model that folds choose.
 
@@ -190,7 +205,7 @@ def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0, m: int = 1
     ahead; the score is the mean absolute error there.  Only series that fail are copied to folds.  One that is too
     short for folds keeps the best of its holdout.
     """
-    n, (menu, folded_menu, _) = F.size("ys"), _menus(m)
+    n, (menu, _, _) = F.size("ys"), _menus(m)
     held = F.when(n > 24, F.lit(holdout)).otherwise(F.lit(h))
     rows = packs.select("series_id", "ys").withColumn("h", held).where(n > F.col("h") + 4)
     first = rows.select("series_id", F.slice("ys", 1, (n - F.col("h")).cast("int")).alias("ys"), "h", (F.col("h") + 1).alias("window"))
@@ -200,13 +215,7 @@ def choose(packs: DataFrame, h: int, holdout: int, gate: float = 3.0, m: int = 1
     best = written(first_best(errors, "smape"), "holdout")
     passed = best.where(F.col("score") <= gate).select("series_id", F.lit("holdout").alias("stage"), "place", "score")
     failing = packs.join(best.where(F.col("score") <= gate).select("series_id"), "series_id", "left_anti")
-    lead, origins = F.when(n > 24, 4).otherwise(3), F.when(n > 24, 12).otherwise(6)
-    failing = failing.withColumn("h", lead).withColumn("start", n - origins).where(F.col("start") > 4)
-    folds = failing.select("series_id", "ys", "h", F.explode(F.sequence("start", n - F.col("h"))).alias("origin"))
-    parts = folds.select("series_id", "origin", F.slice("ys", 1, F.col("origin")).alias("ys"), "h", (F.col("h") + 1).alias("window"))
-    fc = candidates(base_models(parts, m), ["series_id", "origin"], dict(enumerate(folded_menu, 1)))
-    actual = folds.select("series_id", "origin", F.col("h").alias("step"), F.get("ys", F.col("origin") + F.col("h") - 1).alias("actual"))
-    scored = fc.join(actual, ["series_id", "origin", "step"]).groupBy("series_id", "place").agg(F.avg(F.abs(F.col("actual") - F.col("mean"))).alias("error"))
+    scored = fold_scores(failing, m)
     folded = written(first_best(scored, "error").select("series_id", F.lit("folds").alias("stage"), "place", "score"), "folded")
     left = best.where(F.col("score") > gate).join(folded.select("series_id"), "series_id", "left_anti")
     return passed.unionByName(folded).unionByName(left.select("series_id", F.lit("too short").alias("stage"), "place", "score"))

@@ -109,3 +109,16 @@ def _(spark, d):
     """Which of 23 candidates a series takes, or, where none is within the gate, which of the models that folds are tried on."""
     made = S.choose(packed(series(spark, d, "D_event")), SPECS["D_event"].h, 14)
     return made.select("series_id", "stage", F.col("place").cast("long").alias("place"), r6("score").alias("score"))
+
+
+_FOLDS = f"""WITH {obs_sql('D_event')}, pk AS (SELECT series_id, list(y ORDER BY t) AS ys0, count(*) AS n0 FROM obs GROUP BY 1),
+fl AS (SELECT series_id, ys0, lead, unnest(range(start, n0 - lead + 1)) AS origin FROM (SELECT *, CASE WHEN n0 > 24 THEN 4 ELSE 3 END AS lead, n0 - CASE WHEN n0 > 24 THEN 12 ELSE 6 END AS start FROM pk) WHERE start > 4),
+i2 AS (SELECT series_id || '|' || origin AS series_id, list_slice(ys0, 1, origin) AS ys, lead AS h, lead + 1 AS win FROM fl), {base_sql('i2', 'b', 7)}, {candidates_sql('b_base', 'c2', dict(enumerate(S.SEASONAL_FOLDED, 1)))}
+SELECT f.series_id, CASE c.place {" ".join(f"WHEN {p} THEN '{ms[0]}'" for p, ms in enumerate(S.SEASONAL_FOLDED, 1))} END AS model, round(avg(abs(f.ys0[f.origin + f.lead] - c.mean)), 6) AS error FROM c2 c JOIN fl f ON f.series_id || '|' || f.origin = c.series_id AND c.step = f.lead GROUP BY 1, 2"""
+
+
+@query("cv_rolling_models", _FOLDS)
+def _(spark, d):
+    """The mean absolute error of each model over shifted origins, fitted anew before each; a model that fails has no row."""
+    names = F.create_map(*[x for p, ms in enumerate(S.SEASONAL_FOLDED, 1) for x in (F.lit(p), F.lit(ms[0]))])
+    return S.fold_scores(packed(series(spark, d, "D_event")), 7).select("series_id", names[F.col("place")].alias("model"), r6("error").alias("error"))
