@@ -37,6 +37,10 @@ class Plain:
             self.after[a].append(n)
         self.d1, self.d2 = self.discounts(self.before.values()), self.discounts(pairs.values())
 
+        self.w1 = sum(self.d1[min(x, 3)] for x in self.before.values())
+        self.w2 = {a: sum(self.d2[min(x, 3)] for x in ns) for a, ns in self.after.items()}
+        self.total = {a: sum(ns) for a, ns in self.after.items()}
+
     @staticmethod
     def discounts(counts):
         n = [sum(1 for x in counts if x == k) for k in range(5)]
@@ -49,12 +53,10 @@ class Plain:
         free = 1 / (self.v + 1)
         p = free
         if self.pairs:
-            weight = sum(self.d1[min(x, 3)] for x in self.before.values())
-            p = (max(self.before[b] - self.d1[min(self.before[b], 3)], 0) + weight * free) / len(self.pairs)
+            p = (max(self.before[b] - self.d1[min(self.before[b], 3)], 0) + self.w1 * free) / len(self.pairs)
         if self.after.get(a):
             n = self.pairs.get((a, b), 0)
-            weight = sum(self.d2[min(x, 3)] for x in self.after[a])
-            p = (max(n - self.d2[min(n, 3)], 0) + weight * p) / sum(self.after[a])
+            p = (max(n - self.d2[min(n, 3)], 0) + self.w2[a] * p) / self.total[a]
         return p
 
     def row(self, text):
